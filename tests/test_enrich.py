@@ -1,0 +1,68 @@
+import pytest
+from pyspark.sql import functions as F
+
+from framewright import attach_lookup, join_on_key, lookup_table
+from tests.conftest import plan_of, row_set
+
+
+@pytest.fixture(scope="module")
+def left(spark):
+    return lookup_table(spark, [(1, "x"), (2, "y"), (3, "z"), (None, "n")], "id bigint, l string")
+
+
+def test_unmatched_and_null_keys_drop_and_duplicates_multiply(spark, left):
+    right = lookup_table(
+        spark, [(1, "p"), (1, "q"), (4, "r"), (None, "s")], "id bigint, r string"
+    )
+    result = join_on_key(left, right, on="id")
+    assert result.columns == ["id", "l", "r"]
+    assert row_set(result) == [(1, "x", "p"), (1, "x", "q")]
+
+
+def test_two_keys(spark):
+    a = lookup_table(spark, [(1, 1, "a"), (1, 2, "b")], "i int, j int, a string")
+    b = lookup_table(spark, [(1, 2, "c"), (2, 1, "d")], "i int, j int, b string")
+    assert row_set(join_on_key(a, b, on=["i", "j"])) == [(1, 2, "b", "c")]
+
+
+def test_shared_columns_are_refused(spark, left):
+    other = lookup_table(spark, [(1, "p")], "id bigint, l string")
+    with pytest.raises(ValueError, match=r"\['l'\]"):
+        join_on_key(left, other, on="id")
+
+
+def test_differing_key_types_are_refused(spark, left):
+    other = lookup_table(spark, [(1, "p")], "id int, r string")
+    with pytest.raises(ValueError, match="bigint on the left and int on the right"):
+        join_on_key(left, other, on="id")
+
+
+def test_lookup_is_broadcast_within_the_size_limit_only(spark, left, conf):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    names = [(1, "one"), (2, "two")]
+    small = attach_lookup(left, names, "id bigint, word string", on="id")
+    large = attach_lookup(left, names, "id bigint, word string", on="id", broadcast_bytes=5)
+    assert "BroadcastHashJoin" in plan_of(small)
+    assert "SortMergeJoin" in plan_of(large)
+    assert row_set(small) == row_set(large) == [(1, "x", "one"), (2, "y", "two")]
+
+
+def test_a_key_with_a_third_of_the_rows_is_split(spark, conf):
+    """Adaptive execution splits the hot partition, also below an aggregate."""
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "64KB")
+    conf("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "2")
+    conf("spark.sql.adaptive.advisoryPartitionSizeInBytes", "32KB")
+    n = 300_000
+    hot = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k")
+    facts = spark.range(0, n, 1, 16).select(hot, F.col("id").alias("v"))
+    names = spark.range(n).select(F.col("id").alias("k"), F.hash("id").alias("name"))
+    joined = (
+        join_on_key(facts, names, on="k")
+        .groupBy("k")
+        .agg(F.count("*").alias("n"), F.sum(F.col("v") + F.col("name")).alias("s"))
+    )
+    result = {row["k"]: row["n"] for row in joined.collect()}
+    assert result[7] == n // 3 + 1
+    assert sum(result.values()) == n
+    assert "skew=true" in plan_of(joined, "simple")

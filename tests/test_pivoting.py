@@ -1,0 +1,64 @@
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from framewright import lookup_table, pivot_measures
+from tests.conftest import row_set, rows
+
+CELLS = [("a", "x", 1), ("a", "x", 3), ("a", "y", 5), ("b", None, 7), (None, "y", 9)]
+
+
+@pytest.fixture(scope="module")
+def cells(spark):
+    return lookup_table(spark, CELLS, "k string, p string, v bigint")
+
+
+def test_absent_values_unlisted_values_and_null_keys(cells):
+    result = pivot_measures(
+        cells, ["k"], "p", ["x", "z"], {"sum": F.sum("v"), "n": F.count(F.lit(1))}
+    )
+    assert result.columns == ["k", "x_sum", "x_n", "z_sum", "z_n"]
+    assert row_set(result) == sorted(
+        [("a", 4, 2, None, None), ("b", None, None, None, None), (None,) + (None,) * 4],
+        key=repr,
+    )
+
+
+def test_single_measure_keeps_its_name(cells):
+    result = pivot_measures(cells, ["k"], "p", ["x", "y"], {"sum": F.sum("v")})
+    assert result.columns == ["k", "x_sum", "y_sum"]
+    assert ("a", 4, 5) in rows(result)
+
+
+def test_prefixes_for_awkward_values(spark):
+    table = lookup_table(spark, [("a", "1`+", 2)], "k string, p string, v bigint")
+    result = pivot_measures(table, ["k"], "p", {"1`+": "many"}, {"sum": F.sum("v")})
+    assert result.columns == ["k", "many_sum"] and rows(result) == [("a", 2)]
+
+
+def test_unsafe_or_repeated_names_are_refused(cells):
+    with pytest.raises(ValueError, match="40s"):
+        pivot_measures(cells, ["k"], "p", ["40s+"], {"n": F.count(F.lit(1))})
+    with pytest.raises(ValueError, match="share"):
+        pivot_measures(cells, ["k"], "p", {"x": "c", "y": "c"}, {"n": F.count(F.lit(1))})
+
+
+def test_empty_input(cells):
+    result = pivot_measures(
+        cells.filter("v > 100"), ["k"], "p", ["x"], {"n": F.count(F.lit(1))}
+    )
+    assert result.columns == ["k", "x_n"] and rows(result) == []
+
+
+@settings(
+    max_examples=5,
+    deadline=None,
+    suppress_health_check=[HealthCheck.function_scoped_fixture],
+)
+@given(pairs=st.lists(st.tuples(st.sampled_from("ab"), st.sampled_from("xyz")), max_size=30))
+def test_cells_sum_to_the_group(spark, pairs):
+    table = lookup_table(spark, pairs, "k string, p string")
+    result = pivot_measures(table, ["k"], "p", list("xyz"), {"n": F.count(F.lit(1))})
+    for key, *counts in rows(result):
+        assert sum(n or 0 for n in counts) == sum(k == key for k, _ in pairs)
