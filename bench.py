@@ -22,6 +22,14 @@ def seconds(run, spark, sf_dir: str) -> float:
     return time.perf_counter() - start
 
 
+def scale_factor(sf_dir: str) -> float | str:
+    name = os.path.basename(sf_dir)
+    try:
+        return float(name.removeprefix("sf"))
+    except ValueError:
+        return name
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -49,7 +57,7 @@ def main() -> None:
                 "value": round(sum(medians.values()), 4),
                 "unit": "sec",
                 "queries": medians,
-                "sf": os.path.basename(sf_dir).removeprefix("sf"),
+                "sf": scale_factor(sf_dir),
                 "runs": runs,
                 "master": f"local[{cpus}]",
                 "spark": spark.version,

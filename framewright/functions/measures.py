@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# An integer is added in two parts, so that neither bigint sum can overflow on
+# fewer than 2^43 rows while each addition stays a primitive one.
+_LOW_BITS = 20
+
+
 def exact_avg(column: str, scale: int = 2) -> Column:
     """Average of a money-like double column, the same on every run.
 
     Adding doubles in another order changes the last digits, and a shuffle does
-    not fix the order. The values are added as decimals with ``scale`` digits
-    and divided once at the end. Nulls are ignored; no value gives null.
+    not fix the order. The values are added as whole units of ``10^-scale`` and
+    divided once at the end; finer digits are rounded to the nearest unit. A
+    double holds such units exactly up to 2^53 of them. Nulls are ignored; no
+    value gives null.
     """
-    total = F.sum(F.col(column).cast(f"decimal({13 + scale},{scale})"))
-    return total.cast("double") / F.count(column)
+    units = F.rint(F.col(column) * 10**scale).cast("bigint")
+    high = F.sum(F.shiftright(units, _LOW_BITS)).cast("decimal(20,0)")
+    low = F.sum(units.bitwiseAND(2**_LOW_BITS - 1)).cast("decimal(20,0)")
+    total = high * F.lit(Decimal(2**_LOW_BITS)) + low
+    unit = F.lit(Decimal(1).scaleb(-scale))
+    return (total * unit).cast("double") / F.count(column)
 
 
 def wide_sum(column: str) -> Column:

@@ -43,10 +43,14 @@ def arrow_bands(rule: BandRule):
     cuts = [cut for cut, _ in rule.cuts]
     labels = [label for _, label in rule.cuts]
     otherwise, label_of_null = rule.otherwise, rule.label_of_null
+    upward = rule.compare.startswith(">")
 
     @F.arrow_udf("string")
     def banded(values: pa.Array) -> pa.Array:
         holds = [pc.call_function(comparison, [values, cut]) for cut in cuts]
+        if upward and pa.types.is_floating(values.type):
+            # Spark orders NaN above every number, Arrow compares it as false
+            holds = [pc.or_(h, pc.is_nan(values)) for h in holds]
         conditions = pa.StructArray.from_arrays(
             [pc.is_null(values), *(pc.fill_null(h, False) for h in holds)],
             names=["null", *map(str, range(len(holds)))],

@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The sketch reports at most this many groups, which bounds what the driver
-# receives. It keeps TRACKED_ITEMS counters per task, so a group with more than
-# about 3.5 / TRACKED_ITEMS of all rows is always among those reported.
-REPORTED_GROUPS = 1000
-TRACKED_ITEMS = 32768
+# receives; a group it leaves out holds less than 1 / REPORTED_GROUPS of the
+# rows. It keeps TRACKED_ITEMS counters per task, and its counts are off by at
+# most about 3.5 / TRACKED_ITEMS of the rows.
+REPORTED_GROUPS = 8192
+TRACKED_ITEMS = 65536
 
 
 @dataclass(frozen=True)

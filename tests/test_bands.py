@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -43,6 +45,17 @@ def test_large_integers_are_not_rounded(spark):
     assert rows(table.select(arrow_bands(rule)("v"))) == expected
 
 
+@pytest.mark.parametrize("compare", ["<", "<=", ">", ">="])
+def test_doubles_with_nan_and_infinity(spark, compare):
+    cuts = ((0.5, "a"), (2, "b")) if compare.startswith("<") else ((2, "a"), (0.5, "b"))
+    rule = BandRule(compare, cuts, otherwise="c", null_label=None)
+    values = [0.5, 2.0, -0.0, None, math.nan, math.inf, -math.inf]
+    table = lookup_table(spark, [(v,) for v in values], "v double")
+    result = rows(table.select(rule.column("v"), arrow_bands(rule)("v")))
+    assert all(native == arrow for native, arrow in result)
+    assert result[4][0] == ("c" if compare.startswith("<") else "a")
+
+
 @pytest.mark.parametrize(
     "arguments",
     [

@@ -62,6 +62,21 @@ def test_exact_avg_ignores_nulls_and_order(spark):
     assert averages == [10.005, 10.005]
 
 
+def test_exact_avg_of_negative_and_finer_values(spark):
+    table = lookup_table(spark, [(-1.25,), (-0.01,), (3.0,)], "price double")
+    assert rows(table.agg(exact_avg("price"))) == [(1.74 / 3,)]
+    finer = lookup_table(spark, [(0.1234,), (0.1236,)], "price double")
+    assert rows(finer.agg(exact_avg("price"), exact_avg("price", scale=4))) == [
+        (0.12, 0.1235)
+    ]
+
+
+def test_exact_avg_does_not_overflow_bigint(spark):
+    large = spark.range(10_000).select((F.col("id") * 0 + 9e13).alias("price"))
+    # 9e13 in hundredths is 9e15; ten thousand of them exceed bigint
+    assert rows(large.agg(exact_avg("price"))) == [(9e13,)]
+
+
 def test_sums_beyond_bigint(spark):
     big = lookup_table(spark, [(2**63 - 1,)] * 3, "v bigint")
     assert rows(big.agg(wide_sum("v"))) == [(Decimal(3 * (2**63 - 1)),)]
