@@ -28,7 +28,7 @@ from framewright.operators.skew import hot_groups
 from framewright.sources.staging import staging_folder
 
 HOT_ROWS = 20_000_000
-SLICE_ROWS = 5_000_000
+SLICE_ROWS = 10_000_000
 
 
 @dataclass(frozen=True)
@@ -110,8 +110,8 @@ def rank_within_balanced(
 ) -> DataFrame:
     """``rank_within`` for groups of any size, for instance a third of all rows.
 
-    Not lazy: a sketch of the keys first looks for groups of ``hot_rows`` rows
-    or more. Without one, this is ``rank_within``. The rows of hot groups are
+    Not lazy: the keys are first counted, to find groups of ``hot_rows`` rows or
+    more. Without one, this is ``rank_within``. The rows of hot groups are
     written once to the shared checkpoint folder, cut by range into slices of
     about ``slice_rows`` rows, so that each task sorts one slice. Every row of
     every group is ranked either way, and exactly.

@@ -8,50 +8,56 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The sketch reports at most this many groups, which bounds what the driver
-# receives; a group it leaves out holds less than 1 / REPORTED_GROUPS of the
-# rows. It keeps TRACKED_ITEMS counters per task, and its counts are off by at
-# most about 3.5 / TRACKED_ITEMS of the rows.
-REPORTED_GROUPS = 8192
-TRACKED_ITEMS = 65536
+# Keys are counted by hash bucket, which bounds both the rows a task can send
+# into the shuffle and the rows that reach the driver.
+BUCKETS = 65536
+# A bucket stands out only well above the mean, so that evenly spread keys are
+# not all taken for hot where the mean bucket itself is large.
+TIMES_THE_MEAN = 4
 
 
 @dataclass(frozen=True)
 class HotGroups:
-    """Groups estimated to hold at least the asked number of rows.
+    """Hash buckets holding a group of at least the asked size.
 
-    A group is known by the hash of its keys. Two groups with equal hashes are
-    hot together, which costs a little balance and changes no result.
+    All groups of a bucket count as hot together. That a small group shares the
+    bucket of a large one costs a little balance and changes no result.
     """
 
     keys: tuple[str, ...]
-    hashes: tuple[int, ...]
+    buckets: tuple[int, ...]
     rows: int
 
     def __bool__(self) -> bool:
-        return bool(self.hashes)
+        return bool(self.buckets)
 
     def holds(self) -> Column:
         """True on the rows of hot groups, never null."""
-        return group_hash(self.keys).isin(*self.hashes)
+        return _bucket(self.keys).isin(list(self.buckets))
 
 
-def group_hash(keys: Sequence[str]) -> Column:
-    return F.xxhash64(*keys)
+def _bucket(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], min_rows: int) -> HotGroups:
     """Find the groups of ``keys`` with at least ``min_rows`` rows.
 
-    Runs one job at once: a scan of the key columns into a frequent-items
-    sketch per task, merged without a shuffle by key. Counts are estimates, so
-    use the answer to balance work, never to decide which rows count.
+    Runs one job at once: a scan of the key columns and exact counts per hash
+    bucket, combined in each task before the shuffle. No group of ``min_rows``
+    or more is missed unless it is below ``TIMES_THE_MEAN / BUCKETS`` of the
+    table, about 1 / 16,000; at most that many buckets come back.
     """
-    sketch = f"approx_top_k(_group, {REPORTED_GROUPS}, {TRACKED_ITEMS})"
-    top = df.select(group_hash(keys).alias("_group")).agg(F.expr(sketch).alias("top"))
-    found = [item for item in top.first()["top"] or [] if item["count"] >= min_rows]
+    counts = df.select(_bucket(keys).alias("bucket")).groupBy("bucket").count()
+    large = F.when(F.col("count") >= min_rows, F.struct("bucket", "count"))
+    found = counts.agg(
+        F.sum("count").alias("rows"), F.collect_list(large).alias("large")
+    ).first()
+    threshold = TIMES_THE_MEAN * (found["rows"] or 0) / BUCKETS
+    hot = [(item["bucket"], item["count"]) for item in found["large"]]
+    hot = [(bucket, count) for bucket, count in hot if count >= threshold]
     return HotGroups(
         keys=tuple(keys),
-        hashes=tuple(item["item"] for item in found),
-        rows=sum(item["count"] for item in found),
+        buckets=tuple(sorted(bucket for bucket, _ in hot)),
+        rows=sum(count for _, count in hot),
     )

@@ -14,6 +14,7 @@ from framewright import (
     rank_within,
     rank_within_balanced,
 )
+from framewright.operators import skew
 from tests.conftest import SF_DIR, plan_of, row_set, rows
 
 RANKS = ["rank", "dense_rank", "row_number"]
@@ -167,12 +168,28 @@ def test_hot_groups(spark):
         .alias("k")
     )
     hot = hot_groups(df, ["k"], 1000)
-    assert len(hot.hashes) == 1 and hot.rows == 3334
+    assert len(hot.buckets) == 1 and hot.rows == 3334
     assert df.filter(hot.holds()).distinct().collect()[0][0] == "hot"
     assert not hot_groups(df, ["k"], 5000)
     assert not hot_groups(df.filter("k = 'none'"), ["k"], 1)
 
 
+def test_groups_sharing_a_bucket_are_hot_together(spark, monkeypatch):
+    monkeypatch.setattr(skew, "BUCKETS", 2)
+    monkeypatch.setattr(skew, "TIMES_THE_MEAN", 0)
+    table = [(f"k{i % 9}", i % 5, i) for i in range(400)]
+    df = lookup_table(spark, table, "k string, v bigint, id bigint")
+    assert ranked(df, hot_rows=1, slice_rows=30) == brute_force(table)
+
+
+def test_evenly_spread_keys_are_not_hot(spark, monkeypatch):
+    monkeypatch.setattr(skew, "BUCKETS", 16)
+    even = spark.range(50_000).select((F.col("id") % 1000).alias("k"))
+    assert not hot_groups(even, ["k"], 1000)
+    uneven = even.withColumn("k", F.when(F.rand(1) < 0.4, 1).otherwise(F.col("k")))
+    assert len(hot_groups(uneven, ["k"], 1000).buckets) == 1
+
+
 def test_hot_groups_of_null_keys(spark):
     df = lookup_table(spark, [(None, i) for i in range(50)] + [("a", 0)], "k string, v int")
     hot = hot_groups(df, ["k"], 20)
