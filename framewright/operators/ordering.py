@@ -22,6 +22,9 @@ def ordered(
     The tie-breaker makes the order the same on every run. It also lets the
     range partitioner split a run of equal terms: without it, a value held by a
     third of the rows would be sorted in one task.
+
+    Spark computes the input of a global sort twice, once to sample its range
+    bounds. Derive costly columns that are no sort terms after the sort.
     """
     directed = [
         term

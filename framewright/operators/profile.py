@@ -34,4 +34,9 @@ def profile(
                 raise ValueError(f"unknown measure {name!r}, use {sorted(_FUNCTIONS)}")
             aggregates.append(_FUNCTIONS[name](column).alias(f"{name}_{column}"))
     aggregates += [expr.alias(name) for name, expr in (extra or {}).items()]
-    return df.groupBy(*keys).agg(*aggregates)
+    if not aggregates:
+        raise ValueError("nothing to compute")
+    result = df.groupBy(*keys).agg(*aggregates)
+    if len(set(result.columns)) < len(result.columns):
+        raise ValueError(f"output names repeat: {result.columns}")
+    return result

@@ -44,6 +44,13 @@ def _directed(by: str, descending: bool) -> Column:
     return F.col(by).desc() if descending else F.col(by).asc()
 
 
+def _refuse_clashes(taken: Sequence[str], new: Sequence[str]) -> None:
+    """Added columns must be new: Spark would replace or repeat them silently."""
+    clashes = sorted(set(taken) & set(new))
+    if clashes or len(set(new)) < len(new):
+        raise ValueError(f"output names clash: {clashes or sorted(new)}")
+
+
 def rank_values(
     df: DataFrame,
     keys: Sequence[str],
@@ -59,6 +66,7 @@ def rank_values(
     row. Fits measures with far fewer values than rows; a group's distinct
     values are ordered in one task.
     """
+    _refuse_clashes([*keys, by], [rows, names.rank, names.dense_rank])
     counted = df.groupBy(*keys, by).agg(F.count("*").alias(rows))
     order = Window.partitionBy(*keys).orderBy(_directed(by, descending))
     so_far = F.sum(rows).over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -85,6 +93,7 @@ def rank_within(
     its order begins with the order of the ranks: one sort then serves all
     three. Ranks a later ``select`` drops are not computed.
     """
+    _refuse_clashes(df.columns, [names.rank, names.dense_rank, names.row_number])
     group = Window.partitionBy(*keys)
     ties = group.orderBy(_directed(by, descending))
     unique = group.orderBy(_directed(by, descending), tie_breaker)
@@ -119,6 +128,10 @@ def rank_within_balanced(
     ``df`` is read several times when groups are hot, and all its columns are
     written: select the needed ones before, and store an expensive result.
     """
+    _refuse_clashes(df.columns, [names.rank, names.dense_rank, names.row_number])
+    reserved = [column for column in df.columns if column.startswith("_")]
+    if reserved:
+        raise ValueError(f"rename columns with a leading underscore: {reserved}")
     hot = hot_groups(df, keys, hot_rows)
     if not hot:
         return rank_within(df, keys, by, tie_breaker, descending, names)
@@ -152,18 +165,15 @@ def _rank_in_slices(
     the slices fixes them: the offsets and the ranks read the same cut, also
     after an executor is lost.
     """
-    spark = df.sparkSession
-    folder = staging_folder(spark, "rank-slices")
+    folder = staging_folder(df.sparkSession, "rank-slices")
     ranged = df.repartitionByRange(
         slices, *keys, _directed(by, descending), F.col(tie_breaker)
     )
-    ranged.withColumn("_slice", F.spark_partition_id()).write.parquet(f"{folder}/rows")
-    staged = spark.read.parquet(f"{folder}/rows")
-
-    _slice_offsets(staged, keys, by, descending).write.parquet(f"{folder}/offsets")
+    staged = _stored(ranged.withColumn("_slice", F.spark_partition_id()), f"{folder}/rows")
     # at most one row per slice and one more per group; with its size known from
     # the files, Spark decides whether to broadcast it
-    offsets = spark.read.parquet(f"{folder}/offsets").select(
+    offsets = _stored(_slice_offsets(staged, keys, by, descending), f"{folder}/offsets")
+    offsets = offsets.select(
         F.col("_slice").alias("_offset_slice"),
         *(F.col(key).alias(f"_offset_{key}") for key in keys),
         "_rows_before",
@@ -188,6 +198,12 @@ def _rank_in_slices(
     )
 
 
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` now and read it back, free of its lineage."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _slice_offsets(
     staged: DataFrame, keys: Sequence[str], by: str, descending: bool
 ) -> DataFrame:

@@ -54,6 +54,13 @@ def test_unknown_measure_is_refused(small):
         profile(small, measures={"v": "median"})
 
 
+def test_repeated_or_missing_output_is_refused(small):
+    with pytest.raises(ValueError, match="repeat"):
+        profile(small, ["k"], {"v": "sum"}, rows="k")
+    with pytest.raises(ValueError, match="nothing"):
+        profile(small, ["k"], rows=None)
+
+
 def test_exact_avg_ignores_nulls_and_order(spark):
     cents = [(n / 100,) for n in range(1, 2001)] + [(None,)]
     forward = lookup_table(spark, cents, "price double").repartition(7)

@@ -65,6 +65,11 @@ def test_native_category_has_no_python_stage(spark):
         assert "ArrowEvalPython" in plan_of(QUERIES[name](spark, SF_DIR))
 
 
+def test_python_function_runs_after_the_sort(spark):
+    plan = plan_of(QUERIES["category_in_order"](spark, SF_DIR), "simple")
+    assert plan.index("ArrowEvalPython") < plan.index("Sort [")
+
+
 def test_flagship_filter_is_pushed_below_the_join(spark):
     plan = plan_of(QUERIES["flagship"](spark, SF_DIR))
     assert "GreaterThan(n_chars,300)" in plan

@@ -78,6 +78,18 @@ def test_dropped_ranks_are_not_computed(spark):
     assert "text" not in plan
 
 
+def test_clashing_names_are_refused(spark):
+    df = spark.range(3).selectExpr("id", "id as k", "id as rank")
+    with pytest.raises(ValueError, match="rank"):
+        rank_within(df, ["k"], "id", "id")
+    with pytest.raises(ValueError, match="rank"):
+        rank_within_balanced(df, ["k"], "id", "id")
+    with pytest.raises(ValueError, match="k"):
+        rank_values(df, ["k"], "id", rows="k")
+    with pytest.raises(ValueError, match="_slice"):
+        rank_within_balanced(spark.range(3).selectExpr("id", "id as _slice"), ["id"], "id", "id")
+
+
 def test_values_carry_the_row_ranks(spark):
     documents = load_table(spark, SF_DIR, "documents").withColumn(
         "v", F.floor(F.col("n_chars") / 500)
