@@ -63,8 +63,9 @@ def rank_values(
 
     Rank and dense rank are the same for all rows that tie, so counting the ties
     first loses nothing, and a value repeated many times leaves each task as one
-    row. Fits measures with far fewer values than rows; a group's distinct
-    values are ordered in one task.
+    row. Fits measures with far fewer values than rows: a group's distinct values
+    are ordered in one task. Where a large group has mostly distinct values,
+    aggregate the result of ``rank_within_balanced`` instead.
     """
     _refuse_clashes([*keys, by], [rows, names.rank, names.dense_rank])
     counted = df.groupBy(*keys, by).agg(F.count("*").alias(rows))
