@@ -44,6 +44,10 @@ def _directed(by: str, descending: bool) -> Column:
     return F.col(by).desc() if descending else F.col(by).asc()
 
 
+def _columns(names: str | Sequence[str]) -> list[str]:
+    return [names] if isinstance(names, str) else list(names)
+
+
 def _refuse_clashes(taken: Sequence[str], new: Sequence[str]) -> None:
     """Added columns must be new: Spark would replace or repeat them silently."""
     clashes = sorted(set(taken) & set(new))
@@ -83,21 +87,21 @@ def rank_within(
     df: DataFrame,
     keys: Sequence[str],
     by: str,
-    tie_breaker: str,
+    tie_breaker: str | Sequence[str],
     descending: bool = True,
     names: RankNames = RankNames(),
 ) -> DataFrame:
     """Add rank, dense rank and row number of ``by`` within each group.
 
-    Ties share a rank and a dense rank; the unique ``tie_breaker``, ascending,
-    orders them for the row number. The row number is computed first, because
+    Ties share a rank and a dense rank; the ``tie_breaker``, one or more columns
+    that are unique together, orders them ascending for the row number. The row number is computed first, because
     its order begins with the order of the ranks: one sort then serves all
     three. Ranks a later ``select`` drops are not computed.
     """
     _refuse_clashes(df.columns, [names.rank, names.dense_rank, names.row_number])
     group = Window.partitionBy(*keys)
     ties = group.orderBy(_directed(by, descending))
-    unique = group.orderBy(_directed(by, descending), tie_breaker)
+    unique = group.orderBy(_directed(by, descending), *_columns(tie_breaker))
     return df.withColumn(
         names.row_number, F.row_number().over(unique).cast("bigint")
     ).withColumns(
@@ -112,7 +116,7 @@ def rank_within_balanced(
     df: DataFrame,
     keys: Sequence[str],
     by: str,
-    tie_breaker: str,
+    tie_breaker: str | Sequence[str],
     descending: bool = True,
     names: RankNames = RankNames(),
     hot_rows: int = HOT_ROWS,
@@ -155,7 +159,7 @@ def _rank_in_slices(
     df: DataFrame,
     keys: Sequence[str],
     by: str,
-    tie_breaker: str,
+    tie_breaker: str | Sequence[str],
     descending: bool,
     names: RankNames,
     slices: int,
@@ -168,7 +172,7 @@ def _rank_in_slices(
     """
     folder = staging_folder(df.sparkSession, "rank-slices")
     ranged = df.repartitionByRange(
-        slices, *keys, _directed(by, descending), F.col(tie_breaker)
+        slices, *keys, _directed(by, descending), *_columns(tie_breaker)
     )
     staged = _stored(ranged.withColumn("_slice", F.spark_partition_id()), f"{folder}/rows")
     # at most one row per slice and one more per group; with its size known from

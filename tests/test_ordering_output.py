@@ -51,6 +51,12 @@ def test_preview_is_bounded(table, capsys):
         preview(table, rows=0)
 
 
+def test_preview_of_a_sort_is_a_top_k(table):
+    first = ordered(table, "v", tie_breaker="id").limit(2)
+    plan = plan_of(first, "simple")
+    assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
+
+
 def test_count_ignores_the_sort(table):
     counted = ordered(table, "v", tie_breaker="id").groupBy().count()
     assert "Sort" not in plan_of(counted)

@@ -159,6 +159,15 @@ def test_several_keys_and_text_measure(spark):
     assert row_set(sliced.select(columns)) == row_set(plain.select(columns))
 
 
+def test_tie_breaker_of_two_columns(spark):
+    turns = load_table(spark, SF_DIR, "conversations").select("role", "conv_id", "turn")
+    turns = turns.dropDuplicates().withColumn("v", F.col("conv_id") % 3)
+    unique = ["conv_id", "turn"]
+    plain = rank_within(turns, ["role"], "v", unique)
+    sliced = rank_within_balanced(turns, ["role"], "v", unique, hot_rows=50, slice_rows=20)
+    assert row_set(sliced.select(plain.columns)) == row_set(plain)
+
+
 def test_slices_bound_the_rows_per_sort(spark):
     """No (slice, key) piece of a hot group comes near the whole group."""
     n = 40_000
