@@ -7,10 +7,25 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-# An integer is added in two parts, so that neither bigint sum can overflow on
-# fewer than 2^43 rows while each addition stays a primitive one.
-_LOW_BITS = 20
+# An integer is added in three parts of at most 22 bits. Each addition stays a
+# primitive one, several times faster than adding decimals, and no part can
+# overflow on fewer than 2^41 rows, whatever the values.
+_PART_BITS = 22
+
+
+def _exact_sum(units: Column) -> Column:
+    """Sum of a bigint column as ``decimal(38,0)``."""
+    mask = 2**_PART_BITS - 1
+    parts = [
+        units.bitwiseAND(mask),
+        F.shiftright(units, _PART_BITS).bitwiseAND(mask),
+        F.shiftright(units, 2 * _PART_BITS),
+    ]
+    low, middle, high = (F.sum(part).cast("decimal(19,0)") for part in parts)
+    middle_unit, high_unit = (
+        F.lit(Decimal(2 ** (i * _PART_BITS))) for i in (1, 2)
+    )
+    return (high * high_unit + middle * middle_unit + low).cast("decimal(38,0)")
 
 
 def exact_avg(column: str, scale: int = 2) -> Column:
@@ -22,14 +37,13 @@ def exact_avg(column: str, scale: int = 2) -> Column:
     double holds such units exactly up to 2^53 of them. Nulls are ignored; no
     value gives null.
     """
+    if not 0 <= scale <= 6:
+        raise ValueError("scale must be from 0 to 6")
     units = F.rint(F.col(column) * 10**scale).cast("bigint")
-    high = F.sum(F.shiftright(units, _LOW_BITS)).cast("decimal(20,0)")
-    low = F.sum(units.bitwiseAND(2**_LOW_BITS - 1)).cast("decimal(20,0)")
-    total = high * F.lit(Decimal(2**_LOW_BITS)) + low
-    unit = F.lit(Decimal(1).scaleb(-scale))
-    return (total * unit).cast("double") / F.count(column)
+    total = _exact_sum(units) * F.lit(Decimal(1).scaleb(-scale))
+    return total.cast("double") / F.count(column)
 
 
 def wide_sum(column: str) -> Column:
     """Exact integer sum as ``decimal(38,0)``, for totals beyond bigint."""
-    return F.sum(F.col(column).cast("decimal(28,0)"))
+    return _exact_sum(F.col(column).cast("bigint"))

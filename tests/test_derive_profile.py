@@ -89,6 +89,32 @@ def test_sums_beyond_bigint(spark):
     assert rows(big.agg(wide_sum("v"))) == [(Decimal(3 * (2**63 - 1)),)]
 
 
+@settings(
+    max_examples=6,
+    deadline=None,
+    suppress_health_check=[HealthCheck.function_scoped_fixture],
+)
+@given(values=st.lists(st.none() | st.integers(-(2**63), 2**63 - 1), max_size=50))
+def test_wide_sum_of_any_integers(spark, values):
+    table = lookup_table(spark, [(v,) for v in values], "v bigint")
+    present = [v for v in values if v is not None]
+    expected = Decimal(sum(present)) if present else None
+    assert rows(table.agg(wide_sum("v"))) == [(expected,)]
+
+
+@pytest.mark.parametrize("scale", [-1, 7])
+def test_scales_beyond_the_exact_range_are_refused(scale):
+    with pytest.raises(ValueError, match="scale"):
+        exact_avg("price", scale)
+
+
+@pytest.mark.parametrize("scale", [0, 3, 6])
+def test_exact_avg_at_other_scales(spark, scale):
+    values = [n / 10**scale for n in (-7, 12, 2**40 + 1)]
+    table = lookup_table(spark, [(v,) for v in values], "price double")
+    expected = float(Decimal(2**40 + 6).scaleb(-scale)) / 3
+    assert rows(table.agg(exact_avg("price", scale))) == [(expected,)]
+
 @settings(
     max_examples=6,
     deadline=None,
