@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe_codec
+from framewright.llm import bpe_codec, merkle, mixing, token_counts
 from framewright.llm.registry import LLM_QUERIES, llm_query
 
 __all__ = ["LLM_QUERIES"]
@@ -29,3 +29,58 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@llm_query()
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(BYTE_BPE)
+    counted = token_counts.prefix_counts(_table(spark, sf_dir, "documents"), path)
+    n_tokens = token_counts.tokens_of("counts")
+    return counted.select(
+        "doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > 512).alias("over_limit")
+    )
+
+
+@llm_query()
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.neighbour_edits(_table(spark, sf_dir, "documents"))
+
+
+@llm_query("""
+    WITH sized AS (
+        SELECT doc_id, source,
+               len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size
+        FROM documents),
+    sources AS (
+        SELECT source, sum(size)::BIGINT AS source_size,
+               (CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3
+                    WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::BIGINT AS weight
+        FROM sized GROUP BY source),
+    ordered AS (
+        SELECT *, row_number() OVER (ORDER BY source_size / weight, source NULLS LAST) AS place
+        FROM sources),
+    levels AS (
+        SELECT (a.total - coalesce(sum(3 * b.source_size), 0))::DOUBLE
+                   / (a.weights - coalesce(sum(b.weight), 0))::DOUBLE AS level
+        FROM (SELECT o.place, t.* FROM ordered o,
+                     (SELECT sum(source_size) AS total, sum(weight) AS weights FROM ordered) t) a
+        LEFT JOIN ordered b ON b.place < a.place
+        GROUP BY a.place, a.total, a.weights),
+    targets AS (
+        SELECT source, source_size,
+               least(3 * source_size, weight * (SELECT max(level) FROM levels))::DOUBLE AS target
+        FROM ordered),
+    rated AS (
+        SELECT doc_id, size, source_size, target,
+               CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+               ('0x' || substr(md5('mix-1:' || doc_id), 1, 13))::BIGINT / 16.0::DOUBLE ** 13 AS u
+        FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source)
+    SELECT doc_id, size, source_size, target,
+           (size * (floor(rate) + (u < rate - floor(rate))::INT))::BIGINT AS taken
+    FROM rated
+""")
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.repetitions(_table(spark, sf_dir, "documents"))
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
+    )
