@@ -21,11 +21,11 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.batches import map_pieces, shuffle_width, texts_of
+from framewright.llm.batches import map_pieces, texts_of
+from framewright.llm.ordering import key_ranges, range_number
 
 LEAF_CHARACTERS = 96
 SECTION_ONE_IN = 8  # a paragraph in so many ends a section
@@ -150,30 +150,15 @@ def neighbour_edits(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     the first row of a range also goes, as a copy, to the end of the range before it,
     so no task needs another's rows. Ranges end at keys that exist, found by quantiles.
     """
-    spark = df.sparkSession
     rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    width = shuffle_width(spark)
-    marks = [i / width for i in range(1, width)] or [0.5]
-    found = rows.agg(
-        F.percentile_approx("key", marks, max(10_000, 20 * width)).alias("marks"),
-        F.max("key").alias("top"),
-    ).first()
-    top = found["top"]
-    ends = sorted({e for e in found["marks"] or [] if e < top})
+    ends, top = key_ranges(rows, "key")
     if top is None:  # no keys at all: the smallest text comes first
-        is_first = F.coalesce("text", F.lit("")) == F.lit(rows.agg(F.min(F.coalesce("text", F.lit("")))).first()[0])
+        known = F.coalesce("text", F.lit(""))
+        is_first = known == F.lit(rows.agg(F.min(known)).first()[0])
     else:
         is_first = F.coalesce(F.col("key") == top, F.lit(False))
 
-    @F.arrow_udf(T.IntegerType())
-    def range_of(keys: pa.Array) -> pa.Array:
-        import numpy as np
-
-        # null keys come last in descending order, so they join the lowest range
-        known = keys.fill_null(-(2**63)).to_numpy(zero_copy_only=False)
-        return pa.array(np.searchsorted(np.array(ends, dtype=np.int64), known).astype(np.int32))
-
-    placed = rows.withColumn("range", range_of("key"))
+    placed = rows.withColumn("range", range_number(ends, "key"))
     opens = F.coalesce(F.col("key").isin(ends), F.lit(False))
     copies = F.filter(
         F.array(
@@ -184,7 +169,7 @@ def neighbour_edits(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         lambda x: x.isNotNull(),
     )
     sent = placed.select("key", "text", F.explode(copies).alias("to")).select("to.*", "key", "text")
-    sorted_ = sent.repartitionById(max(len(ends) + 1, width), F.col("range")).sortWithinPartitions(
+    sorted_ = sent.repartitionById(len(ends) + 1, F.col("range")).sortWithinPartitions(
         "range", "copy", F.col("key").desc_nulls_last(), "text"
     )
     compared = sorted_.mapInArrow(_compare_neighbours, _EDIT_SCHEMA)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyspark.sql.types as T
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,3 +41,30 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     return placed.select(
         *(f"`{c}`" for c in df.columns), (F.col("__start") + F.col("__row")).alias(name)
     )
+
+
+def key_ranges(df: DataFrame, key: str) -> tuple[list[int], int | None]:
+    """The last keys of all ranges but the top one, and the largest key.
+
+    Quantiles of a bigint key, so about as many ranges as shuffle partitions, and
+    one number of each on the driver. Each range's last key exists in ``df``.
+    """
+    width = shuffle_width(df.sparkSession)
+    marks = [i / width for i in range(1, width)] or [0.5]
+    found = df.agg(
+        F.percentile_approx(key, marks, max(10_000, 20 * width)).alias("marks"),
+        F.max(key).alias("top"),
+    ).first()
+    top = found["top"]
+    return sorted({end for end in found["marks"] or [] if end < top}), top
+
+
+def range_number(ends: list[int], key: Column | str) -> Column:
+    """The range of a key; null keys fall into the lowest."""
+
+    @F.arrow_udf(T.IntegerType())
+    def number(keys: pa.Array) -> pa.Array:
+        known = keys.fill_null(-(2**63)).to_numpy(zero_copy_only=False)
+        return pa.array(np.searchsorted(np.array(ends, dtype=np.int64), known).astype(np.int32))
+
+    return number(key)

@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe_codec, merkle, mixing, token_counts
+from framewright.llm import bpe_codec, merkle, mixing, simple8b, token_counts
 from framewright.llm.registry import LLM_QUERIES, llm_query
 
 __all__ = ["LLM_QUERIES"]
 
 BYTE_BPE = "byte_bpe_50k.json"
+WORD_BPE = "word_bpe_49k.json"
+END_ID = 2
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,3 +86,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
     )
+
+
+@llm_query()
+def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(WORD_BPE)
+    written = simple8b.write_ids(_table(spark, sf_dir, "documents"), path, END_ID)
+    return simple8b.read_ids(spark, written).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
