@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe_codec, merkle, mixing, simple8b, token_counts
+from framewright.llm import bpe_codec, merkle, mixing, ngram_join, simple8b, token_counts
 from framewright.llm.registry import LLM_QUERIES, llm_query
 
 __all__ = ["LLM_QUERIES"]
@@ -95,3 +95,33 @@ def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read_ids(spark, written).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
     )
+
+
+@llm_query("""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x20\\x09-\\x0D]+') AS w
+        FROM documents),
+    shingles AS (
+        SELECT DISTINCT doc_id, unnest(
+            CASE WHEN len(w) = 0 THEN []
+                 WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                 ELSE [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]
+            END) AS s
+        FROM words),
+    sizes AS (
+        SELECT doc_id, count(s) AS n FROM documents LEFT JOIN shingles USING (doc_id) GROUP BY doc_id),
+    shared AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+        FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+        GROUP BY a.doc_id, b.doc_id),
+    links AS (
+        SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+        WHERE 100 * k >= 75 * (x.n + y.n - k)),
+    reached(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
+    SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(min(b), doc_id)) AS component_id
+    FROM sizes LEFT JOIN reached ON a = doc_id GROUP BY doc_id, n
+""")
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
