@@ -6,7 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe_codec, merkle, mixing, ngram_join, simple8b, token_counts
+from framewright.llm import (
+    bpe_codec,
+    merkle,
+    mixing,
+    ngram_join,
+    simple8b,
+    token_counts,
+    toxicity,
+)
 from framewright.llm.registry import LLM_QUERIES, llm_query
 
 __all__ = ["LLM_QUERIES"]
@@ -125,3 +133,15 @@ def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@llm_query()
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    machine = toxicity.fitted(documents, _table(spark, sf_dir, "labels"))
+    return toxicity.scores(documents, machine).select(
+        "doc_id",
+        toxicity.held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
