@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm import (
     bpe_codec,
+    language,
     merkle,
     mixing,
     ngram_join,
@@ -145,3 +146,21 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@llm_query()
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.fitted(_table(spark, sf_dir, "documents"))
+    host = language.host_of(F.col("url"))
+    found = F.regexp_extract("html", language.DECLARED, 1)
+    return language.identify(
+        _table(spark, sf_dir, "pages"),
+        model,
+        "page_id",
+        "html",
+        declared=F.when(found != "", found),
+        host=host,
+        domain=language.domain_of(host),
+        suffix=language.suffix_of(host),
+        markup=True,
+    ).select("page_id", "language", "confidence")
