@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm import (
     bpe_codec,
+    embedding_join,
     language,
     merkle,
     mixing,
@@ -164,3 +165,22 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         suffix=language.suffix_of(host),
         markup=True,
     ).select("page_id", "language", "confidence")
+
+
+@llm_query("""
+    WITH RECURSIVE vectors AS (
+        SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL),
+    links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b
+        FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id
+        WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+    reached(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+    least_of AS (SELECT a, min(b) AS b FROM reached GROUP BY a),
+    counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id,
+           vec_id = least(vec_id, coalesce(b, vec_id)) AS kept
+    FROM embeddings LEFT JOIN least_of ON least_of.a = vec_id LEFT JOIN counts ON counts.a = vec_id
+""")
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.near_duplicates(_table(spark, sf_dir, "embeddings"))
