@@ -10,6 +10,7 @@ from framewright.llm import (
     bpe_codec,
     embedding_join,
     language,
+    license_scan,
     merkle,
     mixing,
     ngram_join,
@@ -184,3 +185,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+@llm_query()
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
