@@ -29,45 +29,55 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.batches import map_pieces, stored, texts_of
+from framewright.llm.batches import looked_up, map_pieces, stored, texts_of
 from framewright.llm.components import components
-from framewright.llm.spans import mixed, ragged, runs_of, span_hashes
+from framewright.llm.spans import mixed, runs_of, span_hashes
 
 WORDS = 5
 PERCENT = 75
 BLOCK_ROWS = 2048  # rows of a tile that one task compares with as many others
 LOCALLY_FREQUENT = 8  # documents of one piece of a batch
 FREQUENT_SHARE = 1 / 2000  # of all documents; bounds the list of frequent shingles
-LOOKUP_ROWS = 2_000_000  # ids sent to all executors at most; beyond, a shuffled join
+_FACTOR = np.uint64(0xD6E8FEB86659FD93)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
-def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def shingle_runs(
+    texts: list[bytes], words: int = WORDS
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts in a row, and a hash for the run of words that each begins.
+
+    Returns the words' hashes, the runs' hashes, the words' starts and ends in the
+    texts joined by single bytes, and the number of words up to each text's end.
+    """
     codes = _LOWER[np.frombuffer(b"\n".join(texts), dtype=np.uint8)]
     starts, ends = runs_of(~_BLANK[codes])
     hashes = span_hashes(codes, starts, ends)
     lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
     last = np.searchsorted(starts, np.cumsum(lengths))
     runs = np.zeros(len(hashes), dtype=np.uint64)
-    factor = np.uint64(0xD6E8FEB86659FD93)
     for k in range(words):
-        runs *= factor
-        runs[: len(hashes) - k] += hashes[k:]
-    runs = mixed(runs)
+        runs *= _FACTOR
+        runs[: max(0, len(hashes) - k)] += hashes[k:]
+    return hashes, mixed(runs), starts, ends, last
+
+
+def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    hashes, runs, _, _, last = shingle_runs(texts, words)
     sets, first = [], 0
     for end in last.tolist():
         count = end - first
         if count >= words:
             sets.append(np.unique(runs[first : end - words + 1]))
         elif count:
-            steps = factor ** np.arange(1, count + 1, dtype=np.uint64)
+            steps = _FACTOR ** np.arange(1, count + 1, dtype=np.uint64)
             whole = (hashes[first:end] * steps).sum(dtype=np.uint64, keepdims=True)
             sets.append(mixed(whole + np.uint64(count)))
         else:
@@ -186,9 +196,9 @@ def prefixes(df: DataFrame, frequent: np.ndarray, text: str = "text") -> DataFra
 
 def full_sets(df: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     """``class`` and ``set`` (sorted, packed) of the documents whose ids are wanted."""
-    few = wanted.count() <= LOOKUP_ROWS
-    wanted = wanted.withColumnRenamed("id", key)
-    chosen = df.select(key, text).join(F.broadcast(wanted) if few else wanted, key, "left_semi")
+    chosen = df.select(key, text).join(
+        looked_up(wanted.withColumnRenamed("id", key)), key, "left_semi"
+    )
 
     def work(piece: pa.RecordBatch) -> dict[str, pa.Array]:
         sets = shingle_sets([t.encode("utf-8", "surrogatepass") for t in texts_of(piece, text)])
@@ -246,6 +256,26 @@ def _exactly(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(keep, "a bigint, b bigint")
 
 
+def _open_tiles(placed: DataFrame) -> DataFrame:
+    """Tiles that hold several components, one of those with the same classes.
+
+    A passage that texts share gives a tile for each of its shingles; these tiles
+    mostly hold the same classes and one of them has all the pairs.
+    """
+    member = [F.bit_xor(F.xxhash64("class", F.lit(salt))).alias(f"x{salt}") for salt in (1, 2)]
+    described = placed.groupBy("h").agg(
+        F.count("*").alias("rows"),
+        F.min("class").alias("low"),
+        F.max("class").alias("high"),
+        F.min("component").alias("one"),
+        F.max("component").alias("other"),
+        *member,
+    )
+    several = described.filter("one <> other")
+    one_of = several.groupBy("rows", "low", "high", "x1", "x2").agg(F.min("h").alias("h"))
+    return placed.join(one_of.select("h", "rows"), "h")
+
+
 def _tile_pairs(tiles: DataFrame) -> DataFrame:
     """Pairs of different components in a tile that sizes and signatures allow.
 
@@ -336,26 +366,27 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     shared = shared.filter("least <> most").select("h", "least")
     tiles = stored(rows.join(shared, "h").distinct(), "shingle-tiles")
 
-    involved = stored(tiles.select("class").distinct(), "shingle-classes")
-    known = heads.select("class", "n", "bits").join(involved, "class", "left_semi")
+    known = heads.select("class", "n", "bits").join(
+        tiles.select("class").distinct(), "class", "left_semi"
+    )
     known = stored(known.dropDuplicates(["class"]), "shingle-signatures")
-    smallest = documents.groupBy("class").agg(F.min("id").alias("id"))
-    ids = stored(smallest.join(involved, "class", "left_semi").filter("id is not null").select("id"), "shingle-ids")
-    sets = stored(full_sets(df, ids, key, text), "shingle-sets")
+    ids = documents.filter("id is not null").groupBy("class").agg(F.min("id").alias("id"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of few pairs whose sets are similar enough."""
+        pairs = stored(pairs, "shingle-pairs")
+        members = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        wanted = stored(ids.join(members, "class", "left_semi").select("id"), "shingle-ids")
+        sets = stored(full_sets(df, wanted, key, text), "shingle-sets")
+        return stored(_exactly(pairs, sets), "shingle-links")
 
     stars = tiles.filter("class <> least").select(F.col("least").alias("a"), F.col("class").alias("b"))
-    first = stored(_exactly(_by_signature(stars.distinct(), known), sets), "shingle-links")
+    first = linked(_by_signature(stars.distinct(), known))
     joined = components(first)
-
     placed = tiles.select("h", "class").join(joined, tiles["class"] == joined["node"], "left").select(
         "h", "class", F.coalesce("component", "class").alias("component")
     )
-    placed = stored(placed, "shingle-placed")
-    mixed_tiles = placed.groupBy("h").agg(
-        F.count("*").alias("rows"), F.min("component").alias("x"), F.max("component").alias("y")
-    )
-    open_ = placed.join(mixed_tiles.filter("x <> y").select("h", "rows"), "h").join(known, "class")
-    second = _exactly(stored(_tile_pairs(open_), "shingle-pairs"), sets)
+    second = linked(_tile_pairs(_open_tiles(stored(placed, "shingle-placed")).join(known, "class")))
 
     # rows of one id are one node, whatever their sets
     same_id = documents.filter("id is not null and class is not null").groupBy("id").agg(
@@ -378,3 +409,21 @@ def _labelled(documents: DataFrame, every: DataFrame, key: str) -> DataFrame:
     return documents.join(labels, "class", "left").select(
         F.col("id").alias(key), "n_shingles", own.alias("component_id")
     )
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` with the smallest id of each group of near-duplicates.
+
+    Of rows that repeat an id one stays, the first by text; rows without id stay.
+    """
+    found = near_duplicates(df, key, text)
+    gone = stored(found.filter(F.col(key) != F.col("component_id")).select(key).distinct(), "gone")
+    kept = df.join(looked_up(gone), key, "left_anti").select(*df.columns)
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).count()
+    twice = stored(counts.filter("count > 1").select(key), "repeated-ids")
+    if twice.isEmpty():
+        return kept
+    first = Window.partitionBy(key).orderBy(*(F.col(c).asc_nulls_first() for c in (text, *df.columns)))
+    again = kept.join(looked_up(twice), key, "left_semi").select(*df.columns)
+    again = again.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").drop("__nth")
+    return kept.join(looked_up(twice), key, "left_anti").select(*df.columns).unionByName(again)
