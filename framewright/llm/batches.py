@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Ids sent to all executors at most, 16 MB; longer lists are joined by a shuffle.
+LOOKUP_ROWS = 2_000_000
 # A batch that reaches Python holds up to 10,000 rows; work on it in pieces.
 PIECE_BYTES = 4 * 1024 * 1024
 
@@ -43,6 +45,7 @@ def map_pieces(
     keep: Sequence[str],
     outputs: str,
     prepare: Callable[[], Callable[[pa.RecordBatch], dict[str, pa.Array]]] | None = None,
+    piece_bytes: int = PIECE_BYTES,
 ) -> DataFrame:
     """Add Python-made columns to ``keep``, a piece of a batch at a time.
 
@@ -57,7 +60,7 @@ def map_pieces(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = function if prepare is None else prepare()
         for batch in batches:
-            for piece in pieces(batch, text):
+            for piece in pieces(batch, text, piece_bytes):
                 made = work(piece)
                 kept = {k: piece.column(piece.schema.get_field_index(k)) for k in keep}
                 yield pa.RecordBatch.from_pydict({**kept, **made})
@@ -93,6 +96,11 @@ def stored(df: DataFrame, purpose: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def looked_up(ids: DataFrame) -> DataFrame:
+    """A stored list of ids, broadcast if its counted size is within the bound."""
+    return F.broadcast(ids) if ids.count() <= LOOKUP_ROWS else ids
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The number of shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

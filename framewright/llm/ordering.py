@@ -14,10 +14,13 @@ from framewright.llm.batches import shuffle_width, stored
 
 
 def before_each(parts: DataFrame, part: str, amount: str, name: str) -> DataFrame:
-    """Add the sum of ``amount`` over smaller parts; one row per range, so few rows."""
+    """``part`` and the sum of ``amount`` over smaller parts: a row for each range.
+
+    Stored, so that Spark knows its size and broadcasts it if that is small.
+    """
     earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     total = F.coalesce(F.sum(amount).over(earlier), F.lit(0)).cast("bigint")
-    return parts.withColumn(name, total)
+    return stored(parts.select(part, total.alias(name)), "range-starts")
 
 
 def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
@@ -36,7 +39,7 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     )
     fixed = stored(ranged, "numbered")
     counts = fixed.groupBy("__part").agg(F.count("*").alias("__rows"))
-    starts = before_each(counts, "__part", "__rows", "__start").select("__part", "__start")
+    starts = before_each(counts, "__part", "__rows", "__start")
     placed = fixed.join(starts, "__part")
     return placed.select(
         *(f"`{c}`" for c in df.columns), (F.col("__start") + F.col("__row")).alias(name)

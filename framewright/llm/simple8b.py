@@ -34,6 +34,7 @@ COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE, REST = 0, 15
 BLOCK_WORDS = 256
+PIECE_BYTES = 1 << 20  # of text at a time: its ids and their words take some 60 times that
 _HELD = np.array([1, *COUNTS, 0], dtype=np.int64)  # ids by selector, escapes included
 
 
@@ -110,7 +111,7 @@ class WordEncoder:
 
     PLAIN = regex.compile(r"[\x00-įı-˿]*")
     CONTRACTION = regex.compile(r"'(?:[stmd]|re|ve|ll)")
-    CACHED_WORDS = 400_000
+    CACHED_WORDS = 200_000
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -236,7 +237,7 @@ def coded(
         return work
 
     outputs = "n_tokens bigint, words binary, block_starts array<int>"
-    return map_pieces(df, text, None, [key], outputs, prepare)
+    return map_pieces(df, text, None, [key], outputs, prepare, PIECE_BYTES)
 
 
 def write_ids(
@@ -289,7 +290,7 @@ def read_ids(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     """
     table = spark.read.parquet(path)
     totals = table.groupBy("range").agg(F.sum("n_tokens").alias("ids"))
-    before = before_each(totals, "range", "ids", "before").select("range", "before")
+    before = before_each(totals, "range", "ids", "before")
     placed = table.join(before, "range").select(
         F.col("key"), (F.col("before") + F.col("first")).alias("start"), "words"
     )
