@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.batches import map_pieces, stored, texts_of
+from framewright.llm.batches import looked_up, map_pieces, stored, texts_of
 
 UNKNOWN = "und"
 TRAINING_TEXTS = 400  # of each language, at most: those with the smallest hash of the id
@@ -158,7 +158,7 @@ def identify(
     suffix: Column | None = None,
     markup: bool = False,
 ) -> DataFrame:
-    """``key``, ``language``, ``confidence``, and ``posterior`` by language.
+    """``key``, ``language``, ``confidence``, and ``posterior`` in the model's order.
 
     ``markup`` tells that texts are pages of which only what is visible counts.
     """
@@ -183,74 +183,134 @@ def identify(
     return _fused(seen, names).withColumnRenamed("__key", key)
 
 
-def _softmax(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs)
-    parts = [F.exp(x - top) for x in logs]
-    total = sum(parts[1:], parts[0])
-    return [p / total for p in parts]
+def _shares(logs: np.ndarray) -> np.ndarray:
+    """Logarithms, row by row, to shares that add up to 1."""
+    parts = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return parts / parts.sum(axis=1, keepdims=True)
 
 
-def _fused(seen: DataFrame, names: list[str]) -> DataFrame:
-    size = len(names)
-    base = [(1 - UNKNOWN_SHARE) / max(1, size - 1)] * (size - 1) + [UNKNOWN_SHARE]
+def _rows(column: pa.Array, size: int) -> np.ndarray:
+    """A list column as a matrix, null lists as NaN."""
+    out = np.full((len(column), size), np.nan)
+    known = column.is_valid().to_numpy(zero_copy_only=False)
+    if known.any():
+        flat = column.drop_null().flatten().to_numpy(zero_copy_only=False)
+        out[known] = flat.reshape(-1, size)
+    return out
+
+
+def _base(size: int) -> np.ndarray:
+    """What is expected before any evidence."""
     if size == 1:
-        base = [1.0]
-    alone = _softmax([F.col("l")[i] + float(np.log(base[i])) for i in range(size)])
-    rows = stored(
-        seen.select("*", *(p.alias(f"t{i}") for i, p in enumerate(alone))), "language-evidence"
-    )
-    votes = [f"t{i}" for i in range(size)]
+        return np.ones(1)
+    return np.array([(1 - UNKNOWN_SHARE) / (size - 1)] * (size - 1) + [UNKNOWN_SHARE])
 
-    def sums(by: str, name: str) -> DataFrame:
-        return rows.filter(F.col(by).isNotNull()).groupBy(by).agg(
-            *(F.sum(v).alias(f"{name}{i}") for i, v in enumerate(votes))
-        )
+
+@dataclass
+class Fusion:
+    """How evidence is put together; ``everywhere`` are the shares over all texts."""
+
+    names: list[str]
+    everywhere: np.ndarray
+
+    def posterior(self, logs, votes, host, domain, suffix, declared, sign) -> np.ndarray:
+        """Posteriors of texts from likelihoods, own votes and grouped votes."""
+
+        def others(group: np.ndarray) -> np.ndarray:
+            return np.maximum(np.nan_to_num(group) - np.where(np.isnan(group), 0, votes), 0)
+
+        def smoothed(group: np.ndarray, strength: float, towards: np.ndarray) -> np.ndarray:
+            own = others(group)
+            return (own + strength * towards) / (own.sum(axis=1, keepdims=True) + strength)
+
+        def ratio(group: np.ndarray, expected: np.ndarray) -> np.ndarray:
+            found = smoothed(group, SIGN_STRENGTH, expected) / self.everywhere
+            return np.where(np.isnan(group), 0.0, np.log(found))
+
+        named = np.array([[s == n for n in self.names] for s in sign])
+        trusted = np.where(named, DECLARED_TRUST, (1 - DECLARED_TRUST) * self.everywhere)
+        known = named.any(axis=1, keepdims=True)  # another language tells nothing
+        trusted = np.where(known, trusted, self.everywhere)
+        prior = smoothed(host, HOST_STRENGTH, smoothed(domain, DOMAIN_STRENGTH, self.everywhere))
+        evidence = ratio(declared, trusted) + ratio(suffix, self.everywhere)
+        return _shares(logs + np.log(prior) + evidence)
+
+
+def _fused(seen: DataFrame, names: list[str]) -> DataFrame:
+    size, base = len(names), _base(len(names))
+
+    def vote(batches):
+        for batch in batches:
+            columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            votes = _shares(_rows(columns["l"], size) + np.log(base))
+            made = {f"t{i}": pa.array(votes[:, i]) for i in range(size)}
+            yield pa.RecordBatch.from_pydict({**columns, **made})
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in seen.schema)
+    votes = [f"t{i}" for i in range(size)]
+    doubles = ", ".join(f"{v} double" for v in votes)
+    rows = stored(seen.mapInArrow(vote, f"{fields}, {doubles}"), "language-evidence")
 
     total = rows.agg(*(F.sum(v).alias(v) for v in votes)).first()
-    everywhere = np.array([total[v] or 0.0 for v in votes]) + np.array(base)
-    everywhere = everywhere / everywhere.sum()
+    everywhere = np.array([total[v] or 0.0 for v in votes]) + base
+    fusion = Fusion(names, everywhere / everywhere.sum())
+
     joined = rows
-    for by, name in (("__host", "h"), ("__domain", "m"), ("__suffix", "s"), ("__declared", "d")):
-        joined = joined.join(sums(by, name), by, "left")
-
-    def smoothed(name: str, strength: float, towards: list[Column]) -> list[Column]:
-        """Shares of other texts that have the same host or domain."""
-        own = [F.coalesce(F.col(f"{name}{i}") - F.col(votes[i]), F.lit(0.0)) for i in range(size)]
-        own = [F.greatest(x, F.lit(0.0)) for x in own]
-        count = sum(own[1:], own[0])
-        return [(x + strength * t) / (count + strength) for x, t in zip(own, towards)]
-
-    domain = smoothed("m", DOMAIN_STRENGTH, [F.lit(float(x)) for x in everywhere])
-    prior = smoothed("h", HOST_STRENGTH, domain)
-
-    def sign(name: str, expected: list[Column | None]) -> list[Column]:
-        """How much likelier a language makes the sign than texts do at large."""
-        own = [F.greatest(F.col(f"{name}{i}") - F.col(votes[i]), F.lit(0.0)) for i in range(size)]
-        count = sum(own[1:], own[0])
-        out = []
-        for i in range(size):
-            share = F.lit(float(everywhere[i])) if expected[i] is None else expected[i]
-            ratio = (own[i] + SIGN_STRENGTH * share) / (
-                (count + SIGN_STRENGTH) * F.lit(float(everywhere[i]))
+    for sign in ("host", "domain", "suffix", "declared"):
+        by = f"__{sign}"
+        sums = rows.filter(F.col(by).isNotNull()).groupBy(by).agg(
+            F.array(*(F.sum(v) for v in votes)).alias(sign)
+        )
+        joined = joined.join(stored(sums, f"language-{sign}"), by, "left")
+    kind = seen.schema["__key"].dataType.simpleString()
+
+    def decide(batches):
+        for batch in batches:
+            columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            found = fusion.posterior(
+                *(_rows(columns[n], size) for n in ("l", "t", "host", "domain", "suffix", "declared")),
+                columns["__declared"].to_pylist(),
             )
-            out.append(F.coalesce(F.log(ratio), F.lit(0.0)))
-        return out
-
-    trusted = [
-        F.when(F.col("__declared") == n, DECLARED_TRUST).otherwise((1 - DECLARED_TRUST) * float(e))
-        for n, e in zip(names, everywhere)
-    ]
-    declared = sign("d", trusted)
-    suffix = sign("s", [None] * size)
-    posterior = _softmax(
-        [F.col("l")[i] + F.log(prior[i]) + declared[i] + suffix[i] for i in range(size)]
+            best = found.argmax(axis=1) if len(found) else np.zeros(0, dtype=int)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "__key": columns["__key"],
+                    "language": pa.array([names[i] for i in best], pa.string()),
+                    "confidence": pa.array(found[np.arange(len(found)), best]),
+                    "posterior": pa.array(list(found), pa.list_(pa.float64())),
+                }
+            )
+
+    gathered = joined.select(
+        "__key", "l", F.array(*votes).alias("t"), "host", "domain", "suffix", "declared", "__declared"
     )
-    named = joined.select("__key", *(p.alias(f"p{i}") for i, p in enumerate(posterior)))
-    best = F.greatest(*(F.col(f"p{i}") for i in range(size))) if size > 1 else F.col("p0")
-    choice = F.lit(names[-1])
-    for i in range(size - 2, -1, -1):
-        choice = F.when(F.col(f"p{i}") == best, names[i]).otherwise(choice)
-    pairs = [x for i, n in enumerate(names) for x in (F.lit(n), F.col(f"p{i}"))]
-    return named.select(
-        "__key", choice.alias("language"), best.alias("confidence"), F.create_map(*pairs).alias("posterior")
+    schema = f"`__key` {kind}, language string, confidence double, posterior array<double>"
+    return gathered.mapInArrow(decide, schema)
+
+
+def in_known_language(
+    df: DataFrame,
+    model: TextModel,
+    text: str = "text",
+    declared: str | None = "lang",
+    host: str | None = "source",
+    least: float = 0.5,
+) -> DataFrame:
+    """The rows of ``df`` in one of the model's languages, with all their columns.
+
+    Rejected are texts that are likelier in none of them, and those whose likeliest
+    language has less than ``least`` of the posterior. Few are, so their hashes are
+    looked up; the texts stay where they are unless there are too many of those.
+    """
+    named = df.withColumn("__row", F.xxhash64(*(f"`{c}`" for c in df.columns)))
+    found = identify(
+        named,
+        model,
+        "__row",
+        text,
+        declared=None if declared is None else F.col(declared),
+        host=None if host is None else F.col(host),
     )
+    bad = (F.col("language") == UNKNOWN) | (F.col("confidence") < least)
+    rejected = stored(found.filter(bad).select("__row").distinct(), "language-rejected")
+    return named.join(looked_up(rejected), "__row", "left_anti").drop("__row")

@@ -350,10 +350,10 @@ def fitted(
 _SCORES: dict[str, tuple[bytes, dict[str, float]]] = {}
 
 
-def score_pieces(machine: Machine | None, text: str):
+def score_pieces(machine: Machine | None, text: str, output: str = "score"):
     """The function that scores a piece of a batch; words met before aren't scored again."""
     if machine is None:
-        return lambda piece: {"score": pa.array(np.zeros(piece.num_rows))}
+        return lambda piece: {output: pa.array(np.zeros(piece.num_rows))}
     name = machine.table.tobytes() + np.float64(machine.offset).tobytes()
     if _SCORES.get("now", (b"",))[0] != name:
         _SCORES["now"] = name, {}
@@ -372,7 +372,7 @@ def score_pieces(machine: Machine | None, text: str):
             np.maximum.at(best, np.fromiter((n for _, n in pairs), np.int64), values)
         margins.update(zip(new, best.tolist()))
         found = [text_features(list(map(margins.__getitem__, row))) for row in rows]
-        return {"score": pa.array(machine.scores(np.array(found)))}
+        return {output: pa.array(machine.scores(np.array(found)))}
 
     return work
 
@@ -380,3 +380,12 @@ def score_pieces(machine: Machine | None, text: str):
 def scores(df: DataFrame, machine: Machine | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and the ``score`` of each text, from 0 to 1."""
     return map_pieces(df, text, None, [key], "score double", lambda: score_pieces(machine, text))
+
+
+def without_toxic(df: DataFrame, machine: Machine | None, text: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of ``df`` whose texts score below ``limit``, with all their columns."""
+    own = "__toxicity"
+    scored = map_pieces(
+        df, text, None, df.columns, f"{own} double", lambda: score_pieces(machine, text, own)
+    )
+    return scored.filter(F.col(own) < limit).drop(own)
