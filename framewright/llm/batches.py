@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 # Ids sent to all executors at most, 16 MB; longer lists are joined by a shuffle.
 LOOKUP_ROWS = 2_000_000
 # A batch that reaches Python holds up to 10,000 rows; work on it in pieces.
-PIECE_BYTES = 4 * 1024 * 1024
+PIECE_BYTES = 1 << 20
 
 
 def pieces(batch: pa.RecordBatch, text: str, piece_bytes: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,7 @@ from framewright.llm.spans import mixed, runs_of, span_hashes
 WORDS = 5
 PERCENT = 75
 BLOCK_ROWS = 2048  # rows of a tile that one task compares with as many others
-LOCALLY_FREQUENT = 8  # documents of one piece of a batch
+LOCALLY_FREQUENT = 4  # documents of one piece of a batch
 FREQUENT_SHARE = 1 / 2000  # of all documents; bounds the list of frequent shingles
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
 _LOWER = np.arange(256, dtype=np.uint8)
