@@ -12,21 +12,21 @@ from framewright.operators.derive import filter_derive
 from framewright.operators.enrich import attach_lookup, join_on_key
 from framewright.operators.ordering import ordered
 from framewright.operators.output import preview
-from framewright.operators.pivoting import pivot_measures
+from framewright.operators.pivoting import REFUSE, pivot_measures, pivot_values
 from framewright.operators.profile import profile
 from framewright.operators.ranking import (
     rank_values,
     rank_within,
     rank_within_balanced,
 )
-from framewright.operators.skew import HotGroups, hot_groups
+from framewright.operators.skew import hot_groups
 from framewright.sources.session import RECOMMENDED_SETTINGS, obtain_session
 from framewright.sources.tables import load_table, lookup_table
 
 __all__ = [
     "ELSE",
     "BandRule",
-    "HotGroups",
+    "REFUSE",
     "RECOMMENDED_SETTINGS",
     "arrow_bands",
     "attach_lookup",
@@ -40,6 +40,7 @@ __all__ = [
     "obtain_session",
     "ordered",
     "pivot_measures",
+    "pivot_values",
     "preview",
     "profile",
     "rank_values",

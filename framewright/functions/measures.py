@@ -28,22 +28,39 @@ def _exact_sum(units: Column) -> Column:
     return (high * high_unit + middle * middle_unit + low).cast("decimal(38,0)")
 
 
-def exact_avg(column: str, scale: int = 2) -> Column:
+def exact_avg(column: str, scale: int) -> Column:
     """Average of a money-like double column, the same on every run.
 
     Adding doubles in another order changes the last digits, and a shuffle does
     not fix the order. The values are added as whole units of ``10^-scale`` and
-    divided once at the end; finer digits are rounded to the nearest unit. A
-    double holds such units exactly up to 2^53 of them. Nulls are ignored; no
-    value gives null.
+    divided once at the end. A value with finer digits, or of more than 2^53
+    units, which a double can't tell apart, ends the query. Nulls are ignored;
+    no value gives null; NaN and infinities give what ``avg`` gives.
     """
     if not 0 <= scale <= 6:
         raise ValueError("scale must be from 0 to 6")
-    units = F.rint(F.col(column) * 10**scale).cast("bigint")
+    value = F.col(column).cast("double")
+    odd = F.isnan(value) | (F.abs(value) == float("inf"))
+    scaled = F.rint(value * 10**scale)
+    on_grid = (F.abs(scaled) <= 2.0**53) & (scaled / 10**scale == value)
+    refusal = F.raise_error(
+        F.concat(F.lit(f"not a multiple of 10^-{scale} within 2^53 units: "), value.cast("string"))
+    )
+    # a null or odd value takes no branch that would look at its units
+    units = F.when(value.isNull() | odd, F.lit(None).cast("bigint")).when(
+        on_grid, scaled.cast("bigint")
+    ).otherwise(refusal.cast("bigint"))
     total = _exact_sum(units) * F.lit(Decimal(1).scaleb(-scale))
-    return total.cast("double") / F.count(column)
+    return F.when(F.max(odd), F.avg(value)).otherwise(total.cast("double") / F.count(value))
 
 
 def wide_sum(column: str) -> Column:
-    """Exact integer sum as ``decimal(38,0)``, for totals beyond bigint."""
-    return _exact_sum(F.col(column).cast("bigint"))
+    """Exact integer sum as ``decimal(38,0)``, for totals beyond bigint.
+
+    A value that isn't a whole number ends the query.
+    """
+    value = F.col(column)
+    whole = value.cast("bigint")
+    refusal = F.raise_error(F.concat(F.lit("not a whole number: "), value.cast("string")))
+    checked = F.when(value.isNull() | (value == whole), whole).otherwise(refusal.cast("bigint"))
+    return _exact_sum(checked)

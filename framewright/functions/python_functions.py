@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable
+from decimal import Decimal
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,6 +33,20 @@ def null_safe_udf(function: Callable, return_type: DataType | str = "string"):
     return F.udf(guarded, return_type, useArrow=True)
 
 
+def _comparable(values: pa.Array, cut) -> tuple[pa.Array, pa.Scalar]:
+    """Values and cut in the type in which Spark compares them.
+
+    Where one is a fraction in floating point, that is double, however large an
+    integer on the other side; Arrow would refuse what a double can't hold.
+    """
+    if pa.types.is_floating(values.type) or isinstance(cut, float):
+        return values.cast(pa.float64(), safe=False), pa.scalar(float(cut), pa.float64())
+    if pa.types.is_decimal(values.type):
+        wide = pa.decimal256(76, values.type.scale)
+        return values.cast(wide), pa.scalar(Decimal(cut))
+    return values, pa.scalar(cut)
+
+
 def arrow_bands(rule: BandRule):
     """A ``BandRule`` evaluated in Python, one whole Arrow batch at a time."""
     comparison = {
@@ -47,7 +62,8 @@ def arrow_bands(rule: BandRule):
 
     @F.arrow_udf("string")
     def banded(values: pa.Array) -> pa.Array:
-        holds = [pc.call_function(comparison, [values, cut]) for cut in cuts]
+        sides = [_comparable(values, cut) for cut in cuts]
+        holds = [pc.call_function(comparison, list(side)) for side in sides]
         if upward and pa.types.is_floating(values.type):
             # Spark orders NaN above every number, Arrow compares it as false
             holds = [pc.or_(h, pc.is_nan(values)) for h in holds]

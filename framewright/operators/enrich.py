@@ -5,13 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from framewright.names import shared_names
 from framewright.sources.tables import lookup_table
 
-LOOKUP_BROADCAST_BYTES = 8 * 1024 * 1024
-
 
 def join_on_key(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """Inner equi-join with one copy of each key and no ambiguous column.
@@ -26,10 +24,13 @@ def join_on_key(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> D
     execution then splits a key that holds an outsized share of the rows.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    shared = sorted((set(left.columns) & set(right.columns)) - set(keys))
+    rest = [name for name in right.columns if name not in keys]
+    shared = shared_names(left, left.columns, rest)
     if shared:
         raise ValueError(f"columns on both sides besides the key: {shared}")
     for key in keys:
+        if key not in left.columns or key not in right.columns:
+            raise ValueError(f"key {key!r} is missing on one side")
         types = left.schema[key].dataType, right.schema[key].dataType
         if types[0] != types[1]:
             raise ValueError(
@@ -44,16 +45,11 @@ def attach_lookup(
     rows: Iterable[Sequence],
     schema: str | StructType,
     on: str | Sequence[str],
-    broadcast_bytes: int = LOOKUP_BROADCAST_BYTES,
 ) -> DataFrame:
     """Inner join with reference rows held in the program.
 
-    The rows are at hand, so their size is measured, not guessed: within
-    ``broadcast_bytes`` the lookup is broadcast and the table is not shuffled;
-    beyond it the join is left to Spark.
+    Rows of ``df`` without a reference row drop, as in any inner join. The rows
+    become a local relation of known size, so Spark's own threshold decides
+    whether they are broadcast.
     """
-    rows = list(rows)
-    lookup = lookup_table(df.sparkSession, rows, schema)
-    if sum(len(repr(value)) for row in rows for value in row) <= broadcast_bytes:
-        lookup = F.broadcast(lookup)
-    return join_on_key(df, lookup, on)
+    return join_on_key(df, lookup_table(df.sparkSession, rows, schema), on)

@@ -6,6 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from framewright.functions.measures import exact_avg, wide_sum
+from framewright.names import column, quoted, repeated_names
 
 _FUNCTIONS = {"avg": F.avg, "min": F.min, "max": F.max, "sum": F.sum}
 
@@ -16,27 +20,47 @@ def profile(
     measures: Mapping[str, str | Sequence[str]] | None = None,
     rows: str | None = "n_rows",
     extra: Mapping[str, Column] | None = None,
+    scales: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """One row per key combination, or one row in all when ``keys`` is empty.
 
-    ``measures`` maps a column to one or more of ``avg``, ``min``, ``max`` and
-    ``sum``; each result is named ``<function>_<column>``. ``rows`` names the
-    row count (nulls count too), ``None`` leaves it out. ``extra`` takes any
-    other aggregate under its own name.
+    ``measures`` maps a column to one or more of ``avg``, ``min``, ``max``,
+    ``sum``, ``wide_sum`` and ``exact_avg``; each result is named
+    ``<function>_<column>``. ``wide_sum`` takes integer columns only;
+    ``exact_avg`` also takes fractions, whose decimal places ``scales`` gives.
+    ``rows`` names the row count (nulls count too), ``None`` leaves it out.
+    ``extra`` takes any other aggregate under its own name.
 
     All measures share one partial and one final aggregate, so a group holding
     most of the rows is reduced to one row per task before the shuffle.
     """
     aggregates = [] if rows is None else [F.count("*").alias(rows)]
-    for column, names in (measures or {}).items():
+    for source, names in (measures or {}).items():
         for name in [names] if isinstance(names, str) else names:
-            if name not in _FUNCTIONS:
-                raise ValueError(f"unknown measure {name!r}, use {sorted(_FUNCTIONS)}")
-            aggregates.append(_FUNCTIONS[name](column).alias(f"{name}_{column}"))
+            measure = _measure(df, source, name, scales or {})
+            aggregates.append(measure.alias(f"{name}_{source}"))
     aggregates += [expr.alias(name) for name, expr in (extra or {}).items()]
     if not aggregates:
         raise ValueError("nothing to compute")
-    result = df.groupBy(*keys).agg(*aggregates)
-    if len(set(result.columns)) < len(result.columns):
+    result = df.groupBy(*map(column, keys)).agg(*aggregates)
+    if repeated_names(df, result.columns):
         raise ValueError(f"output names repeat: {result.columns}")
     return result
+
+
+def _measure(df: DataFrame, source: str, name: str, scales: Mapping[str, int]) -> Column:
+    if name in _FUNCTIONS:
+        return _FUNCTIONS[name](column(source))
+    if name not in ("wide_sum", "exact_avg"):
+        known = sorted([*_FUNCTIONS, "wide_sum", "exact_avg"])
+        raise ValueError(f"unknown measure {name!r}, use {known}")
+    whole = isinstance(df.schema[source].dataType, IntegralType)
+    if name == "wide_sum":
+        if not whole:
+            raise ValueError(f"wide_sum needs an integer column, {source!r} is none")
+        return wide_sum(quoted(source))
+    if whole:
+        return wide_sum(quoted(source)).cast("double") / F.count(column(source))
+    if source not in scales:
+        raise ValueError(f"exact_avg needs the decimal places of {source!r} in scales")
+    return exact_avg(quoted(source), scales[source])

@@ -11,8 +11,9 @@ Three forms, by what the groups look like:
     The same result for groups of any size: groups too large for one task are
     cut into ordered slices.
 
-All ranks are bigint. Spark's own are int, which a group of more than 2^31 rows
-would overflow.
+All ranks are bigint columns. Within one task Spark counts ranks in int, so
+``rank_within`` is for groups below 2^31 rows, as is any group that one task can
+sort; the balanced form adds bigint offsets to slices and has no such limit.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.names import column, repeated_names, shared_names
 from framewright.operators.skew import hot_groups
 from framewright.sources.staging import staging_folder
 
@@ -41,18 +43,22 @@ class RankNames:
 
 
 def _directed(by: str, descending: bool) -> Column:
-    return F.col(by).desc() if descending else F.col(by).asc()
+    return column(by).desc() if descending else column(by).asc()
 
 
 def _columns(names: str | Sequence[str]) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 
 
-def _refuse_clashes(taken: Sequence[str], new: Sequence[str]) -> None:
+def _refuse_clashes(df: DataFrame, taken: Sequence[str], new: Sequence[str]) -> None:
     """Added columns must be new: Spark would replace or repeat them silently."""
-    clashes = sorted(set(taken) & set(new))
-    if clashes or len(set(new)) < len(new):
-        raise ValueError(f"output names clash: {clashes or sorted(new)}")
+    clashes = shared_names(df, taken, new) + repeated_names(df, new)
+    if clashes:
+        raise ValueError(f"output names clash: {clashes}")
+
+
+def _refs(names: Sequence[str]) -> list[Column]:
+    return [column(name) for name in names]
 
 
 def rank_values(
@@ -71,13 +77,13 @@ def rank_values(
     are ordered in one task. Where a large group has mostly distinct values,
     aggregate the result of ``rank_within_balanced`` instead.
     """
-    _refuse_clashes([*keys, by], [rows, names.rank, names.dense_rank])
-    counted = df.groupBy(*keys, by).agg(F.count("*").alias(rows))
-    order = Window.partitionBy(*keys).orderBy(_directed(by, descending))
-    so_far = F.sum(rows).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    _refuse_clashes(df, [*keys, by], [rows, names.rank, names.dense_rank])
+    counted = df.groupBy(*_refs(keys), column(by)).agg(F.count("*").alias(rows))
+    order = Window.partitionBy(*_refs(keys)).orderBy(_directed(by, descending))
+    so_far = F.sum(column(rows)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     return counted.withColumns(
         {
-            names.rank: so_far - F.col(rows) + 1,
+            names.rank: so_far - column(rows) + 1,
             names.dense_rank: F.dense_rank().over(order).cast("bigint"),
         }
     )
@@ -94,14 +100,15 @@ def rank_within(
     """Add rank, dense rank and row number of ``by`` within each group.
 
     Ties share a rank and a dense rank; the ``tie_breaker``, one or more columns
-    that are unique together, orders them ascending for the row number. The row number is computed first, because
-    its order begins with the order of the ranks: one sort then serves all
-    three. Ranks a later ``select`` drops are not computed.
+    that are unique together, orders them ascending for the row number. The row
+    number is computed first, because its order begins with the order of the
+    ranks: one sort then serves all three. Ranks a later ``select`` drops are not
+    computed.
     """
-    _refuse_clashes(df.columns, [names.rank, names.dense_rank, names.row_number])
-    group = Window.partitionBy(*keys)
+    _refuse_clashes(df, df.columns, [names.rank, names.dense_rank, names.row_number])
+    group = Window.partitionBy(*_refs(keys))
     ties = group.orderBy(_directed(by, descending))
-    unique = group.orderBy(_directed(by, descending), *_columns(tie_breaker))
+    unique = group.orderBy(_directed(by, descending), *_refs(_columns(tie_breaker)))
     return df.withColumn(
         names.row_number, F.row_number().over(unique).cast("bigint")
     ).withColumns(
@@ -121,36 +128,48 @@ def rank_within_balanced(
     names: RankNames = RankNames(),
     hot_rows: int = HOT_ROWS,
     slice_rows: int = SLICE_ROWS,
+    folder: str | None = None,
 ) -> DataFrame:
     """``rank_within`` for groups of any size, for instance a third of all rows.
 
-    Not lazy: the keys are first counted, to find groups of ``hot_rows`` rows or
-    more. Without one, this is ``rank_within``. The rows of hot groups are
-    written once to the shared checkpoint folder, cut by range into slices of
-    about ``slice_rows`` rows, so that each task sorts one slice. Every row of
-    every group is ranked either way, and exactly.
+    Not lazy: the keys are first counted, to find exactly the groups of
+    ``hot_rows`` rows or more. Without one, this is ``rank_within``. The rows of
+    hot groups are written once below ``folder`` (the session's checkpoint
+    directory if ``None``), cut by range into slices of about ``slice_rows``
+    rows, so that each task sorts one slice. Every row of every group is ranked
+    either way, and exactly. The written rows are needed until the result has
+    been computed; whoever names the folder may then remove it.
 
     ``df`` is read several times when groups are hot, and all its columns are
     written: select the needed ones before, and store an expensive result.
     """
-    _refuse_clashes(df.columns, [names.rank, names.dense_rank, names.row_number])
+    _refuse_clashes(df, df.columns, [names.rank, names.dense_rank, names.row_number])
     reserved = [column for column in df.columns if column.startswith("_")]
     if reserved:
         raise ValueError(f"rename columns with a leading underscore: {reserved}")
-    hot = hot_groups(df, keys, hot_rows)
-    if not hot:
+    place = staging_folder(df.sparkSession, "rank-slices", folder)
+    found = hot_groups(df, keys, hot_rows, rows="_rows")
+    found = found.select(*(column(k).alias(f"_hot_{k}") for k in keys), "_rows")
+    # few rows of known size, so Spark can choose to broadcast them
+    hot = _stored(found, f"{place}/groups")
+    total = hot.agg(F.sum("_rows")).first()[0]
+    if not total:
         return rank_within(df, keys, by, tie_breaker, descending, names)
+    same = F.lit(True)
+    for key in keys:
+        same &= column(key).eqNullSafe(column(f"_hot_{key}"))
     ordinary = rank_within(
-        df.filter(~hot.holds()), keys, by, tie_breaker, descending, names
+        df.join(hot, same, "left_anti"), keys, by, tie_breaker, descending, names
     )
     sliced = _rank_in_slices(
-        df.filter(hot.holds()),
+        df.join(hot, same, "left_semi"),
         keys,
         by,
         tie_breaker,
         descending,
         names,
-        slices=math.ceil(hot.rows / slice_rows),
+        slices=math.ceil(total / slice_rows),
+        folder=place,
     )
     return ordinary.unionByName(sliced)
 
@@ -163,6 +182,7 @@ def _rank_in_slices(
     descending: bool,
     names: RankNames,
     slices: int,
+    folder: str,
 ) -> DataFrame:
     """Rank inside each range slice, then shift by what earlier slices hold.
 
@@ -170,9 +190,8 @@ def _rank_in_slices(
     the slices fixes them: the offsets and the ranks read the same cut, also
     after an executor is lost.
     """
-    folder = staging_folder(df.sparkSession, "rank-slices")
     ranged = df.repartitionByRange(
-        slices, *keys, _directed(by, descending), *_columns(tie_breaker)
+        slices, *_refs(keys), _directed(by, descending), *_refs(_columns(tie_breaker))
     )
     staged = _stored(ranged.withColumn("_slice", F.spark_partition_id()), f"{folder}/rows")
     # at most one row per slice and one more per group; with its size known from
@@ -180,7 +199,7 @@ def _rank_in_slices(
     offsets = _stored(_slice_offsets(staged, keys, by, descending), f"{folder}/offsets")
     offsets = offsets.select(
         F.col("_slice").alias("_offset_slice"),
-        *(F.col(key).alias(f"_offset_{key}") for key in keys),
+        *(column(key).alias(f"_offset_{key}") for key in keys),
         "_rows_before",
         "_values_before",
         "_head_rank",
@@ -191,15 +210,15 @@ def _rank_in_slices(
     )
     same_piece = F.col("_slice") == F.col("_offset_slice")
     for key in keys:
-        same_piece &= F.col(key).eqNullSafe(F.col(f"_offset_{key}"))
-    rank = F.col(names.rank)
+        same_piece &= column(key).eqNullSafe(column(f"_offset_{key}"))
+    rank = column(names.rank)
     return local.join(offsets, same_piece).select(
-        *df.columns,
-        (F.col("_rows_before") + F.col(names.row_number)).alias(names.row_number),
+        *_refs(df.columns),
+        (F.col("_rows_before") + column(names.row_number)).alias(names.row_number),
         F.when(rank == 1, F.col("_head_rank"))
         .otherwise(F.col("_rows_before") + rank)
         .alias(names.rank),
-        (F.col("_values_before") + F.col(names.dense_rank)).alias(names.dense_rank),
+        (F.col("_values_before") + column(names.dense_rank)).alias(names.dense_rank),
     )
 
 
@@ -218,13 +237,13 @@ def _slice_offsets(
     several pieces; its rank is set where it starts, and its value counts once.
     """
     # nulls compare as the lowest value, as they sort in both directions
-    value = F.struct(F.col(by).isNotNull().alias("present"), F.col(by).alias("value"))
+    value = F.struct(column(by).isNotNull().alias("present"), column(by).alias("value"))
     first, last = (F.max, F.min) if descending else (F.min, F.max)
     last_by = F.min_by if descending else F.max_by
     pieces = (
-        staged.groupBy("_slice", *keys, by)
+        staged.groupBy("_slice", *_refs(keys), column(by))
         .agg(F.count("*").alias("_ties"))
-        .groupBy("_slice", *keys)
+        .groupBy("_slice", *_refs(keys))
         .agg(
             F.sum("_ties").alias("_rows"),
             F.count("*").alias("_values"),
@@ -233,10 +252,10 @@ def _slice_offsets(
             last_by("_ties", value).alias("_tail_rows"),
         )
     )
-    order = Window.partitionBy(*keys).orderBy("_slice")
+    order = Window.partitionBy(*_refs(keys)).orderBy("_slice")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    same_tail = Window.partitionBy(*keys, "_tail")
+    same_tail = Window.partitionBy(*_refs(keys), "_tail")
 
     pieces = pieces.withColumns(
         {
@@ -249,7 +268,7 @@ def _slice_offsets(
     repeated = F.sum(F.col("_continues").cast("bigint")).over(upto)
     return pieces.select(
         "_slice",
-        *keys,
+        *_refs(keys),
         "_rows_before",
         (F.coalesce(F.sum("_values").over(before), F.lit(0)) - repeated).alias(
             "_values_before"

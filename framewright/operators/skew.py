@@ -3,61 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Keys are counted by hash bucket, which bounds both the rows a task can send
-# into the shuffle and the rows that reach the driver.
-BUCKETS = 65536
-# A bucket stands out only well above the mean, so that evenly spread keys are
-# not all taken for hot where the mean bucket itself is large.
-TIMES_THE_MEAN = 4
-
-
-@dataclass(frozen=True)
-class HotGroups:
-    """Hash buckets holding a group of at least the asked size.
-
-    All groups of a bucket count as hot together. That a small group shares the
-    bucket of a large one costs a little balance and changes no result.
-    """
-
-    keys: tuple[str, ...]
-    buckets: tuple[int, ...]
-    rows: int
+from framewright.names import column
 
-    def __bool__(self) -> bool:
-        return bool(self.buckets)
-
-    def holds(self) -> Column:
-        """True on the rows of hot groups, never null."""
-        return _bucket(self.keys).isin(list(self.buckets))
+# Keys are first counted by hash bucket, which bounds the rows that a task sends
+# into the shuffle; keys themselves are counted in full buckets only.
+BUCKETS = 65536
 
 
 def _bucket(keys: Sequence[str]) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.xxhash64(*map(column, keys)), F.lit(BUCKETS)).cast("int")
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], min_rows: int) -> HotGroups:
-    """Find the groups of ``keys`` with at least ``min_rows`` rows.
+def hot_groups(df: DataFrame, keys: Sequence[str], min_rows: int, rows: str = "rows") -> DataFrame:
+    """The groups of ``keys`` with at least ``min_rows`` rows, and how many.
 
-    Runs one job at once: a scan of the key columns and exact counts per hash
-    bucket, combined in each task before the shuffle. No group of ``min_rows``
-    or more is missed unless it is below ``TIMES_THE_MEAN / BUCKETS`` of the
-    table, about 1 / 16,000; at most that many buckets come back.
+    Exact at any table size: a bucket with fewer rows holds no such group, and in
+    the others each key is counted. At most one group for every ``min_rows`` rows
+    of the table comes back. Both counts are combined in each task first.
     """
-    counts = df.select(_bucket(keys).alias("bucket")).groupBy("bucket").count()
-    large = F.when(F.col("count") >= min_rows, F.struct("bucket", "count"))
-    found = counts.agg(
-        F.sum("count").alias("rows"), F.collect_list(large).alias("large")
-    ).first()
-    threshold = TIMES_THE_MEAN * (found["rows"] or 0) / BUCKETS
-    hot = [(item["bucket"], item["count"]) for item in found["large"]]
-    hot = [(bucket, count) for bucket, count in hot if count >= threshold]
-    return HotGroups(
-        keys=tuple(keys),
-        buckets=tuple(sorted(bucket for bucket, _ in hot)),
-        rows=sum(count for _, count in hot),
-    )
+    marked = df.select(*map(column, keys), _bucket(keys).alias("__bucket"))
+    full = marked.groupBy("__bucket").count().filter(F.col("count") >= min_rows)
+    within = marked.join(full.select("__bucket"), "__bucket", "left_semi")
+    counts = within.groupBy(*map(column, keys)).agg(F.count("*").alias(rows))
+    return counts.filter(column(rows) >= min_rows)

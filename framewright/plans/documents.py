@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions.bands import BandRule
-from framewright.functions.python_functions import arrow_bands, null_safe_udf
+from framewright.functions.python_functions import arrow_bands
 from framewright.operators.derive import filter_derive
 from framewright.operators.enrich import attach_lookup, join_on_key
 from framewright.operators.ordering import ordered
-from framewright.operators.pivoting import pivot_measures
+from framewright.operators.pivoting import REFUSE, pivot_measures
 from framewright.operators.profile import profile
-from framewright.operators.ranking import RankNames, rank_within, rank_within_balanced
+from framewright.operators.ranking import RankNames, rank_values, rank_within_balanced
 from framewright.plans.registry import query
 from framewright.sources.tables import load_table
 
@@ -141,6 +141,17 @@ def rank_trio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_within_balanced(documents, ["source"], "n_chars", "doc_id", names=TRIO)
 
 
+@query(RANK_TRIO_SQL)
+def rank_trio_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ranks with every source of 40 documents or more cut into slices."""
+    documents = load_table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "n_chars"
+    )
+    return rank_within_balanced(
+        documents, ["source"], "n_chars", "doc_id", names=TRIO, hot_rows=40, slice_rows=200
+    )
+
+
 @query(RANK_TRIO_SQL + " ORDER BY source, size_rank, doc_id")
 def ranks_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered(rank_trio(spark, sf_dir), "source", "size_rank", tie_breaker="doc_id")
@@ -173,31 +184,11 @@ def category_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(CATEGORY_SQL)
-def category_scalar_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cuts, lowest = CATEGORY.cuts, CATEGORY.otherwise
-
-    # defined here so that it is sent to the executors by value
-    def category(n_chars: int) -> str:
-        return next((label for cut, label in cuts if n_chars >= cut), lowest)
-
-    return filter_derive(
-        load_table(spark, sf_dir, "documents"),
-        keep=["doc_id", "n_chars"],
-        derived={"category": null_safe_udf(category)("n_chars")},
-    )
-
-
 @query(CATEGORY_SQL + " ORDER BY n_chars DESC, doc_id")
 def category_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the sort samples its input first, so the Python function runs after it
-    documents = ordered(
-        load_table(spark, sf_dir, "documents").select("doc_id", "n_chars"),
-        "n_chars",
-        ascending=False,
-        tie_breaker="doc_id",
+    return ordered(
+        category_native(spark, sf_dir), "n_chars", ascending=False, tie_breaker="doc_id"
     )
-    return filter_derive(documents, derived={"category": arrow_bands(CATEGORY)("n_chars")})
 
 
 @query("""
@@ -227,6 +218,7 @@ def pivot_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
         "size",
         PIVOT_SIZE.labels,
         {"avg_chars": F.avg("n_chars"), "count": F.count(F.lit(1))},
+        other=REFUSE,
     )
 
 
@@ -251,8 +243,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"n_chars": "avg", "quality": "sum"},
         rows="n_docs",
     )
-    # ranks the aggregated rows, one per language and source, not the documents
-    ranked = rank_within(
-        stats, ["lang"], "n_docs", "source", names=RankNames(rank="source_rank")
+    # ranks each distinct count once, so a language with a source for every web
+    # host isn't sorted as a whole in one task
+    ranks = rank_values(stats, ["lang"], "n_docs", names=RankNames(rank="source_rank"))
+    ranks = ranks.select(
+        F.col("lang").alias("ranked_lang"), F.col("n_docs").alias("ranked_docs"), "source_rank"
     )
-    return ranked.select(*stats.columns, "source_rank")
+    same = F.col("lang").eqNullSafe(F.col("ranked_lang"))
+    joined = stats.join(ranks, same & (F.col("n_docs") == F.col("ranked_docs")))
+    return joined.select(*stats.columns, "source_rank")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.functions.measures import exact_avg, wide_sum
+from framewright.functions.measures import exact_avg
 from framewright.operators.enrich import join_on_key
 from framewright.operators.pivoting import pivot_measures
 from framewright.operators.profile import profile
@@ -15,14 +15,25 @@ from framewright.sources.tables import load_table
 
 
 @query("""
-    SELECT count(*) AS n_ids, sum(range)::DOUBLE AS sum_ids
-    FROM range(0, (SELECT count(*) FROM orders))
+    SELECT range AS number, count(l_linenumber) AS n_lines,
+           coalesce(sum(l_partkey), 0)::BIGINT AS sum_l_partkey
+    FROM range(0, (SELECT max(l_linenumber) + 1 FROM lineitem)::BIGINT)
+    LEFT JOIN lineitem ON l_linenumber = range
+    GROUP BY range
 """)
 def range_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # one number comes back: the length of a sequence as long as the table
-    length = load_table(spark, sf_dir, "orders").count()
-    totals = profile(spark.range(length), rows="n_ids", extra={"total": wide_sum("id")})
-    return totals.select("n_ids", F.col("total").cast("double").alias("sum_ids"))
+    """Lines and exact part totals of every number up to the largest line number."""
+    lines = load_table(spark, sf_dir, "lineitem")
+    largest = profile(lines, measures={"l_linenumber": "max"}, rows=None).first()[0]
+    # aggregated first, so the join meets one row per number
+    totals = profile(lines, ["l_linenumber"], {"l_partkey": "wide_sum"}, rows="n_lines")
+    numbers = spark.range(0 if largest is None else largest + 1)
+    joined = numbers.join(totals, numbers["id"] == totals["l_linenumber"], "left")
+    return joined.select(
+        F.col("id").alias("number"),
+        F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
+        F.coalesce("wide_sum_l_partkey", F.lit(0)).cast("bigint").alias("sum_l_partkey"),
+    )
 
 
 @query("""
@@ -52,7 +63,7 @@ def line_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
         ["l_returnflag", "l_linestatus"],
         {"l_extendedprice": ["min", "max"], "l_quantity": "avg"},
         rows="n_lines",
-        extra={"avg_price": exact_avg("l_extendedprice")},
+        extra={"avg_price": exact_avg("l_extendedprice", scale=2)},
     )
 
 
@@ -106,7 +117,11 @@ def line_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
            max(o_totalprice) FILTER (o_orderstatus = 'O') AS O_max_price,
            nullif(count(*) FILTER (o_orderstatus = 'O'), 0) AS O_count,
            max(o_totalprice) FILTER (o_orderstatus = 'P') AS P_max_price,
-           nullif(count(*) FILTER (o_orderstatus = 'P'), 0) AS P_count
+           nullif(count(*) FILTER (o_orderstatus = 'P'), 0) AS P_count,
+           max(o_totalprice) FILTER (o_orderstatus IS NULL OR o_orderstatus NOT IN ('F', 'O', 'P'))
+               AS other_max_price,
+           nullif(count(*) FILTER (
+               o_orderstatus IS NULL OR o_orderstatus NOT IN ('F', 'O', 'P')), 0) AS other_count
     FROM orders GROUP BY o_orderpriority
 """)
 def pivot_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,4 +131,25 @@ def pivot_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderstatus",
         ["F", "O", "P"],
         {"max_price": F.max("o_totalprice"), "count": F.count(F.lit(1))},
+        other="other",
+    )
+
+
+@query("""
+    SELECT l_returnflag,
+           sum(l_partkey) FILTER (l_linenumber = 1)::BIGINT AS l_linenumber_1_parts,
+           sum(l_partkey) FILTER (l_linenumber = 2)::BIGINT AS l_linenumber_2_parts,
+           sum(l_partkey) FILTER (l_linenumber = 3)::BIGINT AS l_linenumber_3_parts,
+           sum(l_partkey) FILTER (l_linenumber IS NULL)::BIGINT AS l_linenumber_null_parts,
+           sum(l_partkey) FILTER (l_linenumber NOT IN (1, 2, 3))::BIGINT AS later_parts
+    FROM lineitem GROUP BY l_returnflag
+""")
+def pivot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_measures(
+        load_table(spark, sf_dir, "lineitem"),
+        ["l_returnflag"],
+        "l_linenumber",
+        [1, 2, 3, None],
+        {"parts": F.sum("l_partkey")},
+        other="later",
     )

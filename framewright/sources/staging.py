@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+# On a local master without a setting; all tasks share the machine there.
+LOCAL_FOLDER = "/tmp/checkpoints"
 
-def staging_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder path under the cluster's shared checkpoint directory.
 
-    The session's ``spark.checkpoint.dir`` decides where. A temporary folder of
-    this machine serves only a local master, where every task can read it.
+def staging_folder(spark: SparkSession, purpose: str, folder: str | None = None) -> str:
+    """A new path below ``folder``, or below the cluster's checkpoint directory.
+
+    A caller that names the folder owns it and may remove it once the result has
+    been written. Otherwise the session's ``spark.checkpoint.dir`` decides, whose
+    retention rule then holds.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = folder or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not (spark.conf.get("spark.master", None) or "").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="framewright-")
+        root = LOCAL_FOLDER
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

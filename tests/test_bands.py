@@ -1,4 +1,5 @@
 import math
+from decimal import Decimal
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -56,6 +57,26 @@ def test_doubles_with_nan_and_infinity(spark, compare):
     assert result[4][0] == ("c" if compare.startswith("<") else "a")
 
 
+VALUES = {
+    "tinyint": [-128, -1, 0, 2, 3, 127],
+    "int": [-(2**31), 0, 2, 3, 2**31 - 1, 16777217],
+    "bigint": [-(2**63), 2, 3, 2**53, 2**53 + 1, 16777217, 2**63 - 1],
+    "float": [-0.0, 2.0, 2.5, 16777216.0, math.nan, math.inf, -math.inf],
+    "double": [-0.0, 2.0, 2.5, 2.0**53, 2.0**53 + 2, math.nan, math.inf, -math.inf],
+    "decimal(20,2)": [Decimal("2.00"), Decimal("2.50"), Decimal("16777217.00"), Decimal("-3.25")],
+}
+
+
+@pytest.mark.parametrize("kind", VALUES)
+@pytest.mark.parametrize("cut", [2, 2.5, 16777217, 2**53 + 1, 1e18])
+@pytest.mark.parametrize("compare", ["<", "<=", ">", ">="])
+def test_native_equals_arrow_across_types(spark, kind, cut, compare):
+    rule = BandRule(compare, ((cut, "a"),), otherwise="b", null_label=None)
+    table = lookup_table(spark, [(v,) for v in [*VALUES[kind], None]], f"v {kind}")
+    found = rows(table.select("v", rule.column("v"), arrow_bands(rule)("v")))
+    assert [(v, n) for v, n, _ in found if n != _] == []
+
+
 @pytest.mark.parametrize(
     "arguments",
     [

@@ -1,3 +1,4 @@
+import math
 from decimal import Decimal
 
 import pytest
@@ -32,6 +33,20 @@ def test_shadowing_is_refused(small):
         filter_derive(small, derived={"v": F.lit(1)})
 
 
+def test_shadowing_in_another_case_is_refused(small):
+    with pytest.raises(ValueError, match="V"):
+        filter_derive(small, derived={"V": F.lit(1)})
+    with pytest.raises(ValueError, match="shadow"):
+        filter_derive(small, keep=["k"], derived={"x": F.lit(1), "X": F.lit(2)})
+
+
+def test_names_with_dots(spark):
+    table = lookup_table(spark, [("a", 2)], "`k.1` string, `v.1` bigint")
+    assert rows(filter_derive(table, keep=["v.1"], derived={"w.1": F.lit(1)})) == [(2, 1)]
+    result = profile(table, ["k.1"], {"v.1": ["sum", "wide_sum", "exact_avg"]})
+    assert rows(result) == [("a", 1, 2, Decimal(2), 2.0)]
+
+
 def test_groups_keep_a_null_key_and_ignore_null_values(small):
     result = profile(small, ["k"], {"v": ["avg", "min", "max", "sum"]})
     assert row_set(result) == sorted(
@@ -45,7 +60,7 @@ def test_empty_input(small):
     empty = small.filter("v > 100")
     assert rows(profile(empty, ["k"], {"v": "sum"})) == []
     assert rows(
-        profile(empty, measures={"v": ["sum", "avg"]}, extra={"e": exact_avg("v")})
+        profile(empty, measures={"v": ["sum", "avg"]}, extra={"e": exact_avg("v", 2)})
     ) == [(0, None, None, None)]
 
 
@@ -65,23 +80,50 @@ def test_exact_avg_ignores_nulls_and_order(spark):
     cents = [(n / 100,) for n in range(1, 2001)] + [(None,)]
     forward = lookup_table(spark, cents, "price double").repartition(7)
     backward = lookup_table(spark, cents[::-1], "price double").repartition(3)
-    averages = [rows(df.agg(exact_avg("price")))[0][0] for df in (forward, backward)]
+    averages = [rows(df.agg(exact_avg("price", 2)))[0][0] for df in (forward, backward)]
     assert averages == [10.005, 10.005]
 
 
 def test_exact_avg_of_negative_and_finer_values(spark):
     table = lookup_table(spark, [(-1.25,), (-0.01,), (3.0,)], "price double")
-    assert rows(table.agg(exact_avg("price"))) == [(1.74 / 3,)]
+    assert rows(table.agg(exact_avg("price", 2))) == [(1.74 / 3,)]
     finer = lookup_table(spark, [(0.1234,), (0.1236,)], "price double")
-    assert rows(finer.agg(exact_avg("price"), exact_avg("price", scale=4))) == [
-        (0.12, 0.1235)
-    ]
+    assert rows(finer.agg(exact_avg("price", scale=4))) == [(0.1235,)]
+
+
+@pytest.mark.parametrize("value", [0.004, 1e18, -1e300])
+def test_exact_avg_refuses_what_it_would_round(spark, value):
+    table = lookup_table(spark, [(1.0,), (value,)], "price double")
+    with pytest.raises(Exception, match="not a multiple"):
+        rows(table.agg(exact_avg("price", 2)))
+
+
+@pytest.mark.parametrize("odd", [[math.nan], [math.inf], [-math.inf], [math.inf, -math.inf]])
+def test_exact_avg_of_nan_and_infinities_is_that_of_avg(spark, odd):
+    table = lookup_table(spark, [(v,) for v in [1.25, None, *odd]], "price double")
+    ours, plain = rows(table.agg(exact_avg("price", 2), F.avg("price")))[0]
+    assert repr(ours) == repr(plain)
+
+
+def test_exact_avg_of_large_integers(spark):
+    table = lookup_table(spark, [(2**60,), (2**60 + 2,)], "v bigint")
+    assert rows(profile(table, measures={"v": "exact_avg"}, rows=None)) == [(float(2**60 + 1),)]
+    with pytest.raises(ValueError, match="scales"):
+        profile(table.select(F.col("v").cast("double").alias("d")), measures={"d": "exact_avg"})
+
+
+def test_wide_sum_takes_whole_numbers_only(spark):
+    table = lookup_table(spark, [(1.9,), (1.9,)], "v double")
+    with pytest.raises(Exception, match="not a whole number"):
+        rows(table.agg(wide_sum("v")))
+    with pytest.raises(ValueError, match="integer column"):
+        profile(table, measures={"v": "wide_sum"})
 
 
 def test_exact_avg_does_not_overflow_bigint(spark):
     large = spark.range(10_000).select((F.col("id") * 0 + 9e13).alias("price"))
     # 9e13 in hundredths is 9e15; ten thousand of them exceed bigint
-    assert rows(large.agg(exact_avg("price"))) == [(9e13,)]
+    assert rows(large.agg(exact_avg("price", 2))) == [(9e13,)]
 
 
 def test_sums_beyond_bigint(spark):

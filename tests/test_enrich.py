@@ -37,16 +37,30 @@ def test_differing_key_types_are_refused(spark, left):
         join_on_key(left, other, on="id")
 
 
-def test_lookup_is_broadcast_within_the_size_limit_only(spark, left, conf):
-    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_the_threshold_decides_whether_a_lookup_is_broadcast(spark, left, conf):
     names = [(1, "one"), (2, "two")]
     small = attach_lookup(left, names, "id bigint, word string", on="id")
-    large = attach_lookup(left, names, "id bigint, word string", on="id", broadcast_bytes=5)
     assert "BroadcastHashJoin" in plan_of(small)
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    large = attach_lookup(left, names, "id bigint, word string", on="id")
     assert "SortMergeJoin" in plan_of(large)
     assert row_set(small) == row_set(large) == [(1, "x", "one"), (2, "y", "two")]
 
 
+def test_names_that_differ_in_case_only_are_refused(spark, left, conf):
+    other = lookup_table(spark, [(1, "p")], "id bigint, L string")
+    with pytest.raises(ValueError, match="L"):
+        join_on_key(left, other, on="id")
+    conf("spark.sql.caseSensitive", "true")
+    assert join_on_key(left, other, on="id").columns == ["id", "l", "L"]
+
+
+def test_keys_with_dots(spark):
+    a = lookup_table(spark, [(1, "a")], "`i.d` int, a string")
+    b = lookup_table(spark, [(1, "b")], "`i.d` int, b string")
+    assert row_set(join_on_key(a, b, on="i.d")) == [(1, "a", "b")]
+
+
 def test_a_key_with_a_third_of_the_rows_is_split(spark, conf):
     """Adaptive execution splits the hot partition, also below an aggregate."""
     conf("spark.sql.autoBroadcastJoinThreshold", "-1")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from framewright import (
+    REFUSE,
     BandRule,
     arrow_bands,
     filter_derive,
@@ -73,10 +74,10 @@ def test_ranks(employees):
 
 
 def test_category_in_three_forms(employees):
+    cuts, lowest = CATEGORY.cuts, CATEGORY.otherwise
+
     def category(salary):
-        if salary < 80000:
-            return "Low"
-        return "Medium" if salary < 100000 else "High"
+        return next((label for cut, label in cuts if salary >= cut), lowest)
 
     forms = [
         CATEGORY.column("salary"),
@@ -98,6 +99,7 @@ def test_pivot(employees):
         "age_group",
         {"20s": "under_30", "30s": "under_40", "40s+": "from_40"},
         {"avg_salary": F.avg("salary"), "count": F.count(F.lit(1))},
+        other=REFUSE,
     )
     assert result.columns == [
         "department",

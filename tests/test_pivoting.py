@@ -3,7 +3,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from framewright import lookup_table, pivot_measures
+from framewright import REFUSE, lookup_table, pivot_measures, pivot_values
 from tests.conftest import row_set, rows
 
 CELLS = [("a", "x", 1), ("a", "x", 3), ("a", "y", 5), ("b", None, 7), (None, "y", 9)]
@@ -15,40 +15,77 @@ def cells(spark):
 
 
 def test_absent_values_unlisted_values_and_null_keys(cells):
-    result = pivot_measures(
-        cells, ["k"], "p", ["x", "z"], {"sum": F.sum("v"), "n": F.count(F.lit(1))}
-    )
-    assert result.columns == ["k", "x_sum", "x_n", "z_sum", "z_n"]
+    measures = {"sum": F.sum("v"), "n": F.count(F.lit(1))}
+    result = pivot_measures(cells, ["k"], "p", ["x", "z"], measures, other="rest")
+    assert result.columns == ["k", "x_sum", "x_n", "z_sum", "z_n", "rest_sum", "rest_n"]
+    nothing = (None, None)
     assert row_set(result) == sorted(
-        [("a", 4, 2, None, None), ("b", None, None, None, None), (None,) + (None,) * 4],
+        [
+            ("a", 4, 2, *nothing, 5, 1),
+            ("b", *nothing, *nothing, 7, 1),
+            (None, *nothing, *nothing, 9, 1),
+        ],
         key=repr,
     )
 
 
+def test_unlisted_values_can_be_refused(cells):
+    count = {"n": F.count(F.lit(1))}
+    with pytest.raises(Exception, match="unlisted value in p"):
+        pivot_measures(cells, ["k"], "p", ["x", "y"], count, other=REFUSE).collect()
+    result = pivot_measures(cells, ["k"], "p", ["x", "y", None], count, other=REFUSE)
+    assert result.columns == ["k", "x_n", "y_n", "p_null_n"]
+    assert ("b", None, None, 1) in rows(result)
+
+
+def test_values_of_other_types(spark):
+    table = lookup_table(
+        spark, [("a", 1, True), ("a", 2, None), ("b", 9, False)], "k string, i int, b boolean"
+    )
+    by_int = pivot_measures(table, ["k"], "i", [1, 2], {"n": F.count(F.lit(1))}, other="more")
+    assert by_int.columns == ["k", "i_1_n", "i_2_n", "more_n"]
+    assert row_set(by_int) == [("a", 1, 1, None), ("b", None, None, 1)]
+    yes = {True: "yes", False: "no", None: "unknown"}
+    by_flag = pivot_measures(table, ["k"], "b", yes, {"n": F.count(F.lit(1))}, other=REFUSE)
+    assert row_set(by_flag) == [("a", 1, None, 1), ("b", None, 1, None)]
+
+
+def test_values_are_found_in_order_and_never_cut(cells):
+    assert pivot_values(cells, "p") == [None, "x", "y"]
+    with pytest.raises(ValueError, match="more than 2"):
+        pivot_values(cells, "p", most=2)
+
+
+def test_columns_with_dots(spark):
+    table = lookup_table(spark, [("a", "x", 2)], "`k.1` string, `p.1` string, v bigint")
+    result = pivot_measures(table, ["k.1"], "p.1", ["x"], {"n": F.count(F.lit(1))}, other="o")
+    assert result.columns == ["k.1", "x_n", "o_n"] and rows(result) == [("a", 1, None)]
+
+
 def test_single_measure_keeps_its_name(cells):
-    result = pivot_measures(cells, ["k"], "p", ["x", "y"], {"sum": F.sum("v")})
-    assert result.columns == ["k", "x_sum", "y_sum"]
-    assert ("a", 4, 5) in rows(result)
+    result = pivot_measures(cells, ["k"], "p", ["x", "y", None], {"sum": F.sum("v")}, other=REFUSE)
+    assert result.columns == ["k", "x_sum", "y_sum", "p_null_sum"]
+    assert ("a", 4, 5, None) in rows(result)
 
 
 def test_prefixes_for_awkward_values(spark):
     table = lookup_table(spark, [("a", "1`+", 2)], "k string, p string, v bigint")
-    result = pivot_measures(table, ["k"], "p", {"1`+": "many"}, {"sum": F.sum("v")})
+    result = pivot_measures(table, ["k"], "p", {"1`+": "many"}, {"sum": F.sum("v")}, other=REFUSE)
     assert result.columns == ["k", "many_sum"] and rows(result) == [("a", 2)]
 
 
 def test_unsafe_or_repeated_names_are_refused(cells):
     with pytest.raises(ValueError, match="40s"):
-        pivot_measures(cells, ["k"], "p", ["40s+"], {"n": F.count(F.lit(1))})
+        pivot_measures(cells, ["k"], "p", ["40s+"], {"n": F.count(F.lit(1))}, other="o")
     with pytest.raises(ValueError, match="share"):
-        pivot_measures(cells, ["k"], "p", {"x": "c", "y": "c"}, {"n": F.count(F.lit(1))})
+        pivot_measures(cells, ["k"], "p", {"x": "c", "y": "c"}, {"n": F.count(F.lit(1))}, other="o")
 
 
 def test_empty_input(cells):
     result = pivot_measures(
-        cells.filter("v > 100"), ["k"], "p", ["x"], {"n": F.count(F.lit(1))}
+        cells.filter("v > 100"), ["k"], "p", ["x"], {"n": F.count(F.lit(1))}, other="o"
     )
-    assert result.columns == ["k", "x_n"] and rows(result) == []
+    assert result.columns == ["k", "x_n", "o_n"] and rows(result) == []
 
 
 @settings(
@@ -59,6 +96,6 @@ def test_empty_input(cells):
 @given(pairs=st.lists(st.tuples(st.sampled_from("ab"), st.sampled_from("xyz")), max_size=30))
 def test_cells_sum_to_the_group(spark, pairs):
     table = lookup_table(spark, pairs, "k string, p string")
-    result = pivot_measures(table, ["k"], "p", list("xyz"), {"n": F.count(F.lit(1))})
+    result = pivot_measures(table, ["k"], "p", list("xy"), {"n": F.count(F.lit(1))}, other="o")
     for key, *counts in rows(result):
         assert sum(n or 0 for n in counts) == sum(k == key for k, _ in pairs)

@@ -62,13 +62,13 @@ def test_no_query_scans_texts_it_does_not_use(spark, name):
 
 def test_native_category_has_no_python_stage(spark):
     assert "Python" not in plan_of(QUERIES["category_native"](spark, SF_DIR))
-    for name in ("category_udf", "category_scalar_udf"):
-        assert "ArrowEvalPython" in plan_of(QUERIES[name](spark, SF_DIR))
+    assert "Python" not in plan_of(QUERIES["category_in_order"](spark, SF_DIR))
+    assert "ArrowEvalPython" in plan_of(QUERIES["category_udf"](spark, SF_DIR))
 
 
-def test_python_function_runs_after_the_sort(spark):
-    plan = plan_of(QUERIES["category_in_order"](spark, SF_DIR), "simple")
-    assert plan.index("ArrowEvalPython") < plan.index("Sort [")
+def test_sliced_ranks_have_slices_in_their_plan(spark):
+    assert "_slice" in plan_of(QUERIES["rank_trio_sliced"](spark, SF_DIR))
+    assert "_slice" not in plan_of(QUERIES["rank_trio"](spark, SF_DIR))
 
 
 def test_flagship_filter_is_pushed_below_the_join(spark):

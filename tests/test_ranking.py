@@ -188,34 +188,47 @@ def test_hot_groups(spark):
         .otherwise(F.concat(F.lit("k"), F.col("id") % 100))
         .alias("k")
     )
-    hot = hot_groups(df, ["k"], 1000)
-    assert len(hot.buckets) == 1 and hot.rows == 3334
-    assert df.filter(hot.holds()).distinct().collect()[0][0] == "hot"
-    assert not hot_groups(df, ["k"], 5000)
-    assert not hot_groups(df.filter("k = 'none'"), ["k"], 1)
+    assert rows(hot_groups(df, ["k"], 1000)) == [("hot", 3334)]
+    assert rows(hot_groups(df, ["k"], 5000)) == []
+    assert rows(hot_groups(df.filter("k = 'none'"), ["k"], 1)) == []
 
 
-def test_groups_sharing_a_bucket_are_hot_together(spark, monkeypatch):
+@pytest.mark.parametrize("buckets", [2, 64, 65536])
+def test_all_groups_of_the_asked_size_are_hot_and_no_other(spark, monkeypatch, buckets):
+    monkeypatch.setattr(skew, "BUCKETS", buckets)
+    even = spark.range(50_000).select((F.col("id") % 500).alias("k"))
+    more = even.union(spark.range(20).select(F.lit(7).cast("bigint").alias("k")))
+    assert hot_groups(more, ["k"], 90).count() == 500
+    assert row_set(hot_groups(more, ["k"], 101)) == [(7, 120)]
+    assert rows(hot_groups(more, ["k"], 121)) == []
+
+
+def test_groups_sharing_a_bucket(spark, monkeypatch):
     monkeypatch.setattr(skew, "BUCKETS", 2)
-    monkeypatch.setattr(skew, "TIMES_THE_MEAN", 0)
     table = [(f"k{i % 9}", i % 5, i) for i in range(400)]
     df = lookup_table(spark, table, "k string, v bigint, id bigint")
     assert ranked(df, hot_rows=1, slice_rows=30) == brute_force(table)
 
 
-def test_evenly_spread_keys_are_not_hot(spark, monkeypatch):
-    monkeypatch.setattr(skew, "BUCKETS", 16)
-    even = spark.range(50_000).select((F.col("id") % 1000).alias("k"))
-    assert not hot_groups(even, ["k"], 1000)
-    uneven = even.withColumn("k", F.when(F.rand(1) < 0.4, 1).otherwise(F.col("k")))
-    assert len(hot_groups(uneven, ["k"], 1000).buckets) == 1
-
-
 def test_hot_groups_of_null_keys(spark):
     df = lookup_table(spark, [(None, i) for i in range(50)] + [("a", 0)], "k string, v int")
-    hot = hot_groups(df, ["k"], 20)
-    assert df.filter(hot.holds()).count() == 50
-    assert df.filter(~hot.holds()).count() == 1
+    assert rows(hot_groups(df, ["k"], 20)) == [(None, 50)]
+
+
+def test_names_in_another_case_and_with_dots(spark, tmp_path):
+    taken = spark.range(3).selectExpr("id", "id as k", "id as RANK")
+    for form in (rank_within, rank_within_balanced):
+        with pytest.raises(ValueError, match="rank"):
+            form(taken, ["k"], "id", "id")
+    dotted = spark.range(60).selectExpr("id as `i.d`", "id % 2 as `k.1`", "id % 7 as `v.1`")
+    plain = rank_within(dotted, ["k.1"], "v.1", "i.d")
+    folder = str(tmp_path)
+    sliced = rank_within_balanced(
+        dotted, ["k.1"], "v.1", "i.d", hot_rows=10, slice_rows=5, folder=folder
+    )
+    assert row_set(sliced.select(*(f"`{c}`" for c in plain.columns))) == row_set(plain)
+    assert list(tmp_path.iterdir())
+    assert rank_values(dotted, ["k.1"], "v.1").count() == 14
 
 
 def test_without_hot_groups_the_plan_is_the_plain_one(spark):
