@@ -52,9 +52,9 @@ def map_pieces(
     ``prepare`` builds the function in the task, for what is costly to send.
     ``outputs`` is the schema of the new columns, in the order of the dict.
     """
-    source = df.select(*dict.fromkeys([*keep, text]))
+    source = df.select(*(f"`{name}`" for name in dict.fromkeys([*keep, text])))
     fields = ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema
+        f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in keep
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
