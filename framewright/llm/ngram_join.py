@@ -10,11 +10,13 @@ through others:
    The order is by hash, with shingles that are frequent in the corpus at the end.
    Shingles that stand in the prefix of one class only are dropped: a tile is the
    classes that share one.
-3. Each class is compared with the smallest class of its tiles. Links found join
-   classes into components, so that copies of copies need no further pairs.
+3. Each class is compared with two of its tiles' classes: the smallest, and the one most
+   of whose prefix is shared. The latter tends to be the text that others were made
+   from, which is nearer to them than they are to each other. Links found join classes
+   into components, so that copies of copies need no further pairs.
 4. In tiles that still hold several components, all pairs of different components
-   in a size band or neighbouring bands are compared by bitmap signature. Large
-   tiles are cut into blocks, a task for each pair of blocks.
+   in a size band or neighbouring bands are compared by bitmap signature; small tiles
+   are one band. Large tiles are cut into blocks, a task for each pair of blocks.
 5. Signatures are parities of hashed shingles: where they differ bounds the overlap
    from above. What passes is decided by intersecting the sorted sets.
 
@@ -38,6 +40,9 @@ from framewright.llm.spans import mixed, runs_of, span_hashes
 
 WORDS = 5
 PERCENT = 75
+BANDED_ROWS = 64  # tiles of so many classes or fewer are one band
+GIVEN_PAIRS = 200_000  # remembered in a task; any repeated after that drop out later
+SPREAD = 4  # tasks, at least, for the tiles that share a smallest class
 BLOCK_ROWS = 2048  # rows of a tile that one task compares with as many others
 LOCALLY_FREQUENT = 4  # documents of one piece of a batch
 FREQUENT_SHARE = 1 / 2000  # of all documents; bounds the list of frequent shingles
@@ -98,8 +103,8 @@ def prefix_length(size: int, percent: int = PERCENT) -> int:
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """Parities of the shingles by their low bits, as many bits as the set is large."""
-    bits = min(1 << 16, max(64, 1 << int(len(shingles) - 1).bit_length()))
+    """Parities of the shingles by their low bits, two bits or more for each."""
+    bits = min(1 << 17, max(64, 2 << int(len(shingles) - 1).bit_length()))
     parity = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
 
@@ -131,7 +136,7 @@ def links(one: np.ndarray, other: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def profiles(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``n_shingles``, ``class``, and shingles frequent in the row's piece.
+    """``key``, ``n_shingles``, ``class``, ``bits``, and shingles frequent in the piece.
 
     The frequent ones stand in the first row of each piece, with their number of
     documents, counted once for each class.
@@ -149,11 +154,14 @@ def profiles(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         return {
             "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
             "class": pa.array(classes, pa.int64()),
+            "bits": pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
             "often": pa.array([found[often].view(np.int64), *nothing], kind),
             "often_in": pa.array([counts[often], *nothing], kind),
         }
 
-    outputs = "n_shingles bigint, class bigint, often array<bigint>, often_in array<bigint>"
+    outputs = (
+        "n_shingles bigint, class bigint, bits binary, often array<bigint>, often_in array<bigint>"
+    )
     return map_pieces(df, text, work, [key], outputs)
 
 
@@ -170,7 +178,7 @@ def frequent_shingles(profiled: DataFrame) -> np.ndarray:
 
 
 def prefixes(df: DataFrame, frequent: np.ndarray, text: str = "text") -> DataFrame:
-    """``class``, ``n``, ``bits`` and ``prefix``; copies within a piece appear once."""
+    """``class`` and ``prefix``; copies within a piece appear once."""
 
     def work(piece: pa.RecordBatch) -> dict[str, pa.Array]:
         sets = shingle_sets([t.encode("utf-8", "surrogatepass") for t in texts_of(piece, text)])
@@ -186,12 +194,10 @@ def prefixes(df: DataFrame, frequent: np.ndarray, text: str = "text") -> DataFra
             heads.append(ordered[: prefix_length(len(s))].view(np.int64))
         return {
             "class": pa.array(list(distinct), pa.int64()),
-            "n": pa.array([len(s) for s in distinct.values()], pa.int64()),
-            "bits": pa.array(map(signature, distinct.values()), pa.binary()),
             "prefix": pa.array(heads, pa.list_(pa.int64())),
         }
 
-    return map_pieces(df, text, work, [], "class bigint, n bigint, bits binary, prefix array<bigint>")
+    return map_pieces(df, text, work, [], "class bigint, prefix array<bigint>")
 
 
 def full_sets(df: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
@@ -256,6 +262,31 @@ def _exactly(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(keep, "a bigint, b bigint")
 
 
+def _stars(tiles: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of each class with the smallest and the central class of its tiles.
+
+    Of either kind the one that it meets in most tiles is taken; all other pairs are
+    left to the comparison of tiles, as far as these don't join their classes.
+    """
+    counts = tiles.groupBy("class").agg(F.count("*").alias("shared"))
+    prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    shares = counts.join(known, "class").select("class", (F.col("shared") / prefix).alias("share"))
+    ranked = tiles.join(stored(shares, "shingle-shares"), "class")
+    heads = ranked.groupBy("h").agg(
+        F.min("class").alias("least"),
+        F.max(F.struct("share", "class")).getField("class").alias("central"),
+    )
+    kinds = [F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("star")) for kind in ("least", "central")]
+    paired = tiles.join(heads, "h").select("class", F.explode(F.array(*kinds)).alias("x"))
+    met = paired.select("class", "x.*").filter("star <> class").groupBy("class", "kind", "star").count()
+    best = met.groupBy("class", "kind").agg(
+        F.max(F.struct("count", "star")).getField("star").alias("star")
+    )
+    return best.select(
+        F.least("star", "class").alias("a"), F.greatest("star", "class").alias("b")
+    ).distinct()
+
+
 def _open_tiles(placed: DataFrame) -> DataFrame:
     """Tiles that hold several components, one of those with the same classes.
 
@@ -273,44 +304,55 @@ def _open_tiles(placed: DataFrame) -> DataFrame:
     )
     several = described.filter("one <> other")
     one_of = several.groupBy("rows", "low", "high", "x1", "x2").agg(F.min("h").alias("h"))
-    return placed.join(one_of.select("h", "rows"), "h")
+    return placed.join(one_of.select("h", "rows", "low"), "h")
 
 
 def _tile_pairs(tiles: DataFrame) -> DataFrame:
     """Pairs of different components in a tile that sizes and signatures allow.
 
-    ``tiles``: h, class, n, bits, component and ``rows``, the classes in the tile. A
-    row goes to its size band's tile and, as a guest, to that of the next band.
+    ``tiles``: h, class, n, bits, component and ``rows``, the classes in the tile, and
+    ``low``, the smallest. A row goes to its size band's tile and, as a guest, to that
+    of the next band. A passage's tiles mostly share ``low`` and so a few tasks, which
+    give each pair once.
     """
     band = F.floor(F.log(F.col("n")) / F.lit(float(np.log(100 / PERCENT)))).cast("int")
+    places = [
+        F.when(F.col("rows") <= BANDED_ROWS, F.struct(F.lit(-1).alias("band"), F.lit(False).alias("guest"))),
+        F.when(F.col("rows") > BANDED_ROWS, F.struct(band.alias("band"), F.lit(False).alias("guest"))),
+        F.when(F.col("rows") > BANDED_ROWS, F.struct((band + 1).alias("band"), F.lit(True).alias("guest"))),
+    ]
     banded = tiles.withColumn(
-        "to",
-        F.explode(
-            F.array(
-                F.struct(band.alias("band"), F.lit(False).alias("guest")),
-                F.struct((band + 1).alias("band"), F.lit(True).alias("guest")),
-            )
-        ),
-    ).select("h", "class", "n", "bits", "component", "rows", "to.*")
+        "to", F.explode(F.filter(F.array(*places), lambda x: x.isNotNull()))
+    ).select("h", "low", "class", "n", "bits", "component", "rows", "to.*")
     blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
     own = F.pmod(F.xxhash64("class"), blocks).cast("int")
     others = F.explode(F.sequence(F.lit(0), blocks - 1))
     met = banded.withColumns({"own": own, "other": others}).select(
-        "h", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
+        "low", F.pmod("h", F.lit(SPREAD)).cast("int").alias("salt"), "h", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
         "own", "guest", "class", "n", "bits", "component",
     )
-    keys = ["h", "band", "p", "q"]
-    sorted_ = met.repartition(*keys).sortWithinPartitions(*keys)
+    keys = ["band", "p", "q"]
+    sorted_ = met.repartition("low", "salt", *keys).sortWithinPartitions("h", *keys)
     return sorted_.mapInArrow(_compare_tiles, "a bigint, b bigint").distinct()
 
 
 def _compare_tiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ("h", "band", "p", "q", "own", "guest", "class", "n", "bits", "component")
     held: list[list] = [[] for _ in names]
+    given: set[tuple[int, int]] = set()  # pairs of this task, lately
 
     def flush() -> Iterator[pa.RecordBatch]:
         if len(held[0]) > 1:
-            yield from _compare_block(dict(zip(names, held)))
+            pairs = _compare_block(dict(zip(names, held)))
+            if len(given) > GIVEN_PAIRS:
+                given.clear()
+            fresh = [pair for pair in pairs if pair not in given]
+            given.update(fresh)
+            if fresh:
+                a, b = zip(*fresh)
+                yield pa.RecordBatch.from_pydict(
+                    {"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}
+                )
         for column in held:
             column.clear()
 
@@ -326,17 +368,27 @@ def _compare_tiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield from flush()
 
 
-def _compare_block(rows: dict[str, list]) -> Iterator[pa.RecordBatch]:
+def _compare_block(rows: dict[str, list]) -> list[tuple[int, int]]:
+    """The pairs of a block that sizes and signatures allow, smaller class first."""
     guest, own = np.array(rows["guest"]), np.array(rows["own"])
     classes = np.array(rows["class"], dtype=np.int64)
     n = np.array(rows["n"], dtype=np.int64)
     _, component = np.unique(np.array(rows["component"], dtype=np.int64), return_inverse=True)
-    width = min(map(len, rows["bits"]))
-    width = max(8, width)
-    bits = np.stack([folded(x, width) for x in rows["bits"]]).view(np.uint64)
+    widths = np.array([len(x) for x in rows["bits"]])
+    at_width: dict[int, np.ndarray] = {}
+
+    def bits_at(width: int) -> np.ndarray:
+        """Signatures of this width; rows with shorter ones stay empty."""
+        if width not in at_width:
+            made = np.zeros((len(widths), width), dtype=np.uint8)
+            for row in np.flatnonzero(widths >= width).tolist():
+                made[row] = folded(rows["bits"][row], width)
+            at_width[width] = made.view(np.uint64)
+        return at_width[width]
+
     home = np.flatnonzero(~guest)
     p, q = rows["p"][0], rows["q"][0]
-    found_a, found_b = [], []
+    found: list[tuple[int, int]] = []
     for i in home.tolist():
         # hosts meet later hosts and all guests; of two blocks, only the other's rows
         ok = (component != component[i]) & (guest | (classes > classes[i]))
@@ -344,14 +396,14 @@ def _compare_block(rows: dict[str, list]) -> Iterator[pa.RecordBatch]:
         if p != q:
             ok &= own != own[i]
         at = np.flatnonzero(ok)
-        if len(at):
-            apart = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1).astype(np.int64)
-            at = at[may_link(apart, n[at] + n[i])]
-            found_a.append(np.minimum(classes[at], classes[i]))
-            found_b.append(np.maximum(classes[at], classes[i]))
-    if found_a:
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
+        shorter = np.minimum(widths[at], widths[i])
+        for width in np.unique(shorter).tolist():
+            part, bits = at[shorter == width], bits_at(width)
+            apart = np.bitwise_count(bits[part] ^ bits[i]).sum(axis=1).astype(np.int64)
+            part = part[may_link(apart, n[part] + n[i])]
+            low, high = np.minimum(classes[part], classes[i]), np.maximum(classes[part], classes[i])
+            found += zip(low.tolist(), high.tolist())
+    return found
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -359,14 +411,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     profiled = stored(profiles(df, key, text), "shingle-profiles")
     frequent = frequent_shingles(profiled)
     documents = profiled.select(F.col(key).alias("id"), "n_shingles", "class")
-    heads = stored(prefixes(df, frequent, text), "shingle-prefixes")
-
-    rows = heads.select(F.explode("prefix").alias("h"), "class").repartition("h")
+    rows = prefixes(df, frequent, text).select(F.explode("prefix").alias("h"), "class").repartition("h")
     shared = rows.groupBy("h").agg(F.min("class").alias("least"), F.max("class").alias("most"))
-    shared = shared.filter("least <> most").select("h", "least")
+    shared = shared.filter("least <> most").select("h")
     tiles = stored(rows.join(shared, "h").distinct(), "shingle-tiles")
 
-    known = heads.select("class", "n", "bits").join(
+    known = profiled.select("class", F.col("n_shingles").alias("n"), "bits").join(
         tiles.select("class").distinct(), "class", "left_semi"
     )
     known = stored(known.dropDuplicates(["class"]), "shingle-signatures")
@@ -380,8 +430,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         sets = stored(full_sets(df, wanted, key, text), "shingle-sets")
         return stored(_exactly(pairs, sets), "shingle-links")
 
-    stars = tiles.filter("class <> least").select(F.col("least").alias("a"), F.col("class").alias("b"))
-    first = linked(_by_signature(stars.distinct(), known))
+    first = linked(_by_signature(_stars(tiles, known), known))
     joined = components(first)
     placed = tiles.select("h", "class").join(joined, tiles["class"] == joined["node"], "left").select(
         "h", "class", F.coalesce("component", "class").alias("component")
