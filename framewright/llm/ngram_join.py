@@ -262,6 +262,18 @@ def _exactly(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(keep, "a bigint, b bigint")
 
 
+def _shared_tiles(heads: DataFrame) -> DataFrame:
+    """``h`` and ``class`` of the prefix shingles that several classes have.
+
+    One shuffle serves the count and the join. Nothing refers to it once this has
+    returned, so Spark may drop its files before the larger joins that follow.
+    """
+    rows = heads.select(F.explode("prefix").alias("h"), "class").repartition("h")
+    shared = rows.groupBy("h").agg(F.min("class").alias("least"), F.max("class").alias("most"))
+    shared = shared.filter("least <> most").select("h")
+    return stored(rows.join(shared, "h").distinct(), "shingle-tiles")
+
+
 def _stars(tiles: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs of each class with the smallest and the central class of its tiles.
 
@@ -411,10 +423,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     profiled = stored(profiles(df, key, text), "shingle-profiles")
     frequent = frequent_shingles(profiled)
     documents = profiled.select(F.col(key).alias("id"), "n_shingles", "class")
-    rows = prefixes(df, frequent, text).select(F.explode("prefix").alias("h"), "class").repartition("h")
-    shared = rows.groupBy("h").agg(F.min("class").alias("least"), F.max("class").alias("most"))
-    shared = shared.filter("least <> most").select("h")
-    tiles = stored(rows.join(shared, "h").distinct(), "shingle-tiles")
+    tiles = _shared_tiles(prefixes(df, frequent, text))
 
     known = profiled.select("class", F.col("n_shingles").alias("n"), "bits").join(
         tiles.select("class").distinct(), "class", "left_semi"
