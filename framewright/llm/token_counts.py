@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from framewright.llm.batches import lists, map_pieces, texts_of
 from framewright.llm.bpe_core import MergeList, merge_list
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000  # twice: those met lately, and those before
 CACHED_PAIRS = 1_000_000
 CACHED_LENGTH = 48
 # Of the split pattern's contractions, those that need two letters.
@@ -40,33 +40,39 @@ class WordCounts(dict):
     def __init__(self, merges: MergeList):
         super().__init__()
         self.merges = merges
+        self.older: dict[str, bytes] = {}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.longest: dict[bytes, int] = {}
+        # lengths of the tokens that end in given three bytes, longest first
+        sizes: dict[bytes, set[int]] = {}
         for token in merges.id_of:
-            end = token[-2:]
-            self.longest[end] = max(self.longest.get(end, 1), len(token))
+            if len(token) > 2:
+                sizes.setdefault(token[-3:], {2, 1}).add(len(token))
+        self.sizes = {end: tuple(sorted(found, reverse=True)) for end, found in sizes.items()}
 
     def stands(self, before: int, token: int) -> bool:
         """Whether the merges leave ``token`` just after ``before`` (-1: at the start)."""
-        known = self.fits.get((before, token))
-        if known is None:
-            left = self.merges.bytes_of[before] if before >= 0 else b""
-            ids = self.merges.merge(left + self.merges.bytes_of[token])
-            known = ids == ([before, token] if before >= 0 else [token])
-            if len(self.fits) >= CACHED_PAIRS:
-                self.fits.clear()
-            self.fits[before, token] = known
-        return known
+        left = self.merges.bytes_of[before] if before >= 0 else b""
+        ids = self.merges.merge(left + self.merges.bytes_of[token])
+        fits = ids == ([before, token] if before >= 0 else [token])
+        if len(self.fits) >= CACHED_PAIRS:
+            self.fits.clear()
+        self.fits[before, token] = fits
+        return fits
 
     def byte_prefixes(self, data: bytes) -> list[int]:
         """Token counts of the prefixes of 0, 1, ... bytes of one pre-token."""
         last, counts = [-1], [0]
-        token_at, longest, stands = self.merges.id_of.get, self.longest.get, self.stands
+        token_at, sizes, known = self.merges.id_of.get, self.sizes.get, self.fits.get
         for end in range(1, len(data) + 1):
-            most = longest(data[end - 2 : end], 1) if end > 1 else 1
-            for start in range(max(0, end - most), end):
+            for size in sizes(data[end - 3 : end], (2, 1)) if end > 2 else (2, 1):
+                start = end - size
+                if start < 0:
+                    continue
                 token = token_at(data[start:end])
-                if token is not None and stands(last[start], token):
+                if token is None:
+                    continue
+                fits = known((last[start], token))
+                if self.stands(last[start], token) if fits is None else fits:
                     last.append(token)
                     counts.append(counts[start] + 1)
                     break
@@ -75,6 +81,17 @@ class WordCounts(dict):
         return counts
 
     def __missing__(self, word: str) -> bytes:
+        packed = self.older.get(word)
+        if packed is None:
+            packed = self._counted(word)
+        if len(word) <= CACHED_LENGTH:
+            if len(self) >= CACHED_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = packed
+        return packed
+
+    def _counted(self, word: str) -> bytes:
         data = word.encode("utf-8", "surrogatepass")
         counts = self.byte_prefixes(data)
         if len(data) != len(word):  # keep the counts at ends of characters
@@ -84,12 +101,7 @@ class WordCounts(dict):
             ]
         if word in LONG_CONTRACTIONS:
             counts[2] = 2  # its first two characters are two pre-tokens
-        packed = array("i", counts[1:]).tobytes()
-        if len(word) <= CACHED_LENGTH:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = packed
-        return packed
+        return array("i", counts[1:]).tobytes()
 
 
 class PrefixCounter:
