@@ -9,9 +9,10 @@ three letters: what is sent to tasks is that table, and scoring costs no landmar
 
 The machine judges units: words without marks, accents and look-alike digits, runs of
 single letters, and stretches of longer words. Labels belong to texts, so it is trained
-on multiple instances: units that stand out in toxic texts, counted once for each group
-of copies, with letters inserted, against units of clean ones, the worst mistakes added
-in a second round. A text's score is a logistic function of its worst unit, and of how
+on multiple instances: units that more groups of copies have in toxic texts than chance
+explains, each weighed by how surely it does (``standing_out``), with letters inserted,
+against units of clean ones, the worst mistakes added in a second round. Only landmarks
+are bounded in number, and spread over what stands out. A text's score is a logistic function of its worst unit, and of how
 many units are on the toxic side, in all and per word, fitted on the same texts.
 
 Nulls and texts without letters get the lowest score. Without a toxic or a clean
@@ -26,8 +27,9 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +37,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.batches import map_pieces, texts_of
+from framewright.llm.ngram_join import WORDS, shingle_runs
+from framewright.llm.spans import mixed
 
 TRAINING_TEXTS = 2000  # of each label, at most: those with the smallest hash of the id
 NEGATIVE_UNITS = 12_000
-LANDMARKS = 96
-SEEDS = 64  # units that stand out, at most
+LANDMARKS = 192  # half of them, at most, from units that stand out
+COPIES = 0.5  # texts with this overlap of five-word shingles count once
 DECAY = 0.7
 WINDOW, STRIDE = 12, 3
 LETTERS = 28  # a to z, any other letter, nothing
@@ -178,7 +182,29 @@ def text_features(margins: list[float]) -> tuple[float, float, float, float]:
     return worst, math.log1p(toxic), math.log1p(1000 * toxic / len(values)), 1.0
 
 
-def nystroem_machine(units: list[str], toxic: np.ndarray, landmarks: list[str]) -> Machine:
+def spread_over(units: list[str], count: int, weight: np.ndarray) -> list[str]:
+    """Up to ``count`` units, each the one that those before explain least, by weight."""
+    left, chosen = np.ones(len(units)), []
+    columns = np.zeros((len(units), min(count, len(units))))
+    groups = [(rows, codes, np.sqrt(squared_norms(codes))) for rows, codes in _by_length(units)]
+    for n in range(columns.shape[1]):
+        best = int(np.argmax(left * weight))
+        if left[best] * weight[best] < 1e-3:
+            break
+        chosen.append(units[best])
+        feature = features_of(codes_of([units[best]]))[0]
+        for rows, codes, norms in groups:
+            columns[rows, n] = weighed(codes, feature) / norms
+        columns[:, n] -= columns[:, :n] @ columns[best, :n]
+        columns[:, n] /= math.sqrt(left[best])
+        left = np.maximum(left - columns[:, n] ** 2, 0)
+        left[best] = 0
+    return chosen
+
+
+def nystroem_machine(
+    units: list[str], toxic: np.ndarray, landmarks: list[str], weight: np.ndarray | None = None
+) -> Machine:
     """Train on labelled units; the landmarks' kernel is inverted once, on the driver."""
     held = np.concatenate([features_of(codes_of([u])) for u in landmarks])
     stacked = np.ascontiguousarray(held.T)
@@ -191,7 +217,8 @@ def nystroem_machine(units: list[str], toxic: np.ndarray, landmarks: list[str])
     made = np.hstack([made @ root, np.ones((len(units), 1))])
     sign = np.where(toxic, 1.0, -1.0)
     # both classes weigh the same in all
-    cost = PENALTY * np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum()) * len(units)
+    weight = np.ones(len(units)) if weight is None else weight
+    cost = PENALTY * weight * np.where(toxic, 0.5 / weight[toxic].sum(), 0.5 / weight[~toxic].sum()) * len(units)
     weights = np.zeros(made.shape[1])
     ridge = np.eye(made.shape[1])
     ridge[-1, -1] = 1e-6
@@ -206,7 +233,11 @@ def nystroem_machine(units: list[str], toxic: np.ndarray, landmarks: list[str])
 
 
 def _copy_groups(texts: list[str]) -> np.ndarray:
-    """A group number for each text; texts sharing one of three least word pairs share it."""
+    """A group number for each text; near copies share it, by the overlap of shingles.
+
+    Candidates share one of eight least hashes of five-word shingles; each is compared
+    before it joins a group. Texts of fewer words are their own shingle.
+    """
     group = np.arange(len(texts))
 
     def find(x: int) -> int:
@@ -215,19 +246,76 @@ def _copy_groups(texts: list[str]) -> np.ndarray:
             x = group[x]
         return x
 
-    seen: dict[tuple, int] = {}
+    salts = mixed(np.arange(1, 9, dtype=np.uint64))
+    seen: dict[tuple[int, int], list[int]] = {}
+    sets = []
     for row, text in enumerate(texts):
-        words = text.split()
-        grams = {" ".join(words[i : i + 4]) for i in range(0, max(1, len(words) - 3))}
-        codes = np.fromiter((int.from_bytes(g.encode()[-8:], "little") * 0x9E3779B97F4A7C15 % 2**61 ^ len(g) for g in grams), dtype=np.uint64)
-        for salt in (0x1B873593CC9E2D51, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
-            mixed_ = codes * np.uint64(salt)
-            least = salt, int((mixed_ ^ (mixed_ >> np.uint64(29))).min())
-            other = seen.setdefault(least, row)
-            group[find(row)] = find(other)
+        data = text.encode("utf-8", "surrogatepass")
+        _, runs, _, _, last = shingle_runs([data])
+        size = int(last[0])
+        whole = np.frombuffer(blake2b(b" ".join(data.split()), digest_size=8).digest(), np.uint64)
+        own = np.unique(runs[: size - WORDS + 1]) if size >= WORDS else whole[: min(size, 1)]
+        sets.append(own)
+        if not len(own):
+            continue
+        for salt, least in enumerate(mixed(own[None, :] ^ salts[:, None]).min(axis=1).tolist()):
+            others = seen.setdefault((salt, least), [])
+            for other in others:
+                if find(other) == find(row):
+                    break
+                shared = len(np.intersect1d(own, sets[other], assume_unique=True))
+                if shared >= COPIES * (len(own) + len(sets[other]) - shared):
+                    group[find(row)] = find(other)
+                    break
+            else:
+                others.append(row)
     return np.array([find(r) for r in range(len(texts))])
 
 
+def standing_out(in_toxic: Mapping[str, int], in_clean: Mapping[str, int]) -> dict[str, float]:
+    """Units likelier in toxic texts, weighed by how surely and how far they are.
+
+    How surely: one less the number of units that chance would let stand out about as
+    much, given the counts of all units, over the number found; neighbours in chance are
+    pooled so that this never falls as units stand out more. How far: the share of a unit's
+    finds in toxic texts, above the usual. There is no bar on counts but that a unit in
+    one group of copies can't be told from what is that text's own.
+    """
+    found = sum(in_toxic.values())
+    share = found / max(1, found + sum(in_clean.values()))
+    units = {u: (k, k + in_clean.get(u, 0)) for u, k in in_toxic.items()}
+    sizes = Counter(n for _, n in units.values()) + Counter(n for u, n in in_clean.items() if u not in in_toxic)
+    tails = {n: _tails(n, share) for n in sizes if n > 1}
+    chance = {u: float(tails[n][k]) for u, (k, n) in units.items() if k > 1 and k > n * share}
+    blocks: list[list] = []  # expected and found numbers, and the chances they go with
+    for p in sorted(set(chance.values())):
+        # the tails fall, so the first within p is the largest
+        firsts = ((n, t[np.searchsorted(-t, -p)]) for n, t in tails.items() if t[-1] <= p)
+        blocks.append([sum(sizes[n] * float(first) for n, first in firsts), 0, [p]])
+    found_at = Counter(chance.values())
+    pooled: list[list] = []
+    for (total, _, (p,)), before in zip(blocks, [0.0, *(x[0] for x in blocks)]):
+        pooled.append([total - before, found_at[p], [p]])
+        while len(pooled) > 1 and pooled[-2][0] * pooled[-1][1] > pooled[-1][0] * pooled[-2][1]:
+            last = pooled.pop()
+            pooled[-1] = [x + y for x, y in zip(pooled[-1], last)]
+    sure = {p: 1 - due / seen for due, seen, chances in pooled for p in chances}
+    far = {u: (k / n - share) / (1 - share) if share < 1 else 1.0 for u, (k, n) in units.items()}
+    return {u: sure[p] * far[u] for u, p in chance.items() if sure[p] > 1e-9}
+
+
+def _tails(n: int, share: float) -> np.ndarray:
+    """Chances that k or more of n are toxic, for each k."""
+    if share >= 1:
+        return np.ones(n + 1)
+    logs = [
+        math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+        + k * math.log(share) + (n - k) * math.log1p(-share)
+        for k in range(n + 1)
+    ]
+    return np.cumsum(np.exp(logs)[::-1])[::-1]
+
+
 def with_insertions(unit: str) -> list[str]:
     """The unit with a letter inserted at each inner place, and with doubled letters."""
     inserted = [f"{unit[:i]}{'xqeo'[i % 4]}{unit[i:]}" for i in range(1, len(unit))]
@@ -252,14 +340,18 @@ def train(texts: list[str], toxic: list[bool], share: float | None = None) -> Ma
         if (groups[row], labels[row]) not in done:
             done.add((groups[row], labels[row]))
             (in_toxic if labels[row] else in_clean).update(own)
-    usual = sum(bool(label) for _, label in done) / len(done)
-    stand_out = {u: _evidence(n, in_clean[u], usual) for u, n in in_toxic.items() if n >= 2}
-    ranked = sorted(stand_out, key=lambda u: (-stand_out[u], u))
-    least = 2 * math.log(len(in_toxic) + len(in_clean)) + 8
-    seeds = [u for u in ranked[:SEEDS] if stand_out[u] >= least] or ranked[:5]
+    weight_of = standing_out(in_toxic, in_clean)
+    if not weight_of:  # too few texts to tell: all units that only toxic ones have
+        weight_of = {u: 1.0 for u in in_toxic if u not in in_clean}
+    seeds = sorted(weight_of, key=lambda u: (-weight_of[u], -in_toxic[u], u))
     if not seeds:
         return None
-    positive = list(dict.fromkeys(v for u in seeds for v in (u, *with_insertions(u))))
+    rated: dict[str, float] = {}
+    for u in seeds:  # what may as well be chance is taken as it is
+        for v in (u, *(with_insertions(u) if weight_of[u] >= 0.5 else ())):
+            rated.setdefault(v, weight_of[u])
+    positive = list(rated)
+    central = spread_over(seeds, LANDMARKS // 2, np.array([weight_of[u] for u in seeds]))
     taken = set(positive)
     every = sorted(set(in_clean) - taken)
     clean = sorted(every, key=lambda u: (-in_clean[u], u))
@@ -271,10 +363,11 @@ def train(texts: list[str], toxic: list[bool], share: float | None = None) -> Ma
     for _ in range(2):
         if not negative:
             return None
-        spread = negative[:: max(1, len(negative) // (LANDMARKS - len(seeds)))]
-        landmarks = [*seeds, *spread][:LANDMARKS]
+        spread = negative[:: max(1, len(negative) // (LANDMARKS - len(central)))]
+        landmarks = [*central, *spread][:LANDMARKS]
         both = [*positive, *negative]
-        machine = nystroem_machine(both, np.arange(len(both)) < len(positive), landmarks)
+        weight = np.array([*rated.values(), *[1.0] * len(negative)])
+        machine = nystroem_machine(both, np.arange(len(both)) < len(positive), landmarks, weight)
         margins = machine.margins(every)
         worst = [every[i] for i in np.argsort(-margins, kind="stable")[:500].tolist()]
         negative += [u for u in worst if u not in known]
@@ -306,15 +399,6 @@ def _logit(features: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> np.n
     return at
 
 
-def _evidence(n_toxic: int, n_clean: int, share: float) -> float:
-    """How far a unit's share of toxic texts is above the usual, as a likelihood ratio."""
-    n, p = n_toxic + n_clean, n_toxic / (n_toxic + n_clean)
-    if p <= share:
-        return 0.0
-    rest = n_clean * math.log((1 - p) / (1 - share)) if n_clean else 0.0
-    return 2 * (n_toxic * math.log(p / share) + rest)
-
-
 def held_out(key: Column | str) -> Column:
     """Whether an id belongs to the fifth that is never trained on."""
     key = F.col(key) if isinstance(key, str) else key

@@ -52,6 +52,43 @@ def test_insertions_and_gaps_are_tolerated(spark, machine):
     assert scores[5] < 0.5 and scores[6] < 0.5
 
 
+def score_of(machine, *texts):
+    import pyarrow as pa
+
+    piece = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    return toxicity.score_pieces(machine, "text")(piece)["score"].to_pylist()
+
+
+def invented(rng, letters, insults):
+    """A text of invented words, with the insults among them."""
+    words = ["".join(rng.choices(letters, k=rng.randint(4, 8))) for _ in range(rng.randint(20, 60))]
+    for word in insults:
+        words[rng.randrange(len(words))] = word
+    return " ".join(words)
+
+
+def test_insults_of_a_rare_language_are_learned():
+    rng = random.Random(11)
+    usual = ["".join(rng.choices("aeioulmnrst", k=8)) for _ in range(70)]
+    rare = ["zwuqk", "vywozz", "kuwyx"]
+    rows = [(invented(rng, "aeioulmnrst", rng.sample(usual, 2) if n % 4 == 0 else ()), n % 4 == 0) for n in range(1600)]
+    rows += [(invented(rng, "bcdfghjpy", rare if n % 4 == 0 else ()), n % 4 == 0) for n in range(32)]
+    machine = toxicity.train(*map(list, zip(*rows)))
+    assert (machine.margins(rare) > 0).all() and (machine.margins(usual) > 0).mean() > 0.95
+    clean = sorted({w for t, toxic in rows if not toxic for w in t.split()})
+    assert (machine.margins(clean) > 0).mean() < 0.1
+
+
+def test_copies_are_grouped_by_their_overlap():
+    rng = random.Random(12)
+    line = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    first, foot = line(60), line(30)
+    texts = [first, f"{first} end", "a b", "a  b", "a c", *(f"{line(60)} {foot}" for _ in range(9))]
+    groups = toxicity._copy_groups(texts)
+    assert groups[0] == groups[1] and groups[2] == groups[3]
+    assert len(set(groups.tolist())) == 12
+
+
 def test_toxicity_on_edge_rows(spark, edge, nothing, machine):
     assert toxicity.scores(edge, machine).count() == len(EDGE_ROWS)
     kept = toxicity.without_toxic(edge, machine)
