@@ -46,7 +46,9 @@ LANDMARKS = 192  # half of them, at most, from units that stand out
 COPIES = 0.5  # texts with this overlap of five-word shingles count once
 DECAY = 0.7
 WINDOW, STRIDE = 12, 3
-LETTERS = 28  # a to z, any other letter, nothing
+OTHERS = 17  # codes for letters beside a to z
+LETTERS = 26 + OTHERS
+IDEOGRAPHS = 0x2E80  # letters from here on stand for more than a sound
 PENALTY = 10.0
 CACHED_TOKENS = 250_000
 FOLDS = 5  # ids whose crc32 leaves 0 are held out
@@ -56,7 +58,11 @@ _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 class _Plain(dict):
-    """Characters to plain letters: base letters, look-alikes, ``{`` for others."""
+    """Characters to plain letters: base letters, look-alikes, codes from ``{`` on.
+
+    Neighbours in an alphabet get different codes. Ideographs and syllables are too many
+    for that and get two codes each, so that a pair of them is enough for a unit.
+    """
 
     def __missing__(self, code: int) -> str:
         character = unicodedata.normalize("NFKD", chr(code))[0].lower()
@@ -64,8 +70,12 @@ class _Plain(dict):
             plain = _DIGITS[character]
         elif "a" <= character <= "z":
             plain = character
+        elif not character.isalpha():
+            plain = ""
+        elif code >= IDEOGRAPHS and ord(character) >= 0x1100:
+            plain = chr(123 + code % OTHERS) + chr(123 + code // OTHERS % OTHERS)
         else:
-            plain = "{" if character.isalpha() else ""
+            plain = chr(123 + ord(character) % OTHERS)
         self[code] = plain
         return plain
 
@@ -93,7 +103,7 @@ def tokens_of(text: str) -> list[str]:
 
 def codes_of(units: list[str]) -> np.ndarray:
     """Units of one length as rows of letter numbers."""
-    data = np.frombuffer("".join(units).encode("ascii"), dtype=np.uint8)
+    data = np.frombuffer("".join(units).encode("latin-1"), dtype=np.uint8)
     return data.reshape(len(units), -1).astype(np.int32) - 97
 
 

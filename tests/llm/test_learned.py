@@ -79,6 +79,20 @@ def test_insults_of_a_rare_language_are_learned():
     assert (machine.margins(clean) > 0).mean() < 0.1
 
 
+@pytest.mark.parametrize(
+    ("letters", "insult"),
+    [("абвгдежзиклмноп", "щбюэчф"), ("αβγδεζηικλμ", "ψωξφχσ"), ("ابتجدرسع", "غقكلمن"), ("的一是不了人我在有", "笨蛋"), ("가나다라마바사", "죽어")],
+)
+def test_insults_in_other_scripts_are_told_from_clean_words(letters, insult):
+    rng = random.Random(13)
+    row = lambda bad, k: " ".join([*("".join(rng.choices(letters, k=k)) for _ in range(20)), *[insult] * bad])
+    rows = [(row(n % 3 == 0, len(insult)), n % 3 == 0) for n in range(300)]
+    machine = toxicity.train(*map(list, zip(*rows)))
+    fresh = [(row(n % 2 == 0, len(insult)), n % 2 == 0) for n in range(40)]
+    found = score_of(machine, *(t for t, _ in fresh))
+    assert [s >= 0.5 for s in found] == [label for _, label in fresh]
+
+
 def test_copies_are_grouped_by_their_overlap():
     rng = random.Random(12)
     line = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
