@@ -8,7 +8,10 @@ machine are linear in the subsequences, the trained machine is one weight for ea
 three letters: what is sent to tasks is that table, and scoring costs no landmark.
 
 The machine judges units: words without marks, accents and look-alike digits, runs of
-single letters, and stretches of longer words. Labels belong to texts, so it is trained
+single letters, stretches of longer words, and neighbouring words joined, as long as they
+have up to ``WINDOW`` letters together, so that an insult split by blanks or line ends is
+whole again. What stands out is learned from words only, so phrases of harmless words
+aren't. Labels belong to texts, so it is trained
 on multiple instances: units that more groups of copies have in toxic texts than chance
 explains, each weighed by how surely it does (``standing_out``), with letters inserted,
 against units of clean ones, the worst mistakes added in a second round. Only landmarks
@@ -42,6 +45,7 @@ from framewright.llm.spans import mixed
 
 TRAINING_TEXTS = 2000  # of each label, at most: those with the smallest hash of the id
 NEGATIVE_UNITS = 12_000
+NEGATIVE_JOINS = 4000
 LANDMARKS = 192  # half of them, at most, from units that stand out
 COPIES = 0.5  # texts with this overlap of five-word shingles count once
 DECAY = 0.7
@@ -83,9 +87,39 @@ class _Plain(dict):
 _PLAIN = _Plain()
 
 
+def plain_of(token: str) -> str:
+    """The letters of a token, without marks at its edges."""
+    return _EDGES.sub("", token).translate(_PLAIN)
+
+
+def joins_of(words: list[str | None]) -> list[tuple[int, int, str]]:
+    """First word, last word and letters of neighbours that fit in a window together.
+
+    Empty words are passed over; no join goes across a null.
+    """
+    rows = [(i, w) for i, w in enumerate(words) if w != ""]
+    found = []
+    for n, (first, joined) in enumerate(rows):
+        if joined is None:
+            continue
+        for last, word in rows[n + 1 : n + WINDOW]:
+            if word is None:
+                break
+            joined += word
+            if len(joined) > WINDOW:
+                break
+            if len(joined) >= 3:
+                found.append((first, last, joined))
+    return found
+
+
 def units_of(token: str) -> list[str]:
     """The stretches of letters that a token is judged by."""
-    plain = _EDGES.sub("", token).translate(_PLAIN)
+    return stretches(plain_of(token))
+
+
+def stretches(plain: str) -> list[str]:
+    """Letters as they are, or cut into overlapping windows; none of fewer than three."""
     if len(plain) < 3:
         return []
     if len(plain) <= WINDOW:
@@ -137,10 +171,15 @@ def _triples(size: int) -> Iterator[tuple[int, int, int]]:
 def weighed(codes: np.ndarray, table: np.ndarray, decay: float = DECAY) -> np.ndarray:
     """Sums over three-letter subsequences of table rows times decay to their span."""
     total = np.zeros((len(codes), *table.shape[1:]), dtype=np.float64)
-    columns = np.ascontiguousarray(codes.T)
-    for i, j, k in _triples(codes.shape[1]):
-        at = (columns[i] * LETTERS + columns[j]) * LETTERS + columns[k]
-        total += decay ** (k - i + 1) * table[at]
+    columns = np.ascontiguousarray(codes.T, dtype=np.intp)
+    size = len(columns)
+    for span in range(2, size):
+        part = np.zeros_like(total)
+        for i in range(size - span):
+            ends = columns[i] * LETTERS**2 + columns[i + span]
+            for j in range(i + 1, i + span):
+                part += table.take(ends + columns[j] * LETTERS, axis=0)
+        total += decay ** (span + 1) * part
     return total
 
 
@@ -182,14 +221,48 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(features @ self.logit, -30, 30)))
 
 
-def text_features(margins: list[float]) -> tuple[float, float, float, float]:
-    """Of the margins of a text's tokens: the worst, and toxic ones in all and per word."""
+    def toxic(self, units: list[str]) -> dict[str, float]:
+        """The positive margins among those of units.
+
+        Repeated letters only add to a norm, so where the sum is too small for the norm
+        of as many different letters, the margin is negative whatever the norm.
+        """
+        found = {}
+        for rows, codes in _by_length(units):
+            sums = weighed(codes, self.table)
+            least = math.sqrt(squared_norms(np.arange(codes.shape[1])[None, :])[0])
+            some = np.flatnonzero(sums / least * (1 + 1e-9) > -self.offset) if self.offset < 0 else np.arange(len(codes))
+            margins = sums[some] / np.sqrt(squared_norms(codes[some])) + self.offset
+            found.update((units[rows[n]], m) for n, m in zip(some.tolist(), margins.tolist()) if m > 0)
+        return found
+
+    def joined(self, rows: list[list[str]], margin: Mapping[str, float], plain: Mapping[str, str]) -> list[list[float]]:
+        """Of each row of words, the margins of toxic joins of words that aren't toxic.
+
+        Of joins that share a word, only the worst counts.
+        """
+        joins = [joins_of([None if margin[w] > 0 else plain[w] for w in row]) for row in rows]
+        units = list({u for row in joins for _, _, u in row})
+        toxic = self.toxic(units)
+        found = []
+        for row in joins:
+            taken, own = set(), []
+            for m, first, last in sorted((-toxic[u], a, b) for a, b, u in row if u in toxic):
+                if taken.isdisjoint(range(first, last + 1)):
+                    taken.update(range(first, last + 1))
+                    own.append(-m)
+            found.append(own)
+        return found
+
+
+def text_features(margins: list[float], joined: list[float]) -> tuple[float, float, float, float]:
+    """Of a text's tokens and joins: the worst margin, and toxic ones in all and per word."""
     if not margins:
         return -1.0, 0.0, 0.0, 1.0
-    values = np.array(margins)
+    values = np.array([*margins, *joined])
     toxic = float(np.clip(values, 0, 1).sum())
     worst = float(np.clip(values.max(), -1, 1))
-    return worst, math.log1p(toxic), math.log1p(1000 * toxic / len(values)), 1.0
+    return worst, math.log1p(toxic), math.log1p(1000 * toxic / len(margins)), 1.0
 
 
 def spread_over(units: list[str], count: int, weight: np.ndarray) -> list[str]:
@@ -216,9 +289,8 @@ def nystroem_machine(
     units: list[str], toxic: np.ndarray, landmarks: list[str], weight: np.ndarray | None = None
 ) -> Machine:
     """Train on labelled units; the landmarks' kernel is inverted once, on the driver."""
-    held = np.concatenate([features_of(codes_of([u])) for u in landmarks])
-    stacked = np.ascontiguousarray(held.T)
-    kernel = held @ held.T
+    stacked = np.concatenate([features_of(codes_of([u])) for u in landmarks]).T.copy()
+    kernel = stacked.T @ stacked
     values, vectors = np.linalg.eigh(kernel)
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
     made = np.empty((len(units), len(landmarks)))
@@ -345,12 +417,19 @@ def train(texts: list[str], toxic: list[bool], share: float | None = None) -> Ma
     vocabulary = {t: units_of(t) for row in tokens for t in row}
     units = [{u for t in set(row) for u in vocabulary[t]} for row in tokens]
     groups = _copy_groups(texts)
-    in_toxic, in_clean, done = Counter(), Counter(), set()
-    for row, own in enumerate(units):
-        if (groups[row], labels[row]) not in done:
-            done.add((groups[row], labels[row]))
-            (in_toxic if labels[row] else in_clean).update(own)
+    firsts = dict.fromkeys(zip(groups.tolist(), labels.tolist()))
+    for row, which in reversed([*enumerate(zip(groups.tolist(), labels.tolist()))]):
+        firsts[which] = row
+    in_toxic, in_clean = Counter(), Counter()
+    for row in firsts.values():
+        (in_toxic if labels[row] else in_clean).update(units[row])
     weight_of = standing_out(in_toxic, in_clean)
+    # joins with a word that stands out would be right to score high
+    plain = {t: None if any(u in weight_of for u in us) else plain_of(t) for t, us in vocabulary.items()}
+    joins_clean = set()
+    for row in firsts.values():
+        if not labels[row]:
+            joins_clean.update(u for _, _, u in joins_of([plain[t] for t in texts[row].split()]))
     if not weight_of:  # too few texts to tell: all units that only toxic ones have
         weight_of = {u: 1.0 for u in in_toxic if u not in in_clean}
     seeds = sorted(weight_of, key=lambda u: (-weight_of[u], -in_toxic[u], u))
@@ -364,10 +443,12 @@ def train(texts: list[str], toxic: list[bool], share: float | None = None) -> Ma
     central = spread_over(seeds, LANDMARKS // 2, np.array([weight_of[u] for u in seeds]))
     taken = set(positive)
     every = sorted(set(in_clean) - taken)
+    joins = sorted(joins_clean - taken - set(in_clean))
     clean = sorted(every, key=lambda u: (-in_clean[u], u))
     half = NEGATIVE_UNITS // 2
     step = max(1, (len(clean) - half) // half)
     negative = clean[:half] + clean[half::step][:half]
+    negative += joins[:: max(1, len(joins) // NEGATIVE_JOINS)]
     known = set(negative)
     machine, margins = None, None
     for _ in range(2):
@@ -380,13 +461,21 @@ def train(texts: list[str], toxic: list[bool], share: float | None = None) -> Ma
         machine = nystroem_machine(both, np.arange(len(both)) < len(positive), landmarks, weight)
         margins = machine.margins(every)
         worst = [every[i] for i in np.argsort(-margins, kind="stable")[:500].tolist()]
+        wrong = machine.margins(joins)
+        worst += [joins[i] for i in np.argsort(-wrong, kind="stable")[:500].tolist()]
         negative += [u for u in worst if u not in known]
         known.update(worst)
     scored = dict(zip(every, margins.tolist()))
     left = sorted({u for own in units for u in own} - set(scored))
     scored |= dict(zip(left, machine.margins(left).tolist()))
     worst_of = {t: max((scored[u] for u in us), default=-2.0) for t, us in vocabulary.items()}
-    features = np.array([text_features([worst_of[t] for t in row]) for row in tokens])
+    plain = {t: plain_of(t) for t in vocabulary}
+    features = []
+    for first in range(0, len(texts), 256):
+        joined = machine.joined([x.split() for x in texts[first : first + 256]], worst_of, plain)
+        for row, own in zip(tokens[first : first + 256], joined):
+            features.append(text_features([worst_of[t] for t in row], own))
+    features = np.array(features)
     weight = np.ones(len(texts))
     if share is not None and 0 < share < 1:
         weight = np.where(labels, share / labels.mean(), (1 - share) / (1 - labels.mean()))
@@ -441,7 +530,7 @@ def fitted(
     return train(rows["text"].fillna("").tolist(), rows["toxic"].tolist(), share)
 
 
-_SCORES: dict[str, tuple[bytes, dict[str, float]]] = {}
+_SCORES: dict[str, tuple[bytes, dict[str, float], dict[str, str]]] = {}
 
 
 def score_pieces(machine: Machine | None, text: str, output: str = "score"):
@@ -450,22 +539,27 @@ def score_pieces(machine: Machine | None, text: str, output: str = "score"):
         return lambda piece: {output: pa.array(np.zeros(piece.num_rows))}
     name = machine.table.tobytes() + np.float64(machine.offset).tobytes()
     if _SCORES.get("now", (b"",))[0] != name:
-        _SCORES["now"] = name, {}
-    margins = _SCORES["now"][1]
+        _SCORES["now"] = name, {}, {}
+    _, margins, plain = _SCORES["now"]
 
     def work(piece: pa.RecordBatch) -> dict[str, pa.Array]:
-        rows = [tokens_of(t) for t in texts_of(piece, text)]
+        texts = texts_of(piece, text)
+        rows = [tokens_of(t) for t in texts]
         new = set().union(*rows)
         if len(margins) + len(new) > CACHED_TOKENS:
             margins.clear()
+            plain.clear()
         new = [t for t in new if t not in margins]
-        pairs = [(u, n) for n, t in enumerate(new) for u in units_of(t)]
+        letters = {t: plain_of(t) for t in new}
+        pairs = [(u, n) for n, t in enumerate(new) for u in stretches(letters[t])]
         best = np.full(len(new), -2.0)
         if pairs:
             values = machine.margins([u for u, _ in pairs])
             np.maximum.at(best, np.fromiter((n for _, n in pairs), np.int64), values)
         margins.update(zip(new, best.tolist()))
-        found = [text_features(list(map(margins.__getitem__, row))) for row in rows]
+        plain.update(letters)
+        joined = machine.joined([t.split() for t in texts], margins, plain)
+        found = [text_features(list(map(margins.__getitem__, row)), own) for row, own in zip(rows, joined)]
         return {output: pa.array(machine.scores(np.array(found)))}
 
     return work

@@ -52,6 +52,14 @@ def test_insertions_and_gaps_are_tolerated(spark, machine):
     assert scores[5] < 0.5 and scores[6] < 0.5
 
 
+def test_split_insults_are_seen_whole(machine):
+    split = ["mo ron", "you st upid man", "he is worth less", "such an id\niot", "so pat he tic", "dis gust ing"]
+    whole = [t.replace(" ", "").replace("\n", "") for t in ("mo ron", "st upid", "worth less")]
+    found = score_of(machine, *split, *whole, "the thin end of the nation there")
+    assert all(s >= 0.5 for s in found[:-1]) and found[-1] < 0.5
+    assert toxicity.joins_of(["mo", "", "ron", None, "a", "bc"]) == [(0, 2, "moron"), (4, 5, "abc")]
+
+
 def score_of(machine, *texts):
     import pyarrow as pa
 
