@@ -16,6 +16,7 @@ one with the largest share counts, the first of equals. Other columns play no pa
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 import numpy as np
@@ -57,9 +58,8 @@ TEMPLATES = {
         "permitted provided that the following conditions are met"
     ),
 }
-_ENDS = np.zeros(256, dtype=np.uint8)
-for _c in b".,;:()\"'":
-    _ENDS[_c] = 1
+_ENDS = str.maketrans(dict.fromkeys(".,;:()\"'", " "))
+_MARKS = re.compile(r"(?:[^\w\s]|_)+")
 
 
 def bands_for(likeness: float, rows: int = ROWS, certainty: float = CERTAINTY) -> int:
@@ -67,10 +67,20 @@ def bands_for(likeness: float, rows: int = ROWS, certainty: float = CERTAINTY) -
     return int(np.ceil(np.log(1 - certainty) / np.log(1 - likeness**rows)))
 
 
+def _at_edge(run: re.Match) -> str:
+    """Blanks of the same length in UTF-8 for marks at a word's edge, or alone."""
+    before, after = run.string[run.start() - 1 : run.start()], run.string[run.end() : run.end() + 1]
+    if before.strip() and after.strip():
+        return run[0]
+    return " " * len(run[0].encode("utf-8", "surrogatepass"))
+
+
 def without_marks(text: str) -> bytes:
-    """UTF-8 with marks at words replaced by blanks of the same length."""
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    return np.where(_ENDS[data] == 1, np.uint8(32), data).tobytes()
+    """UTF-8 with marks at words replaced by blanks of the same length.
+
+    So comment leaders are no words, and quotes of any kind no parts of words.
+    """
+    return _MARKS.sub(_at_edge, text.translate(_ENDS)).encode("utf-8", "surrogatepass")
 
 
 def minhashes(shingles: np.ndarray, salts: np.ndarray) -> np.ndarray:
@@ -148,7 +158,8 @@ def scan(
         scanner = _SCANNERS[name]
 
         def work(piece: pa.RecordBatch) -> dict[str, pa.Array]:
-            texts = [without_marks(t) for t in texts_of(piece, text)]
+            given = texts_of(piece, text)
+            texts = [without_marks(t) for t in given]
             _, runs, starts, ends, last = shingle_runs(texts)
             hit = np.flatnonzero(scanner.screen[(runs & np.uint64(0xFFFF)).astype(np.int64)])
             hit = hit[np.isin(runs[hit], scanner.known)]
@@ -161,7 +172,8 @@ def scan(
                 for name, i, j, share_ in scanner.matches(own) if len(own) else ():
                     begin = int(starts[first + i] - offsets[row])
                     end = int(ends[first + j + WORDS - 1] - offsets[row])
-                    chars = [len(texts[row][:x].decode("utf-8", "surrogatepass")) for x in (begin, end)]
+                    data = given[row].encode("utf-8", "surrogatepass")
+                    chars = [len(data[:x].decode("utf-8", "surrogatepass")) for x in (begin, end)]
                     out[row].append((name, *chars, share_))
             kind = pa.list_(
                 pa.struct(

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -196,6 +197,19 @@ def test_licenses_are_those_of_brute_force(spark):
     assert found == {i: b for i, t in rows if (b := brute_licenses(t))}
 
 
+@pytest.mark.parametrize("leader", ["# ", " * ", "// ", "-- ", ";; ", "> ", "# \u201c"])
+def test_licenses_in_commented_headers(spark, leader):
+    wrapped = {n: textwrap.wrap(t.replace('"', "\u201d"), 60) for n, t in license_scan.TEMPLATES.items()}
+    rows = [(n, "\n".join(["/*\u201c\u201d", *(leader + x for x in lines), " */ end"])) for n, lines in wrapped.items()]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    found = {(r["doc_id"], r["template"]): r for r in license_scan.scan(df).collect()}
+    for name, text in rows:
+        row = found[name, name]
+        assert row["share"] == 1.0
+        assert text[row["start"] :].startswith(wrapped[name][0][:8])
+        assert text[: row["end"]].endswith(wrapped[name][-1].rstrip(".")[-4:])
+
+
 def test_licenses_on_edge_rows(edge, nothing):
     assert license_scan.scan(edge).count() == 0
     assert license_scan.scan(nothing).count() == 0
