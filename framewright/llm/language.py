@@ -33,7 +33,8 @@ from framewright.llm.batches import looked_up, map_pieces, stored, texts_of
 
 UNKNOWN = "und"
 TRAINING_TEXTS = 400  # of each language, at most: those with the smallest hash of the id
-LANGUAGES = 32  # the most common ones of the labelled texts
+LANGUAGES = 256  # more label values are refused, as each adds a table of 128 KB
+AT_ONCE = 32  # languages whose texts are on the driver together
 GRAM_BITS = 15
 EVIDENCE_GRAMS = 120
 UNKNOWN_SHARE = 0.01
@@ -114,21 +115,25 @@ def fitted(df: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     known = df.filter(F.col(label).isNotNull()).select(
         F.col(key).alias("id"), F.lower(label).alias("language")
     )
-    common = known.groupBy("language").count().orderBy(F.desc("count"), "language").limit(LANGUAGES)
-    drawn = None
-    for row in common.collect():
-        part = known.filter(F.col("language") == row["language"])
-        part = part.orderBy(F.xxhash64("id"), "id").limit(TRAINING_TEXTS)
-        drawn = part if drawn is None else drawn.union(part)
-    if drawn is None:
-        return fit([], [])
-    rows = (
-        df.select(F.col(key).alias("id"), F.col(text).alias("text"))
-        .join(F.broadcast(drawn.dropDuplicates(["id"])), "id")
-        .toPandas()
-        .sort_values(["id", "text"])
-    )
-    return fit(rows["text"].fillna("").tolist(), rows["language"].tolist())
+    names = [r[0] for r in known.select("language").distinct().limit(LANGUAGES + 1).collect()]
+    if len(names) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages in column {label!r}")
+    fits = [fit([], [])]
+    for first in range(0, len(names), AT_ONCE):
+        drawn = None
+        for name in sorted(names)[first : first + AT_ONCE]:
+            part = known.filter(F.col("language") == name)
+            part = part.orderBy(F.xxhash64("id"), "id").limit(TRAINING_TEXTS)
+            drawn = part if drawn is None else drawn.union(part)
+        rows = (
+            df.select(F.col(key).alias("id"), F.col(text).alias("text"))
+            .join(F.broadcast(drawn.dropDuplicates(["id"])), "id")
+            .toPandas()
+            .sort_values(["id", "text"])
+        )
+        fits.append(fit(rows["text"].fillna("").tolist(), rows["language"].tolist()))
+    tables = [m.table[:-1] for m in fits[1:]] + [fits[0].table]
+    return TextModel([n for m in fits[1:] for n in m.languages[:-1]] + [UNKNOWN], np.concatenate(tables))
 
 
 def host_of(url: Column) -> Column:

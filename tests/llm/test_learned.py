@@ -152,6 +152,20 @@ def test_host_votes_decide_what_the_text_leaves_open(spark):
     assert all(got[i] == ("aa" if i < 40 else "bb") for i in range(80))
 
 
+def test_every_labelled_language_is_fitted(spark, monkeypatch):
+    rng = random.Random(10)
+    words = {f"l{n:02}": ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(8)] for n in range(40)}
+    rows = [(n, " ".join(rng.choices(words[x], k=30)), x) for n, x in enumerate([*words] * 3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").coalesce(2)
+    model = language.fitted(df)
+    assert model.languages == [*sorted(words), language.UNKNOWN]
+    likeliest = model.likelihoods([text for _, text, _ in rows]).argmax(axis=1)
+    assert [model.languages[i] for i in likeliest] == [x for _, _, x in rows]
+    monkeypatch.setattr(language, "LANGUAGES", 39)
+    with pytest.raises(ValueError, match="more than 39 languages"):
+        language.fitted(df)
+
+
 def test_language_on_edge_rows(spark, edge, nothing):
     model = language.fitted(edge)
     found = language.identify(edge, model, "doc_id", "text", declared=F.col("lang"), host=F.col("source"))
