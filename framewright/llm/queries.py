@@ -11,6 +11,7 @@ from framewright.llm import (
     embedding_join,
     language,
     license_scan,
+    manifest,
     merkle,
     mixing,
     ngram_join,
@@ -190,3 +191,64 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @llm_query()
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+@llm_query("""
+    WITH RECURSIVE parts AS (
+        SELECT *, list_reduce(
+            list_prepend(4294967295::UBIGINT, flatten(list_transform(
+                string_split(doc_id::VARCHAR, ''),
+                lambda c: list_prepend(ascii(c)::UBIGINT, list_resize([]::UBIGINT[], 8, 256::UBIGINT))))),
+            lambda crc, x: CASE WHEN x < 256 THEN xor(crc, x) WHEN crc & 1 = 1
+                                THEN xor(crc >> 1, 3988292384::UBIGINT) ELSE crc >> 1 END) AS crc,
+            coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-')
+                || coalesce(strlen(source) || ':' || source, '-')
+                || coalesce(strlen(lang) || ':' || lang, '-')
+                || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+        FROM documents),
+    hashed AS (
+        SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+               CASE WHEN xor(crc, 4294967295::UBIGINT) % 3 = 0
+                    THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) END AS altered
+        FROM parts),
+    leaves AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+               count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree
+        FROM hashed),
+    nodes(tree, level, place, n, node) AS (
+        SELECT tree, 0, place, n, leaf FROM leaves
+        UNION ALL
+        SELECT tree, level + 1, place // 8, (n + 7) // 8, sha256(string_agg(node, '' ORDER BY place))
+        FROM nodes WHERE n > 1 GROUP BY tree, level, place // 8, n),
+    subroots AS (SELECT tree, node, count(*) OVER () AS n FROM nodes WHERE n = 1),
+    tops(level, place, n, node) AS (
+        SELECT 0, tree, n, node FROM subroots
+        UNION ALL
+        SELECT level + 1, place // 8, (n + 7) // 8, sha256(string_agg(node, '' ORDER BY place))
+        FROM tops WHERE n > 1 GROUP BY level, place // 8, n),
+    beside AS (
+        SELECT tree, level, place,
+               coalesce(string_agg(node, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+               coalesce(string_agg(node, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b
+        FROM (SELECT tree, level, place, n, node FROM nodes
+              UNION ALL SELECT -1, level, place, n, node FROM tops) WHERE n > 1
+        WINDOW w AS (PARTITION BY tree, level, place // 8 ORDER BY place)),
+    paths AS (
+        SELECT l.tree, l.place, list(a || ',' || b ORDER BY s.tree DESC, s.level) AS path,
+               string_agg(a || b, '' ORDER BY s.tree DESC, s.level) AS others
+        FROM leaves l JOIN beside s
+          ON s.tree = l.tree AND s.place = l.place >> (3 * s.level)
+          OR s.tree = -1 AND s.place = l.tree >> (3 * s.level)
+        GROUP BY l.tree, l.place),
+    proven AS (
+        SELECT doc_id, leaf, u.node AS subroot, (SELECT node FROM tops WHERE n = 1) AS root,
+               sha256(coalesce(others, '')) AS proof_sha256,
+               list_reduce(list_prepend(coalesce(altered, leaf), coalesce(path, [])),
+                   lambda h, x: sha256(split_part(x, ',', 1) || h || split_part(x, ',', 2))) AS folded_root
+        FROM leaves l LEFT JOIN paths USING (tree, place) JOIN subroots u USING (tree))
+    SELECT *, folded_root = root AS verified FROM proven
+""")
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    altered = manifest.tampered_leaf(manifest.FIELDS, "doc_id", "text")
+    return manifest.manifest(_table(spark, sf_dir, "documents"), altered=altered)
