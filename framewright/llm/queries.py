@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm import (
     bpe_codec,
+    divergence,
     embedding_join,
     language,
     license_scan,
@@ -252,3 +253,44 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     altered = manifest.tampered_leaf(manifest.FIELDS, "doc_id", "text")
     return manifest.manifest(_table(spark, sf_dir, "documents"), altered=altered)
+
+
+@llm_query("""
+    WITH texts AS (
+        SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc,
+               regexp_extract_all(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+        FROM documents),
+    occurring AS (SELECT DISTINCT lang, source FROM texts),
+    words AS (SELECT lang, source, doc, unnest(w) AS term FROM texts),
+    kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM words
+             GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+    langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(n) AS total FROM kept GROUP BY lang),
+    counts AS (SELECT w.lang, w.source, w.term, count(*)::HUGEINT AS n
+               FROM words w JOIN kept USING (lang, term) GROUP BY w.lang, w.source, w.term),
+    sizes AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY lang, source),
+    shares AS (
+        SELECT o.lang, o.source, k.term, coalesce(c.n, 0) AS n,
+               1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (coalesce(s.total, 0) + l.v) AS p,
+               1 + (1000000000 * (k.n + 1)) // (l.total + l.v) AS q
+        FROM occurring o JOIN kept k USING (lang) JOIN langs l USING (lang)
+        LEFT JOIN sizes s ON s.lang = o.lang AND s.source = o.source
+        LEFT JOIN counts c ON c.lang = o.lang AND c.source = o.source AND c.term = k.term),
+    sums AS (
+        SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+        FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+        GROUP BY a.lang, a.source, b.source),
+    found AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+        FROM occurring a JOIN occurring b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+        UNION ALL
+        SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM shares WHERE n > 0 AND p > q),
+    ranked AS (
+        SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+        FROM found)
+    SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+""")
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
