@@ -10,6 +10,7 @@ from framewright.llm import (
     bpe_codec,
     divergence,
     embedding_join,
+    html_extract,
     language,
     license_scan,
     manifest,
@@ -294,3 +295,8 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+@llm_query()
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
