@@ -8,14 +8,16 @@ nulls, ties, column names, exact averages and groups too large for one task.
 from framewright.functions.bands import ELSE, BandRule
 from framewright.functions.measures import exact_avg, wide_sum
 from framewright.functions.python_functions import arrow_bands, null_safe_udf
+from framewright.operators.averages import stable_average
 from framewright.operators.derive import filter_derive
 from framewright.operators.enrich import attach_lookup, join_on_key
 from framewright.operators.ordering import ordered
-from framewright.operators.output import preview
+from framewright.operators.output import counted_preview, preview
 from framewright.operators.pivoting import REFUSE, pivot_measures, pivot_values
 from framewright.operators.profile import profile
 from framewright.operators.ranking import (
     rank_values,
+    rank_values_balanced,
     rank_within,
     rank_within_balanced,
 )
@@ -30,6 +32,7 @@ __all__ = [
     "RECOMMENDED_SETTINGS",
     "arrow_bands",
     "attach_lookup",
+    "counted_preview",
     "exact_avg",
     "filter_derive",
     "hot_groups",
@@ -44,7 +47,9 @@ __all__ = [
     "preview",
     "profile",
     "rank_values",
+    "rank_values_balanced",
     "rank_within",
     "rank_within_balanced",
+    "stable_average",
     "wide_sum",
 ]

@@ -68,15 +68,27 @@ class BandRule:
         return self.otherwise if self.null_label is ELSE else self.null_label
 
     def column(self, value: Column | str) -> Column:
-        """The rule as a native conditional, inside whole-stage codegen."""
+        """The rule as a native conditional, inside whole-stage codegen.
+
+        Cuts are in order, so where one holds, all later ones do: a balanced tree of
+        conditions finds the first in as many comparisons as the number of cuts has
+        binary digits. A null takes the right branch each time, to the else label.
+        """
         value = F.col(value) if isinstance(value, str) else value
-        (cut, label), *rest = self.cuts
+        # cuts of several types may be compared in several types, in which a value
+        # could fall between two cuts that it doesn't fall between in another
+        alike = len({type(cut) for cut, _ in self.cuts}) == 1
+        bands = self._tree(value, 0, len(self.cuts), alike)
         if self.null_label is ELSE:
-            bands = F.when(self.holds(value, cut), label)
-        else:
-            bands = F.when(value.isNull(), F.lit(self.null_label)).when(
-                self.holds(value, cut), label
-            )
-        for cut, label in rest:
-            bands = bands.when(self.holds(value, cut), label)
-        return bands.otherwise(self.otherwise)
+            return bands
+        return F.when(value.isNull(), F.lit(self.null_label)).otherwise(bands)
+
+    def _tree(self, value: Column, first: int, end: int, halves: bool) -> Column:
+        """The label by the cuts from ``first`` on, where the one at ``end`` holds."""
+        if first == end:
+            return F.lit(self.labels[first])
+        middle = (first + end - 1) // 2 if halves else first
+        return F.when(
+            self.holds(value, self.cuts[middle][0]),
+            self._tree(value, first, middle, halves),
+        ).otherwise(self._tree(value, middle + 1, end, halves))

@@ -13,7 +13,9 @@ from decimal import Decimal
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
 from framewright.functions.bands import BandRule
@@ -22,15 +24,27 @@ from framewright.functions.bands import BandRule
 def null_safe_udf(function: Callable, return_type: DataType | str = "string"):
     """Wrap a one-argument Python function: null in, null out, Arrow transfer.
 
-    The function itself never sees ``None``. It is still called once per row;
-    ``arrow_bands`` is the vectorised form for banding rules.
+    The function itself never sees ``None``, and must depend on its argument alone:
+    each Arrow batch is dictionary-encoded and the function called on the dictionary,
+    so once for each distinct value of the batch. Values of nested types, which have
+    no dictionary, are passed one by one. ``arrow_bands`` needs no call at all.
     """
 
-    @functools.wraps(function)
-    def guarded(value):
-        return None if value is None else function(value)
+    def applied(column: Column | str) -> Column:
+        kind = to_arrow_type(F.udf(lambda value: value, return_type).returnType)
 
-    return F.udf(guarded, return_type, useArrow=True)
+        @F.arrow_udf(return_type)
+        def batch(values: pa.Array) -> pa.Array:
+            if pa.types.is_nested(values.type):
+                given = values.to_pylist()
+                return pa.array([None if v is None else function(v) for v in given], type=kind)
+            coded = values.dictionary_encode()
+            made = pa.array([function(v) for v in coded.dictionary.to_pylist()], type=kind)
+            return made.take(coded.indices)
+
+        return batch(column)
+
+    return functools.wraps(function)(applied)
 
 
 def _comparable(values: pa.Array, cut) -> tuple[pa.Array, pa.Scalar]:

@@ -73,9 +73,17 @@ def pivot_measures(
         rest = F.raise_error(F.concat(F.lit(f"unlisted value in {pivot}: "), text)).cast("string")
     else:
         rest = F.lit(other)
-    cell = rest
-    for listed, prefix in reversed(named.items()):
-        cell = F.when(value.eqNullSafe(F.lit(listed)), prefix).otherwise(cell)
+    # one literal map, looked up once a row, however long the list
+    kind = df.schema[pivot].dataType
+    pairs = [
+        part
+        for listed, prefix in named.items()
+        if listed is not None
+        for part in (F.lit(listed).cast(kind), F.lit(prefix))
+    ]
+    cell = F.coalesce(F.element_at(F.create_map(*pairs), value), rest) if pairs else rest
+    if None in named:
+        cell = F.when(value.isNull(), F.lit(named[None])).otherwise(cell)
     label = "__cell"
     aggregates = [expr.alias(name) for name, expr in measures.items()]
     grouped = df.withColumn(label, cell).groupBy(*map(column, keys))

@@ -1,10 +1,13 @@
 """Ranks within groups: rank, dense rank and row number.
 
-Three forms, by what the groups look like:
+Four forms, by what the groups look like:
 
 ``rank_values``
     Ranks per distinct value, from pre-aggregated counts. The shuffle carries
     values, not rows.
+``rank_values_balanced``
+    The same result for groups of any number of distinct values: the counts are
+    cut into ordered slices.
 ``rank_within``
     Ranks per row, one shuffle and one sort. Each group is sorted in one task.
 ``rank_within_balanced``
@@ -27,10 +30,11 @@ from pyspark.sql import functions as F
 
 from framewright.names import column, repeated_names, shared_names
 from framewright.operators.skew import hot_groups
-from framewright.sources.staging import staging_folder
+from framewright.sources.staging import staging_folder, stored, stored_and_counted
 
 HOT_ROWS = 20_000_000
 SLICE_ROWS = 10_000_000
+SLICE_VALUES = 10_000_000
 
 
 @dataclass(frozen=True)
@@ -74,21 +78,95 @@ def rank_values(
     Rank and dense rank are the same for all rows that tie, so counting the ties
     first loses nothing, and a value repeated many times leaves each task as one
     row. Fits measures with far fewer values than rows: a group's distinct values
-    are ordered in one task. Where a large group has mostly distinct values,
-    aggregate the result of ``rank_within_balanced`` instead.
+    are ordered in one task. ``rank_values_balanced`` is for groups with more of
+    them than a task can order.
     """
+    return _rank_counted(_counted_values(df, keys, by, rows, names), keys, by, descending, rows, names)
+
+
+def _counted_values(
+    df: DataFrame, keys: Sequence[str], by: str, rows: str, names: RankNames
+) -> DataFrame:
     _refuse_clashes(df, [*keys, by], [rows, names.rank, names.dense_rank])
-    counted = df.groupBy(*_refs(keys), column(by)).agg(F.count("*").alias(rows))
+    return df.groupBy(*_refs(keys), column(by)).agg(F.count("*").alias(rows))
+
+
+def _rank_counted(
+    counted: DataFrame,
+    keys: Sequence[str],
+    by: str,
+    descending: bool,
+    rows: str,
+    names: RankNames,
+) -> DataFrame:
+    """Ranks of distinct values from how many rows each has."""
     order = Window.partitionBy(*_refs(keys)).orderBy(_directed(by, descending))
     so_far = F.sum(column(rows)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     return counted.withColumns(
         {
             names.rank: so_far - column(rows) + 1,
-            names.dense_rank: F.dense_rank().over(order).cast("bigint"),
+            names.dense_rank: F.row_number().over(order).cast("bigint"),
         }
     )
 
 
+def rank_values_balanced(
+    df: DataFrame,
+    keys: Sequence[str],
+    by: str,
+    descending: bool = True,
+    rows: str = "n_rows",
+    names: RankNames = RankNames(),
+    slice_values: int = SLICE_VALUES,
+    folder: str | None = None,
+) -> DataFrame:
+    """``rank_values`` for groups with any number of distinct values.
+
+    Not lazy: the counts of the distinct values are written once, below ``folder``
+    (the session's checkpoint directory if ``None``). With more than ``slice_values``
+    of them they are cut by range of key and value into slices of about that many,
+    also inside a group. Prefix sums then go in two levels: of the counts within each
+    slice, and of whole slices, of which a group has few rows.
+
+    ``df`` is read once. The written rows are needed until the result has been computed.
+    """
+    reserved = [c for c in (*keys, by, rows) if c.startswith("_")]
+    if reserved:
+        raise ValueError(f"rename columns with a leading underscore: {reserved}")
+    place = staging_folder(df.sparkSession, "value-slices", folder)
+    counted, total = stored_and_counted(
+        _counted_values(df, keys, by, rows, names), f"{place}/counts"
+    )
+    if total <= slice_values:
+        return _rank_counted(counted, keys, by, descending, rows, names)
+    ranged = counted.repartitionByRange(
+        math.ceil(total / slice_values), *_refs(keys), _directed(by, descending)
+    )
+    # written, as the cut depends on a sample and offsets must see the same one
+    sliced = stored(ranged.withColumn("_slice", F.spark_partition_id()), f"{place}/slices")
+    pieces = sliced.groupBy("_slice", *_refs(keys)).agg(
+        F.sum(column(rows)).alias("_rows"), F.count("*").alias("_values")
+    )
+    earlier = Window.partitionBy(*_refs(keys)).orderBy("_slice")
+    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieces.select(
+        F.col("_slice").alias("_offset_slice"),
+        *(column(key).alias(f"_offset_{key}") for key in keys),
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_before"),
+        F.coalesce(F.sum("_values").over(earlier), F.lit(0)).alias("_values_before"),
+    )
+    offsets = stored(offsets, f"{place}/offsets")
+    same = F.col("_slice") == F.col("_offset_slice")
+    for key in keys:
+        same &= column(key).eqNullSafe(column(f"_offset_{key}"))
+    local = _rank_counted(sliced, ["_slice", *keys], by, descending, rows, names)
+    return local.join(offsets, same).select(
+        *_refs([*keys, by, rows]),
+        (F.col("_rows_before") + column(names.rank)).alias(names.rank),
+        (F.col("_values_before") + column(names.dense_rank)).alias(names.dense_rank),
+    )
+
+
 def rank_within(
     df: DataFrame,
     keys: Sequence[str],
@@ -151,7 +229,7 @@ def rank_within_balanced(
     found = hot_groups(df, keys, hot_rows, rows="_rows")
     found = found.select(*(column(k).alias(f"_hot_{k}") for k in keys), "_rows")
     # few rows of known size, so Spark can choose to broadcast them
-    hot = _stored(found, f"{place}/groups")
+    hot = stored(found, f"{place}/groups")
     total = hot.agg(F.sum("_rows")).first()[0]
     if not total:
         return rank_within(df, keys, by, tie_breaker, descending, names)
@@ -193,10 +271,10 @@ def _rank_in_slices(
     ranged = df.repartitionByRange(
         slices, *_refs(keys), _directed(by, descending), *_refs(_columns(tie_breaker))
     )
-    staged = _stored(ranged.withColumn("_slice", F.spark_partition_id()), f"{folder}/rows")
+    staged = stored(ranged.withColumn("_slice", F.spark_partition_id()), f"{folder}/rows")
     # at most one row per slice and one more per group; with its size known from
     # the files, Spark decides whether to broadcast it
-    offsets = _stored(_slice_offsets(staged, keys, by, descending), f"{folder}/offsets")
+    offsets = stored(_slice_offsets(staged, keys, by, descending), f"{folder}/offsets")
     offsets = offsets.select(
         F.col("_slice").alias("_offset_slice"),
         *(column(key).alias(f"_offset_{key}") for key in keys),
@@ -222,12 +300,6 @@ def _rank_in_slices(
     )
 
 
-def _stored(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` now and read it back, free of its lineage."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _slice_offsets(
     staged: DataFrame, keys: Sequence[str], by: str, descending: bool
 ) -> DataFrame:

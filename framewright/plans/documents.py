@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions.bands import BandRule
-from framewright.functions.python_functions import arrow_bands
+from framewright.functions.python_functions import arrow_bands, null_safe_udf
 from framewright.operators.derive import filter_derive
 from framewright.operators.enrich import attach_lookup, join_on_key
 from framewright.operators.ordering import ordered
 from framewright.operators.pivoting import REFUSE, pivot_measures
 from framewright.operators.profile import profile
-from framewright.operators.ranking import RankNames, rank_values, rank_within_balanced
+from framewright.operators.ranking import RankNames, rank_values_balanced, rank_within_balanced
 from framewright.plans.registry import query
+from framewright.sources.staging import staging_folder, stored, stored_and_counted
 from framewright.sources.tables import load_table
 
 LANGUAGES = [("de", "German"), ("en", "English"), ("fr", "French")]
@@ -53,6 +54,22 @@ def filter_and_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+    SELECT doc_id, lang, n_chars, count(*) OVER () AS n_long
+    FROM documents WHERE n_chars > 900
+""")
+def long_documents_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with their number, both from the one run that stores them."""
+    long_ones = filter_derive(
+        load_table(spark, sf_dir, "documents"),
+        F.col("n_chars") > 900,
+        keep=["doc_id", "lang", "n_chars"],
+        derived={},
+    )
+    rows, count = stored_and_counted(long_ones, staging_folder(spark, "counted"))
+    return rows.withColumn("n_long", F.lit(count).cast("bigint"))
+
+
 @query("""
     SELECT doc_id, n_chars, n_chars * 0.1::DOUBLE AS tenth
     FROM documents WHERE n_chars > 300 ORDER BY n_chars DESC, doc_id
@@ -74,11 +91,8 @@ def derived_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM documents
 """)
 def size_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_derive(
-        load_table(spark, sf_dir, "documents"),
-        keep=["doc_id", "n_chars"],
-        derived={"size": SIZE.column("n_chars")},
-    )
+    sizes = load_table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return filter_derive(sizes, derived={"size": SIZE.column("n_chars")})
 
 
 @query("""
@@ -184,6 +198,21 @@ def category_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def category_of(n_chars: int) -> str:
+    """The category of one value, as a plain Python function."""
+    return next((label for cut, label in CATEGORY.cuts if n_chars >= cut), CATEGORY.otherwise)
+
+
+@query(CATEGORY_SQL)
+def category_by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python function called once for each distinct value of a batch."""
+    return filter_derive(
+        load_table(spark, sf_dir, "documents"),
+        keep=["doc_id", "n_chars"],
+        derived={"category": null_safe_udf(category_of)("n_chars")},
+    )
+
+
 @query(CATEGORY_SQL + " ORDER BY n_chars DESC, doc_id")
 def category_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered(
@@ -222,30 +251,36 @@ def pivot_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""
-    WITH stats AS (
-        SELECT lang, source, count(*) AS n_docs, avg(n_chars) AS avg_n_chars,
-               sum(quality)::BIGINT AS sum_quality
-        FROM documents JOIN labels USING (doc_id)
-        WHERE n_chars > 300 GROUP BY lang, source)
-    SELECT *, rank() OVER (PARTITION BY lang ORDER BY n_docs DESC) AS source_rank
-    FROM stats
-""")
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents beyond 300 characters, by language and source."""
     labelled = join_on_key(
         load_table(spark, sf_dir, "documents").filter(F.col("n_chars") > 300),
         load_table(spark, sf_dir, "labels"),
         on="doc_id",
     )
-    stats = profile(
+    return profile(
         labelled,
         ["lang", "source"],
         {"n_chars": "avg", "quality": "sum"},
         rows="n_docs",
     )
+
+
+@query("""
+    WITH stats AS (
+        SELECT lang, source, count(*) AS n_docs, avg(n_chars) AS avg_n_chars,
+               sum(quality)::BIGINT AS sum_quality
+        FROM documents JOIN labels USING (doc_id)
+        WHERE n_chars > 300 GROUP BY lang, source)
+    SELECT *, rank() OVER (PARTITION BY lang ORDER BY n_docs DESC) AS source_rank
+    FROM stats
+""")
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # stored, so that join and aggregate run once for both uses below
+    stats = stored(labelled_stats(spark, sf_dir), staging_folder(spark, "flagship"))
     # ranks each distinct count once, so a language with a source for every web
     # host isn't sorted as a whole in one task
-    ranks = rank_values(stats, ["lang"], "n_docs", names=RankNames(rank="source_rank"))
+    ranks = rank_values_balanced(stats, ["lang"], "n_docs", names=RankNames(rank="source_rank"))
     ranks = ranks.select(
         F.col("lang").alias("ranked_lang"), F.col("n_docs").alias("ranked_docs"), "source_rank"
     )

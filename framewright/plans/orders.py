@@ -9,7 +9,7 @@ from framewright.functions.measures import exact_avg
 from framewright.operators.enrich import join_on_key
 from framewright.operators.pivoting import pivot_measures
 from framewright.operators.profile import profile
-from framewright.operators.ranking import rank_values, rank_within_balanced
+from framewright.operators.ranking import rank_values, rank_values_balanced, rank_within_balanced
 from framewright.plans.registry import query
 from framewright.sources.tables import load_table
 
@@ -48,6 +48,17 @@ def global_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+    SELECT l_suppkey, count(*) AS n_lines,
+           sum(l_quantity::BIGINT)::DOUBLE / count(l_quantity) AS stable_avg_l_quantity
+    FROM lineitem GROUP BY l_suppkey
+""")
+def supplier_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Averages that don't depend on the order of addition, and that round once."""
+    lines = load_table(spark, sf_dir, "lineitem")
+    return profile(lines, ["l_suppkey"], {"l_quantity": "stable_avg"}, rows="n_lines")
+
+
 @query("""
     SELECT l_returnflag, l_linestatus, count(*) AS n_lines,
            sum(l_extendedprice::DECIMAL(15,2))::DOUBLE / count(l_extendedprice)
@@ -95,7 +106,7 @@ def order_row_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select(*orders.columns, "row_number")
 
 
-@query("""
+LINE_RANKS_SQL = """
     WITH ranked AS (
         SELECT l_suppkey,
                rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC) AS r,
@@ -103,13 +114,24 @@ def order_row_number(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM lineitem)
     SELECT l_suppkey, max(r) AS max_rank, max(d) AS max_dense_rank
     FROM ranked GROUP BY l_suppkey
-""")
+"""
+
+
+@query(LINE_RANKS_SQL)
 def line_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = load_table(spark, sf_dir, "lineitem")
     ranked = rank_values(lines, ["l_suppkey"], "l_quantity")
     return profile(ranked, ["l_suppkey"], {"rank": "max", "dense_rank": "max"}, rows=None)
 
 
+@query(LINE_RANKS_SQL)
+def line_ranks_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ranks with the counts of values cut into slices of 30."""
+    lines = load_table(spark, sf_dir, "lineitem")
+    ranked = rank_values_balanced(lines, ["l_suppkey"], "l_quantity", slice_values=30)
+    return profile(ranked, ["l_suppkey"], {"rank": "max", "dense_rank": "max"}, rows=None)
+
+
 @query("""
     SELECT o_orderpriority,
            max(o_totalprice) FILTER (o_orderstatus = 'F') AS F_max_price,

@@ -5,7 +5,9 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from framewright import BandRule, arrow_bands, lookup_table, null_safe_udf
+from pyspark.sql import functions as F
+
+from framewright import ELSE, BandRule, arrow_bands, lookup_table, null_safe_udf
 from tests.conftest import rows
 
 EDGES = [(9,), (10,), (11,), (20,), (21,), (None,)]
@@ -107,6 +109,61 @@ def test_return_type_can_be_chosen(spark):
     assert rows(result) == [(0,), (2,), (4,)]
 
 
+def test_function_is_called_once_for_each_distinct_value_of_a_batch(spark, tmp_path):
+    calls = tmp_path / "calls"
+
+    def noted(n):
+        with open(calls, "a") as log:
+            log.write(f"{n}\n")
+        return n % 2 == 0
+
+    df = spark.range(0, 5000, 1, 1).withColumn("v", F.when(F.col("id") % 9 > 0, F.col("id") % 7))
+    made = df.select("v", null_safe_udf(noted, "boolean")("v").alias("even"))
+    assert all((e is None) if v is None else (e == (v % 2 == 0)) for v, e in rows(made))
+    assert sorted(calls.read_text().split()) == list("0123456")
+
+
+def test_functions_of_lists_and_of_nothing_but_nulls(spark):
+    length = null_safe_udf(len, "int")
+    table = lookup_table(spark, [([1, 2],), (None,), ([],)], "v array<int>")
+    assert rows(table.select(length("v"))) == [(2,), (None,), (0,)]
+    assert rows(lookup_table(spark, [(None,)], "v string").select(length("v"))) == [(None,)]
+
+
+def chain(rule, value):
+    """The rule as one condition after the other."""
+    if value is None:
+        return rule.label_of_null
+    return next((label for cut, label in rule.cuts if rule.holds(value, cut)), rule.otherwise)
+
+
+@settings(
+    max_examples=12,
+    deadline=None,
+    suppress_health_check=[HealthCheck.function_scoped_fixture],
+)
+@given(
+    cuts=st.lists(st.integers(-40, 40), min_size=1, max_size=40, unique=True),
+    compare=st.sampled_from(["<", "<=", ">", ">="]),
+    null_label=st.sampled_from([ELSE, None, "nothing"]),
+)
+def test_tree_of_conditions_equals_the_chain(spark, cuts, compare, null_label):
+    cuts = sorted(cuts, reverse=compare.startswith(">"))
+    rule = BandRule(compare, tuple((c, f"at {c}") for c in cuts), "else", null_label)
+    table = lookup_table(spark, [(v,) for v in [*range(-42, 43), None]], "v bigint")
+    for value, label in rows(table.select("v", rule.column("v"))):
+        assert label == chain(rule, value)
+
+
+def test_many_cuts_nest_by_their_logarithm():
+    rule = BandRule("<", tuple((c, str(c)) for c in range(1000)), "else")
+    text, depth, deepest = str(rule.column("v")), 0, 0
+    for sign in text:
+        depth += (sign == "(") - (sign == ")")
+        deepest = max(deepest, depth)
+    assert text.count("WHEN") == 1000 and deepest < 60
+
+
 @settings(
     max_examples=8,
     deadline=None,

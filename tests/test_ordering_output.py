@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from framewright import lookup_table, ordered, preview
+from framewright import counted_preview, lookup_table, ordered, preview
+from framewright.sources.staging import stored_and_counted
 from tests.conftest import plan_of, rows
 
 VALUES = [(1, 5), (2, None), (3, 9), (4, 5), (5, None)]
@@ -60,3 +61,28 @@ def test_preview_of_a_sort_is_a_top_k(table):
 def test_count_ignores_the_sort(table):
     counted = ordered(table, "v", tie_breaker="id").groupBy().count()
     assert "Sort" not in plan_of(counted)
+
+
+def test_preview_and_count_come_from_one_run(spark, tmp_path):
+    seen = tmp_path / "seen"
+
+    def noted(n):
+        with open(seen, "a") as log:
+            log.write("x")
+        return n
+
+    ids_once = F.udf(noted, "bigint")
+    df = spark.range(0, 500, 1, 4).select(ids_once("id").alias("id"))
+    first, count = counted_preview(df, "id", tie_breaker="id", rows=3, ascending=False)
+    assert [r["id"] for r in first] == [499, 498, 497] and count == 500
+    assert len(seen.read_text()) == 500
+    assert counted_preview(df.limit(0), "id", tie_breaker="id") == ([], 0)
+    with pytest.raises(ValueError):
+        counted_preview(df, "id", tie_breaker="id", rows=0)
+
+
+def test_stored_rows_are_counted_by_the_run_that_writes_them(spark, tmp_path):
+    table, count = stored_and_counted(spark.range(70), str(tmp_path / "rows"))
+    assert count == table.count() == 70 and "Range" not in plan_of(table)
+    table, count = stored_and_counted(spark.range(0), str(tmp_path / "none"))
+    assert count == table.count() == 0

@@ -99,3 +99,23 @@ def test_cells_sum_to_the_group(spark, pairs):
     result = pivot_measures(table, ["k"], "p", list("xy"), {"n": F.count(F.lit(1))}, other="o")
     for key, *counts in rows(result):
         assert sum(n or 0 for n in counts) == sum(k == key for k, _ in pairs)
+
+
+def test_a_hundred_values_plan_flat(spark):
+    df = spark.range(1000).select((F.col("id") % 7).alias("k"), (F.col("id") % 101).alias("p"))
+    result = pivot_measures(df, ["k"], "p", list(range(100)), {"n": F.count(F.lit(1))}, other="rest")
+    plan = result._jdf.queryExecution().analyzed().toString()
+    assert "map(" in plan and "CASE WHEN" not in plan
+    found = {r["k"]: r for r in result.collect()}
+    assert sum(r[f"p_{v}_n"] or 0 for r in found.values() for v in range(100)) == 991
+    assert sum(r["rest_n"] or 0 for r in found.values()) == 9
+
+
+@pytest.mark.parametrize("kind", ["double", "decimal(9,2)", "date", "boolean", "tinyint"])
+def test_listed_values_meet_the_type_of_the_column(spark, kind):
+    df = spark.range(6).select(F.lit(1).alias("k"), (F.col("id") % 2).alias("i"))
+    day = F.date_add(F.lit("2020-01-01").cast("date"), F.col("i").cast("int"))
+    df = df.withColumn("p", day if kind == "date" else F.col("i").cast(kind))
+    values = {v: f"at_{i}" for i, v in enumerate(pivot_values(df, "p"))}
+    result = pivot_measures(df, ["k"], "p", values, {"n": F.count(F.lit(1))}, other=REFUSE)
+    assert rows(result) == [(1, 3, 3)]

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as spark_entry
+from framewright.plans.documents import labelled_stats
 from framewright.sources.tables import TABLE_SCHEMAS
 from tests.conftest import SF_DIR, plan_of, rows
 
@@ -72,7 +73,8 @@ def test_sliced_ranks_have_slices_in_their_plan(spark):
 
 
 def test_flagship_filter_is_pushed_below_the_join(spark):
-    plan = plan_of(QUERIES["flagship"](spark, SF_DIR))
+    stats = labelled_stats(spark, SF_DIR)
+    plan = plan_of(stats)
     assert "GreaterThan(n_chars,300)" in plan
 
 
@@ -80,3 +82,15 @@ def test_aggregates_are_partial_before_the_shuffle(spark):
     plan = plan_of(QUERIES["line_profile"](spark, SF_DIR), "simple")
     assert plan.count("Exchange") == 1
     assert "partial_avg" in plan and "partial_min" in plan
+
+
+def test_flagship_joins_and_aggregates_once(spark):
+    plan = plan_of(QUERIES["flagship"](spark, SF_DIR))
+    assert "documents.parquet" not in plan and "labels.parquet" not in plan
+
+
+def test_value_ranks_of_large_groups_have_no_window_over_a_whole_group(spark):
+    plan = plan_of(QUERIES["line_ranks_sliced"](spark, SF_DIR), "simple")
+    windows = [line for line in plan.splitlines() if " Window [" in line or "Window [" in line]
+    assert windows and all("_slice" in line for line in windows)
+    assert "_slice" not in plan_of(QUERIES["line_ranks"](spark, SF_DIR), "simple")

@@ -11,6 +11,7 @@ from framewright import (
     load_table,
     lookup_table,
     rank_values,
+    rank_values_balanced,
     rank_within,
     rank_within_balanced,
 )
@@ -254,3 +255,42 @@ def test_rank_properties(spark, values, slice_rows):
     result = ranked(df, hot_rows=1, slice_rows=slice_rows)
     assert result == brute_force(table)
     assert all(dense <= rank <= number for *_, rank, dense, number in result)
+
+
+@pytest.mark.parametrize("descending", [True, False])
+@pytest.mark.parametrize("slice_values", [1, 7, 100, 10**6])
+def test_value_ranks_in_slices_equal_plain_ones(spark, descending, slice_values):
+    rng = random.Random(slice_values)
+    table = [
+        (rng.choice(["hot", "hot", "a", "b", None]), rng.choice([None, *range(90)]))
+        for _ in range(400 if slice_values > 1 else 60)
+    ]
+    df = lookup_table(spark, table, "k string, v bigint")
+    plain = rank_values(df, ["k"], "v", descending)
+    sliced = rank_values_balanced(df, ["k"], "v", descending, slice_values=slice_values)
+    assert sliced.columns == plain.columns and sliced.dtypes == plain.dtypes
+    assert row_set(sliced) == row_set(plain)
+
+
+def test_value_ranks_of_doubles_and_of_nothing(spark):
+    nan, inf = float("nan"), float("inf")
+    table = [(v,) for v in [0.0, -0.0, nan, nan, inf, -inf, None, 1.5] * 3]
+    df = lookup_table(spark, table, "v double").withColumn("k", F.lit(1))
+    plain = map(repr, row_set(rank_values(df, ["k"], "v")))
+    sliced = map(repr, row_set(rank_values_balanced(df, ["k"], "v", slice_values=2)))
+    assert list(sliced) == list(plain)
+    assert rows(rank_values_balanced(df.limit(0), ["k"], "v", slice_values=2)) == []
+
+
+def test_value_ranks_read_their_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(n):
+        seen.add(1)
+        return n
+
+    once = F.udf(noted, "bigint")
+    df = spark.range(0, 300, 1, 3).select(F.lit("k").alias("k"), once("id").alias("v"))
+    ranked_once = rank_values_balanced(df, ["k"], "v", slice_values=40)
+    assert ranked_once.agg(F.max("rank")).first()[0] == 300
+    assert seen.value == 300
