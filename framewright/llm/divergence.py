@@ -9,7 +9,7 @@ sum over terms of floor((p - q)**2 / q).
 
 CountVectorizer brings its vocabulary to the driver. So that this stays within a bound,
 terms, each marked with its language's number, are dealt to shards by hash, about
-``SHARD_TERMS`` distinct ones in each (counted by a sketch first), and each shard is
+``SHARD_TERMS`` distinct ones in each (estimated first, over all texts), and each shard is
 fitted for all languages together; the tokens are written once, by shard. Counts are
 summed in tasks before each shuffle, and pairs of sources are evaluated in blocks of
 terms, whose size falls with the number of sources, so neither a language nor a source
@@ -38,9 +38,8 @@ from pyspark.sql import functions as F
 
 from framewright.llm.batches import looked_up, pieces, shared_folder, stored, sum_long, texts_of
 from framewright.llm.ordering import numbered
-from framewright.llm.spans import runs_of, span_hashes
+from framewright.llm.spans import mixed, runs_of, span_hashes
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCS = 3
 LARGEST = 2**31 - 1
 SHARD_TERMS = 1_000_000
@@ -48,7 +47,8 @@ TOP_TERMS = 200
 PARTS = 1_000_000_000
 # Cells of a dense block of counts, sources times terms: 8 MB in each of a few copies.
 BLOCK_CELLS = 1 << 20
-MOST_TERMS = 1 << 14
+MOST_TERMS = 1 << 12
+SKETCH = 4096
 
 _COLON = pa.scalar(":", pa.large_string())
 
@@ -74,56 +74,89 @@ def spread(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // q
 
 
-def marked_terms(texts: list[str], parts: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The terms of all texts as ``part:term``, the text of each, and a hash of each.
+class Terms:
+    """The terms of all texts of a piece, as spans of their lower-cased UTF-8 bytes.
 
     Terms are runs of letters A-Z and of anything beyond ASCII, so they can be cut in
-    UTF-8 bytes; only A-Z are lower-cased. A colon is in no term.
+    bytes; only A-Z are lower-cased. ``rows`` has the text of each, ``hashes`` a hash
+    of each and of the number of its language.
     """
-    encoded = [text.encode("utf-8", "surrogatepass").lower() for text in texts]
-    body = np.frombuffer(b"\0".join(encoded) + b"\0", dtype=np.uint8)
-    inside = _IS_TERM[body]
-    starts, ends = runs_of(inside)
-    text_ends = np.cumsum(np.fromiter((len(t) + 1 for t in encoded), np.int64, len(encoded)))
-    rows = np.searchsorted(text_ends, starts, side="right")
-    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
-    terms = pa.LargeStringArray.from_buffers(
-        len(starts), pa.py_buffer(offsets), pa.py_buffer(body[inside])
-    )
-    marks = pa.array(parts[rows]).cast(pa.large_string())
-    hashes = span_hashes(body, starts, ends) + parts[rows].astype(np.uint64)
-    return pc.binary_join_element_wise(marks, terms, _COLON).cast(pa.string()), rows, hashes
+
+    def __init__(self, piece: pa.RecordBatch):
+        texts = [t.encode("utf-8", "surrogatepass").lower() for t in texts_of(piece, "text")]
+        parts = piece.column("part").to_numpy(zero_copy_only=False)
+        self.body = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8)
+        self.inside = _IS_TERM[self.body]
+        self.starts, self.ends = runs_of(self.inside)
+        text_ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        self.rows = np.searchsorted(text_ends, self.starts, side="right")
+        self.parts = parts[self.rows]
+        self.hashes = mixed(
+            span_hashes(self.body, self.starts, self.ends) + self.parts.astype(np.uint64)
+        )
+
+    def marked(self) -> pa.Array:
+        """Each term as ``part:term``; a colon is in no term."""
+        offsets = np.concatenate([[0], np.cumsum(self.ends - self.starts)]).astype(np.int64)
+        terms = pa.LargeStringArray.from_buffers(
+            len(self.starts), pa.py_buffer(offsets), pa.py_buffer(self.body[self.inside])
+        )
+        marks = pa.array(self.parts).cast(pa.large_string())
+        return pc.binary_join_element_wise(marks, terms, _COLON).cast(pa.string())
+
+
+def distinct_terms(df: DataFrame) -> int:
+    """About how many distinct terms all languages have, from the least of their hashes.
+
+    Each task keeps its ``SKETCH`` least distinct hashes; the least of all of them are
+    as dense as all hashes are, to about 1.6 %. Fewer than that are counted exactly.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = np.empty(0, dtype=np.uint64)
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                hashes = Terms(piece).hashes >> np.uint64(1)
+                if len(least) == SKETCH:
+                    hashes = hashes[hashes < least[-1]]
+                least = np.unique(np.concatenate([least, hashes]))[:SKETCH]
+        yield pa.RecordBatch.from_pydict({"hash": pa.array(least.astype(np.int64))})
+
+    hashes = df.select("text", "part").mapInArrow(run, "hash bigint").distinct()
+    found = hashes.orderBy("hash").limit(SKETCH).agg(F.count("*"), F.max("hash")).first()
+    return found[0] if found[0] < SKETCH else int((SKETCH - 1) / found[1] * 2**63)
 
 
 def tokens(df: DataFrame, shards: int) -> DataFrame:
     """``gid``, ``shard``, ``terms``: a row for each document and shard that it has terms in.
 
     ``df`` has ``text``, ``gid`` (number of the group) and ``part`` (of the language).
+    The terms are one text, set apart by blanks, which is cheaper to pass on and to
+    store than an array.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
-                gids = piece.column("gid")
-                parts = piece.column("part").to_numpy(zero_copy_only=False)
-                terms, rows, hashes = marked_terms(texts_of(piece, "text"), parts)
-                shard = hashes % np.uint64(shards)
+                gids, terms = piece.column("gid"), Terms(piece)
+                marked, shard = terms.marked(), terms.hashes % np.uint64(shards)
                 for k in range(shards):
                     chosen = np.flatnonzero(shard == k)
-                    counts = np.bincount(rows[chosen], minlength=piece.num_rows)
+                    counts = np.bincount(terms.rows[chosen], minlength=piece.num_rows)
                     have = np.flatnonzero(counts)
                     offsets = np.concatenate([[0], np.cumsum(counts[have])]).astype(np.int32)
-                    flat = terms if shards == 1 else terms.take(pa.array(chosen))
+                    flat = marked if shards == 1 else marked.take(pa.array(chosen))
+                    each = pa.ListArray.from_arrays(pa.array(offsets), flat)
                     yield pa.RecordBatch.from_pydict(
                         {
                             "gid": gids.take(pa.array(have)),
                             "shard": pa.array(np.full(len(have), k, dtype=np.int32)),
-                            "terms": pa.ListArray.from_arrays(pa.array(offsets), flat),
+                            "terms": pc.binary_join(each, " "),
                         }
                     )
 
     chosen = df.select("text", "gid", "part")
-    return chosen.mapInArrow(run, "gid bigint, shard int, terms array<string>")
+    return chosen.mapInArrow(run, "gid bigint, shard int, terms string")
 
 
 def fitted_counts(documents: DataFrame, purpose: str) -> tuple[DataFrame, DataFrame] | None:
@@ -161,7 +194,8 @@ def counted(documents: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
     path = shared_folder(spark, "divergence-tokens")
     written = tokens(documents, shards).write.option("compression", "zstd")
     written.partitionBy("shard").parquet(path)
-    held = spark.read.schema("gid bigint, terms array<string>, shard int").parquet(path)
+    held = spark.read.schema("gid bigint, terms string, shard int").parquet(path)
+    held = held.withColumn("terms", F.split("terms", " "))
     sums = [spark.createDataFrame([], "gid bigint, term_id bigint, n bigint")]
     vocabularies = [spark.createDataFrame([], "part bigint, term_id bigint, term string")]
     for shard in range(shards):
@@ -240,9 +274,6 @@ def audit(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
         F.coalesce(F.col(source), F.lit("")).alias("source"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    words = read.select("lang", F.explode(F.regexp_extract_all("text", F.lit(TERM), 0)).alias("w"))
-    distinct = words.groupBy("lang").agg(F.approx_count_distinct("w").alias("n"))
-    shards = max(1, -(-distinct.agg(sum_long("n")).first()[0] // SHARD_TERMS))
     occurring = stored(read.select("lang", "source").distinct(), "divergence-groups")
     parts = numbered(occurring.select("lang").distinct(), [F.col("lang")], "part")
     groups = stored(
@@ -250,6 +281,7 @@ def audit(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
         "divergence-groups",
     )
     documents = read.join(looked_up(groups), ["lang", "source"])
+    shards = max(1, -(-distinct_terms(documents) // SHARD_TERMS))
     counts, vocabulary = counted(documents, shards)
 
     sources = groups.groupBy("part").count().agg(F.max("count")).first()[0] or 1

@@ -53,6 +53,7 @@ def audited(df):
 @pytest.mark.parametrize("shard_terms, most_terms", [(1_000_000, 1 << 14), (40, 4)])
 def test_audit_is_that_of_plain_integers(spark, monkeypatch, shard_terms, most_terms):
     monkeypatch.setattr(divergence, "SHARD_TERMS", shard_terms)
+    monkeypatch.setattr(divergence, "SKETCH", 64)
     monkeypatch.setattr(divergence, "MOST_TERMS", most_terms)
     rng = random.Random(7)
     lexicon = ["".join(rng.choices("abÀßéİZ\U00010400z", k=rng.randint(1, 3))) for _ in range(330)]
