@@ -30,7 +30,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from hashlib import blake2b
 
@@ -41,11 +41,13 @@ from pyspark.sql import functions as F
 
 from framewright.llm.batches import map_pieces, texts_of
 from framewright.llm.ngram_join import WORDS, shingle_runs
-from framewright.llm.spans import mixed
+from framewright.llm.spans import mixed, span_hashes
 
-TRAINING_TEXTS = 2000  # of each label, at most: those with the smallest hash of the id
-NEGATIVE_UNITS = 12_000
-NEGATIVE_JOINS = 4000
+# What training sees at most, so that it fits in a driver whatever the size of the table:
+TRAINING_TEXTS = 2000  # of each label: those with the smallest hash of the id
+TRAINING_CHARS = 20_000  # longer texts are no examples
+NEGATIVE_UNITS = 12_000  # words of clean texts: the most frequent ones, and every nth other
+NEGATIVE_JOINS = 4000  # joined words of clean texts, every nth; the worst 500 come on top
 LANDMARKS = 192  # half of them, at most, from units that stand out
 COPIES = 0.5  # texts with this overlap of five-word shingles count once
 DECAY = 0.7
@@ -55,10 +57,11 @@ LETTERS = 26 + OTHERS
 IDEOGRAPHS = 0x2E80  # letters from here on stand for more than a sound
 PENALTY = 10.0
 CACHED_TOKENS = 250_000
+CHUNK = 8192  # units of one length that are weighed together
 FOLDS = 5  # ids whose crc32 leaves 0 are held out
 _DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
-_SPACED = re.compile(r"(?<!\S)\w(?:[\s.\-_*]{1,3}\w){2,}(?!\w)")
-_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+# letters and what sets them apart share no character, so a run is read in one way only
+_SPACED = re.compile(r"(?<!\S)[^\W_](?:[\s.\-_*]{1,3}[^\W_]){2,}(?![^\W_])")
 
 
 class _Plain(dict):
@@ -89,28 +92,77 @@ _PLAIN = _Plain()
 
 def plain_of(token: str) -> str:
     """The letters of a token, without marks at its edges."""
-    return _EDGES.sub("", token).translate(_PLAIN)
+    if not (token[:1].isalnum() and token[-1:].isalnum()):
+        first = next((i for i, c in enumerate(token) if c.isalnum()), len(token))
+        last = next((i for i in range(len(token), first, -1) if token[i - 1].isalnum()), first)
+        token = token[first:last]
+    return token.translate(_PLAIN)
 
 
-def joins_of(words: list[str | None]) -> list[tuple[int, int, str]]:
-    """First word, last word and letters of neighbours that fit in a window together.
+@dataclass
+class Joins:
+    """Neighbouring words whose letters fit in a window together, of many texts at once.
+
+    ``letters`` holds the letters of all words in a row, as numbers; join ``n`` goes from
+    word ``first[n]`` to ``last[n]`` and from letter ``start[n]`` up to ``end[n]``, and
+    belongs to text ``row[n]``.
+    """
 
-    Empty words are passed over; no join goes across a null.
+    letters: np.ndarray
+    row: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """One join for each run of letters, and which of these each join is."""
+        _, example, which = np.unique(
+            span_hashes(self.letters, self.start, self.end), return_index=True, return_inverse=True
+        )
+        return example, which
+
+    def units(self) -> np.ndarray:
+        """The distinct runs of letters, sorted, as an array of bytes."""
+        some, _ = self.distinct()
+        start, size = self.start[some], (self.end - self.start)[some]
+        at = np.arange(WINDOW)
+        letters = np.concatenate([self.letters, np.zeros(WINDOW, dtype=np.int32)])
+        rows = letters[start[:, None] + at] + 97
+        rows[at >= size[:, None]] = 0
+        return np.sort(rows.astype(np.uint8).view(f"S{WINDOW}").ravel())
+
+
+def joins_of(rows: list[list[str | None]]) -> Joins:
+    """The joins of texts given as words; words without letters are passed over.
+
+    No join goes across a null or from one text to the next.
     """
-    rows = [(i, w) for i, w in enumerate(words) if w != ""]
+    lengths = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+    words = [word for row in rows for word in row]
+    barred = np.fromiter((word is None for word in words), dtype=bool, count=len(words))
+    words = [word or "" for word in words]
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    row = np.repeat(np.arange(len(rows)), lengths)
+    stretch = row + np.cumsum(barred)  # grows at each text and each null
+    place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    some = np.flatnonzero(sizes > 0)
+    row, stretch, place = row[some], stretch[some], place[some]
+    ends = np.cumsum(sizes[some])
+    starts = ends - sizes[some]
     found = []
-    for n, (first, joined) in enumerate(rows):
-        if joined is None:
-            continue
-        for last, word in rows[n + 1 : n + WINDOW]:
-            if word is None:
-                break
-            joined += word
-            if len(joined) > WINDOW:
-                break
-            if len(joined) >= 3:
-                found.append((first, last, joined))
-    return found
+    for away in range(1, WINDOW):
+        first = np.arange(max(0, len(some) - away))
+        last = first + away
+        size = ends[last] - starts[first]
+        fits = np.flatnonzero((stretch[first] == stretch[last]) & (size <= WINDOW))
+        if not len(fits):
+            break
+        found.append(fits[size[fits] >= 3])
+        found[-1] = np.stack([found[-1], found[-1] + away])
+    first, last = np.concatenate([*found, np.empty((2, 0), dtype=np.int64)], axis=1)
+    letters = np.frombuffer("".join(words).encode("latin-1"), dtype=np.uint8).astype(np.int32) - 97
+    return Joins(letters, row[first], place[first], place[last], starts[first], ends[last])
 
 
 def units_of(token: str) -> list[str]:
@@ -142,6 +194,15 @@ def codes_of(units: list[str]) -> np.ndarray:
 
 
 def squared_norms(codes: np.ndarray, decay: float = DECAY) -> np.ndarray:
+    """The kernel of each row with itself; one value for all rows of different letters."""
+    size = codes.shape[1]
+    repeated = (np.diff(np.sort(codes, axis=1), axis=1) == 0).any(axis=1)
+    found = np.full(len(codes), _own_kernel(np.arange(size)[None, :], decay)[0])
+    found[repeated] = _own_kernel(codes[repeated], decay)
+    return found
+
+
+def _own_kernel(codes: np.ndarray, decay: float) -> np.ndarray:
     """The kernel of each row with itself, by the usual recursion over positions."""
     rows, size = codes.shape
     same = codes[:, :, None] == codes[:, None, :]
@@ -170,7 +231,7 @@ def _triples(size: int) -> Iterator[tuple[int, int, int]]:
 
 def weighed(codes: np.ndarray, table: np.ndarray, decay: float = DECAY) -> np.ndarray:
     """Sums over three-letter subsequences of table rows times decay to their span."""
-    total = np.zeros((len(codes), *table.shape[1:]), dtype=np.float64)
+    total = np.zeros((len(codes), *table.shape[1:]), dtype=table.dtype)
     columns = np.ascontiguousarray(codes.T, dtype=np.intp)
     size = len(columns)
     for span in range(2, size):
@@ -192,14 +253,21 @@ def features_of(codes: np.ndarray, decay: float = DECAY) -> np.ndarray:
     return out / np.sqrt((out**2).sum(axis=1, keepdims=True))
 
 
-def _by_length(units: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def packed(units: Sequence[str]) -> np.ndarray:
+    """Units as an array of bytes, a fifth of what they take as strings."""
+    return np.array([u.encode("latin-1") for u in units], dtype=f"S{WINDOW}")
+
+
+def _by_length(units: Sequence[str] | np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers and letter numbers of the units of each length, in chunks."""
-    lengths = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+    units = units if isinstance(units, np.ndarray) else packed(units)
+    lengths = np.char.str_len(units) if len(units) else np.empty(0, dtype=np.int64)
+    letters = units.view(np.uint8).reshape(len(units), -1)
     for size in np.unique(lengths).tolist():
         rows = np.flatnonzero(lengths == size)
-        for first in range(0, len(rows), 8192):
-            part = rows[first : first + 8192]
-            yield part, codes_of([units[r] for r in part.tolist()])
+        for first in range(0, len(rows), CHUNK):
+            part = rows[first : first + CHUNK]
+            yield part, letters[part, :size].astype(np.int32) - 97
 
 
 @dataclass
@@ -210,7 +278,7 @@ class Machine:
     offset: float
     logit: np.ndarray | None = None  # of the text's features, the constant last
 
-    def margins(self, units: list[str]) -> np.ndarray:
+    def margins(self, units: Sequence[str] | np.ndarray) -> np.ndarray:
         out = np.empty(len(units))
         for rows, codes in _by_length(units):
             sums = weighed(codes, self.table)
@@ -220,38 +288,44 @@ class Machine:
     def scores(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ self.logit, -30, 30)))
 
-
-    def toxic(self, units: list[str]) -> dict[str, float]:
-        """The positive margins among those of units.
+    def toxic(self, joins: Joins) -> np.ndarray:
+        """The margin of each join where it is positive, else 0.
 
         Repeated letters only add to a norm, so where the sum is too small for the norm
         of as many different letters, the margin is negative whatever the norm.
         """
-        found = {}
-        for rows, codes in _by_length(units):
-            sums = weighed(codes, self.table)
-            least = math.sqrt(squared_norms(np.arange(codes.shape[1])[None, :])[0])
-            some = np.flatnonzero(sums / least * (1 + 1e-9) > -self.offset) if self.offset < 0 else np.arange(len(codes))
-            margins = sums[some] / np.sqrt(squared_norms(codes[some])) + self.offset
-            found.update((units[rows[n]], m) for n, m in zip(some.tolist(), margins.tolist()) if m > 0)
-        return found
+        example, which = joins.distinct()
+        starts, sizes = joins.start[example], (joins.end - joins.start)[example]
+        margins = np.zeros(len(example))
+        for size in np.unique(sizes).tolist():
+            least = math.sqrt(squared_norms(np.arange(size)[None, :])[0])
+            rows = np.flatnonzero(sizes == size)
+            for first in range(0, len(rows), CHUNK):
+                part = rows[first : first + CHUNK]
+                codes = joins.letters[starts[part, None] + np.arange(size)]
+                sums = weighed(codes, self.table)
+                if self.offset < 0:
+                    some = np.flatnonzero(sums / least * (1 + 1e-9) > -self.offset)
+                    part, codes, sums = part[some], codes[some], sums[some]
+                margins[part] = sums / np.sqrt(squared_norms(codes)) + self.offset
+        return np.maximum(margins, 0.0)[which]
 
     def joined(self, rows: list[list[str]], margin: Mapping[str, float], plain: Mapping[str, str]) -> list[list[float]]:
         """Of each row of words, the margins of toxic joins of words that aren't toxic.
 
         Of joins that share a word, only the worst counts.
         """
-        joins = [joins_of([None if margin[w] > 0 else plain[w] for w in row]) for row in rows]
-        units = list({u for row in joins for _, _, u in row})
-        toxic = self.toxic(units)
-        found = []
-        for row in joins:
-            taken, own = set(), []
-            for m, first, last in sorted((-toxic[u], a, b) for a, b, u in row if u in toxic):
-                if taken.isdisjoint(range(first, last + 1)):
-                    taken.update(range(first, last + 1))
-                    own.append(-m)
-            found.append(own)
+        known = {word: None if margin[word] > 0 else plain[word] for word in set().union(*rows)}
+        joins = joins_of([list(map(known.__getitem__, row)) for row in rows])
+        margins = self.toxic(joins)
+        found: list[list[float]] = [[] for _ in rows]
+        taken: list[set[int]] = [set() for _ in rows]
+        at = np.flatnonzero(margins > 0)
+        for n in at[np.lexsort((joins.last[at], joins.first[at], -margins[at]))].tolist():
+            row, words = joins.row[n], range(joins.first[n], joins.last[n] + 1)
+            if taken[row].isdisjoint(words):
+                taken[row].update(words)
+                found[row].append(float(margins[n]))
         return found
 
 
@@ -289,14 +363,17 @@ def nystroem_machine(
     units: list[str], toxic: np.ndarray, landmarks: list[str], weight: np.ndarray | None = None
 ) -> Machine:
     """Train on labelled units; the landmarks' kernel is inverted once, on the driver."""
-    stacked = np.concatenate([features_of(codes_of([u])) for u in landmarks]).T.copy()
-    kernel = stacked.T @ stacked
+    # single precision, filled in place: the tallest table that training holds
+    stacked = np.zeros((LETTERS**3, len(landmarks)), dtype=np.float32)
+    for column, unit in enumerate(landmarks):
+        stacked[:, column] = features_of(codes_of([unit]))[0]
+    kernel = (stacked.T @ stacked).astype(np.float64)
     values, vectors = np.linalg.eigh(kernel)
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
-    made = np.empty((len(units), len(landmarks)))
+    made = np.empty((len(units), len(landmarks)), dtype=np.float32)
     for rows, codes in _by_length(units):
         made[rows] = weighed(codes, stacked) / np.sqrt(squared_norms(codes))[:, None]
-    made = np.hstack([made @ root, np.ones((len(units), 1))])
+    made = np.hstack([made @ root.astype(np.float32), np.ones((len(units), 1), dtype=np.float32)])
     sign = np.where(toxic, 1.0, -1.0)
     # both classes weigh the same in all
     weight = np.ones(len(units)) if weight is None else weight
@@ -306,12 +383,19 @@ def nystroem_machine(
     ridge[-1, -1] = 1e-6
     for _ in range(30):  # Newton steps on the squared hinge
         active = sign * (made @ weights) < 1
-        part = made[active] * cost[active, None]
-        new = np.linalg.solve(ridge + part.T @ made[active], part.T @ sign[active])
+        curve, slope = ridge.copy(), np.zeros(len(weights))
+        for first in range(0, len(active), CHUNK):  # sums over chunks, in double precision
+            some = np.flatnonzero(active[first : first + CHUNK]) + first
+            part = made[some].astype(np.float64)
+            costly = part * cost[some, None]
+            curve += costly.T @ part
+            slope += costly.T @ sign[some]
+        new = np.linalg.solve(curve, slope)
         if np.allclose(new, weights, atol=1e-9):
             break
         weights = new
-    return Machine(stacked @ (root @ weights[:-1]), float(weights[-1]))
+    table = stacked @ (root @ weights[:-1]).astype(np.float32)
+    return Machine(table.astype(np.float64), float(weights[-1]))
 
 
 def _copy_groups(texts: list[str]) -> np.ndarray:
@@ -415,21 +499,26 @@ def train(texts: list[str], toxic: list[bool], share: float | None = None) -> Ma
         return None
     tokens = [tokens_of(x) for x in texts]
     vocabulary = {t: units_of(t) for row in tokens for t in row}
-    units = [{u for t in set(row) for u in vocabulary[t]} for row in tokens]
     groups = _copy_groups(texts)
     firsts = dict.fromkeys(zip(groups.tolist(), labels.tolist()))
     for row, which in reversed([*enumerate(zip(groups.tolist(), labels.tolist()))]):
         firsts[which] = row
     in_toxic, in_clean = Counter(), Counter()
     for row in firsts.values():
-        (in_toxic if labels[row] else in_clean).update(units[row])
+        (in_toxic if labels[row] else in_clean).update(
+            {u for t in set(tokens[row]) for u in vocabulary[t]}
+        )
     weight_of = standing_out(in_toxic, in_clean)
     # joins with a word that stands out would be right to score high
     plain = {t: None if any(u in weight_of for u in us) else plain_of(t) for t, us in vocabulary.items()}
-    joins_clean = set()
-    for row in firsts.values():
-        if not labels[row]:
-            joins_clean.update(u for _, _, u in joins_of([plain[t] for t in texts[row].split()]))
+    clean_rows = [[plain[t] for t in texts[row].split()] for row in firsts.values() if not labels[row]]
+    joins = np.unique(
+        np.concatenate(
+            [packed([])]
+            + [joins_of(clean_rows[i : i + 64]).units() for i in range(0, len(clean_rows), 64)]
+        )
+    )
+    del plain, clean_rows
     if not weight_of:  # too few texts to tell: all units that only toxic ones have
         weight_of = {u: 1.0 for u in in_toxic if u not in in_clean}
     seeds = sorted(weight_of, key=lambda u: (-weight_of[u], -in_toxic[u], u))
@@ -443,12 +532,12 @@ def train(texts: list[str], toxic: list[bool], share: float | None = None) -> Ma
     central = spread_over(seeds, LANDMARKS // 2, np.array([weight_of[u] for u in seeds]))
     taken = set(positive)
     every = sorted(set(in_clean) - taken)
-    joins = sorted(joins_clean - taken - set(in_clean))
+    joins = joins[~np.isin(joins, packed([*taken, *in_clean]))]
     clean = sorted(every, key=lambda u: (-in_clean[u], u))
     half = NEGATIVE_UNITS // 2
     step = max(1, (len(clean) - half) // half)
     negative = clean[:half] + clean[half::step][:half]
-    negative += joins[:: max(1, len(joins) // NEGATIVE_JOINS)]
+    negative += _unpacked(joins[:: max(1, len(joins) // NEGATIVE_JOINS)])
     known = set(negative)
     machine, margins = None, None
     for _ in range(2):
@@ -462,11 +551,11 @@ def train(texts: list[str], toxic: list[bool], share: float | None = None) -> Ma
         margins = machine.margins(every)
         worst = [every[i] for i in np.argsort(-margins, kind="stable")[:500].tolist()]
         wrong = machine.margins(joins)
-        worst += [joins[i] for i in np.argsort(-wrong, kind="stable")[:500].tolist()]
+        worst += _unpacked(joins[np.argsort(-wrong, kind="stable")[:500]])
         negative += [u for u in worst if u not in known]
         known.update(worst)
     scored = dict(zip(every, margins.tolist()))
-    left = sorted({u for own in units for u in own} - set(scored))
+    left = sorted({u for own in vocabulary.values() for u in own} - set(scored))
     scored |= dict(zip(left, machine.margins(left).tolist()))
     worst_of = {t: max((scored[u] for u in us), default=-2.0) for t, us in vocabulary.items()}
     plain = {t: plain_of(t) for t in vocabulary}
@@ -483,6 +572,10 @@ def train(texts: list[str], toxic: list[bool], share: float | None = None) -> Ma
     return machine
 
 
+def _unpacked(units: np.ndarray) -> list[str]:
+    return [u.decode("latin-1") for u in units.tolist()]
+
+
 def _logit(features: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Logistic regression with a small ridge, by Newton steps."""
     at = np.zeros(features.shape[1])
@@ -509,8 +602,9 @@ def fitted(
 ) -> Machine | None:
     """Train on at most ``TRAINING_TEXTS`` texts of each label that aren't held out.
 
-    The ids are drawn from the labels alone, so the texts aren't shuffled; their number
-    is bounded, and so is what reaches the driver.
+    The ids are drawn from the labels alone, so the texts aren't shuffled. Their number
+    and length are bounded, and so is what reaches the driver; of several texts of one
+    id, the smallest is taken.
     """
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key))
     each = known.groupBy(F.col(key).alias("id")).agg((F.max(label) > 0).alias("toxic"))
@@ -519,15 +613,13 @@ def fitted(
     for kind in (True, False):
         part = each.filter(F.col("toxic") == kind).orderBy(*order).limit(TRAINING_TEXTS)
         drawn = part if drawn is None else drawn.union(part)
-    rows = (
-        df.select(F.col(key).alias("id"), F.col(text).alias("text"))
-        .join(F.broadcast(drawn), "id")
-        .toPandas()
-        .sort_values(["id", "text"])
-        .drop_duplicates("id")
-    )
+    texts = df.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = texts.filter(F.length("text") <= TRAINING_CHARS)
+    # repeated ids are one row before anything leaves the executors
+    chosen = texts.join(F.broadcast(drawn), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
+    rows = chosen.toPandas().sort_values("id")
     share = each.agg(F.avg(F.col("toxic").cast("int"))).first()[0]
-    return train(rows["text"].fillna("").tolist(), rows["toxic"].tolist(), share)
+    return train(rows["text"].tolist(), rows["toxic"].tolist(), share)
 
 
 _SCORES: dict[str, tuple[bytes, dict[str, float], dict[str, str]]] = {}
