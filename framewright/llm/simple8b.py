@@ -16,7 +16,7 @@ empty table gives an empty table.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from pathlib import Path
 
 import numpy as np
@@ -101,15 +101,38 @@ def unpack(words: np.ndarray) -> np.ndarray:
     return ids
 
 
+def block_ids(words: np.ndarray, block: int) -> np.ndarray:
+    """The ids that begin in a block of a document's words, decoded on their own."""
+    part = words[block * BLOCK_WORDS : (block + 1) * BLOCK_WORDS + 1]
+    rests = part >> np.uint64(60) == REST
+    if len(part) > BLOCK_WORDS and not rests[-1]:  # only the rest of a last escape is taken along
+        part, rests = part[:-1], rests[:-1]
+    return unpack(part[1:] if len(part) and rests[0] else part)
+
+
+def slice_ids(words: np.ndarray, block_starts: Sequence[int], first: int, count: int) -> np.ndarray:
+    """Up to ``count`` ids of a document from its id ``first`` on, from their blocks alone."""
+    starts = np.asarray(block_starts, dtype=np.int64)
+    if not len(starts) or count <= 0:
+        return np.empty(0, dtype=np.uint64)
+    low = int(np.searchsorted(starts, first, side="right")) - 1
+    high = int(np.searchsorted(starts, first + count, side="left"))
+    ids = np.concatenate([block_ids(words, block) for block in range(low, max(low + 1, high))])
+    return ids[first - int(starts[low]) :][:count]
+
+
 class WordEncoder:
     """The tokenizers library's ids of many texts, calling it for new words only.
 
     Its pre-tokens depend on nothing around them, so their ids are kept by hash of
-    their characters. Texts with special strings, or with characters from U+0300 on,
-    for which normalising isn't just lower case, go to the library whole.
+    their characters. Texts with special strings, or with characters for which normalising
+    isn't one lower-case character below U+0300, go to the library whole.
     """
 
-    PLAIN = regex.compile(r"[\x00-įı-˿]*")
+    ODD = "".join(
+        chr(c) for c in range(0x300) if len(chr(c).lower()) > 1 or ord(chr(c).lower()) >= 0x300
+    )
+    NOT_PLAIN = regex.compile(rf"[^\x00-\u02ff]|[{ODD}]")
     CONTRACTION = regex.compile(r"'(?:[stmd]|re|ve|ll)")
     CACHED_WORDS = 200_000
 
@@ -136,7 +159,7 @@ class WordEncoder:
         odd = [
             i
             for i, t in enumerate(texts)
-            if not self.PLAIN.fullmatch(t) or any(s in t for s in self.specials)
+            if self.NOT_PLAIN.search(t) or any(s in t for s in self.specials)
         ]
         plain = list(texts)
         for i in odd:
@@ -298,6 +321,32 @@ def read_ids(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     return placed.mapInArrow(_decoded, schema).withColumnRenamed("key", key)
 
 
+def read_slices(
+    spark: SparkSession, path: str, first: int, count: int, key: str = "doc_id"
+) -> DataFrame:
+    """``key`` and ``ids``: up to ``count`` ids of each document from its ``first`` on.
+
+    Only the blocks that hold them are decoded, found by ``block_starts``. A document
+    that ends before gives no ids. ``ids`` is an array of bigints.
+    """
+    if first < 0 or count < 0:
+        raise ValueError("first and count can't be negative")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, words, starts = (batch.column(i) for i in range(3))
+            found = [
+                slice_ids(np.frombuffer(w, dtype="<u8"), s, first, count).astype(np.int64)
+                for w, s in zip(words.to_pylist(), starts.to_pylist())
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [keys, pa.array(found, pa.list_(pa.int64()))], names=["key", "ids"]
+            )
+
+    table = spark.read.parquet(path).select("key", "words", "block_starts")
+    return table.mapInArrow(run, "key bigint, ids array<bigint>").withColumnRenamed("key", key)
+
+
 def _decoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):

@@ -211,3 +211,36 @@ def test_op6_query(spark, small_texts, library):
         n = len(library.encode(small_texts[row["doc_id"]], add_special_tokens=False).ids)
         assert (row["n_tokens"], row["over_limit"]) == (n, n > 512)
         assert row["n_bytes"] == len(small_texts[row["doc_id"]].encode())
+
+
+def test_every_character_below_combining_marks_is_encoded_as_by_the_library():
+    encoder, library = simple8b.WordEncoder(open(WORD).read()), Tokenizer.from_file(WORD)
+    texts = [f"a{chr(c)}b {chr(c)} {chr(c)}{chr(c)}9" for c in range(0x300)]
+    flat, counts = encoder.many(texts)
+    rows = np.split(flat, np.cumsum(counts)[:-1])
+    for text, row in zip(texts, rows):
+        assert row.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_slices_come_from_their_blocks_alone(spark):
+    rng = np.random.default_rng(8)
+    for escapes in (0.0, 0.3, 1.0):
+        ids = rng.integers(0, 1 << 17, 5000).astype(np.uint64)
+        wide = rng.random(len(ids)) < escapes
+        ids[wide] = rng.integers(1 << 60, (1 << 63) - 1, int(wide.sum())).astype(np.uint64)
+        words, _, held = simple8b.pack(ids, np.array([len(ids)]))
+        starts = (np.cumsum(held) - held)[:: simple8b.BLOCK_WORDS]
+        blocks = [simple8b.block_ids(words, b) for b in range(len(starts))]
+        assert (np.concatenate(blocks) == ids).all()
+        for first, count in [(0, 1), (0, 5000), (4999, 9), (5000, 2), (777, 1500), (10, 0)]:
+            found = simple8b.slice_ids(words, starts, first, count)
+            assert found.tolist() == ids[first : first + count].tolist()
+    text = " ".join(f"word{i}" for i in range(4000))
+    df = spark.createDataFrame([(1, text), (2, None), (3, "one two three")], "doc_id bigint, text string")
+    path = simple8b.write_ids(df, WORD, 2)
+    whole = {r["doc_id"]: np.frombuffer(r["ids"], "<u4") for r in simple8b.read_ids(spark, path).collect()}
+    for first, count in [(0, 2), (3000, 700), (1, 10**6)]:
+        found = {r["doc_id"]: r["ids"] for r in simple8b.read_slices(spark, path, first, count).collect()}
+        assert found == {k: v[first : first + count].tolist() for k, v in whole.items()}
+    with pytest.raises(ValueError):
+        simple8b.read_slices(spark, path, -1, 2)
