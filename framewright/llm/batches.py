@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewright.sources.staging import staging_folder
+
 # Ids sent to all executors at most, 16 MB; longer lists are joined by a shuffle.
 LOOKUP_ROWS = 2_000_000
 # A batch that reaches Python holds up to 10,000 rows; work on it in pieces.
@@ -81,12 +82,7 @@ def lists(flat: np.ndarray, counts: Sequence[int], kind: pa.DataType) -> pa.Arra
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new path below ``spark.checkpoint.dir``, which all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and spark.sparkContext.master.startswith("local"):
-        root = "/tmp/checkpoints"
-    if not root:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return staging_folder(spark, purpose)
 
 
 def stored(df: DataFrame, purpose: str, *partition_by: str) -> DataFrame:

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.llm.batches import looked_up, map_pieces, stored, texts_of
@@ -40,13 +40,46 @@ EVIDENCE_GRAMS = 120
 UNKNOWN_SHARE = 0.01
 HOST_STRENGTH, DOMAIN_STRENGTH, SIGN_STRENGTH = 5.0, 20.0, 10.0
 DECLARED_TRUST = 0.8
-_DROPPED = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-DECLARED = r"(?i)<html[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})"
+TRAINING_CHARS = 20_000  # longer texts are no examples
+_RAW = re.compile(r"<(script|style)\b", re.IGNORECASE)
+_RAW_END = {
+    name: re.compile(rf"</{name}\s*+>", re.IGNORECASE) for name in ("script", "style")
+}
+_LONG_NUMBER = re.compile(r"&#(?:[0-9]{9,}|[xX][0-9a-fA-F]{9,});?")
+# a tag with another's start inside isn't read on, so that no start is read twice
+DECLARED = r"(?i)<html[^<>]*?\slang\s*+=\s*+[\"']?([a-z]{2,3})"
 
 
 def visible_text(page: str) -> str:
-    """A page without tags, scripts, styles and comments, its entities resolved."""
-    return html_entities.unescape(_DROPPED.sub(" ", page))
+    """A page without tags, scripts, styles and comments, its entities resolved.
+
+    One pass: what has no end once has none further on, and isn't looked for again.
+    Such a start is read as a tag, or else as text.
+    """
+    pieces, at, endless = [], 0, set()
+
+    def after(kind: str, end: int) -> int:
+        if end < 0:
+            endless.add(kind)
+        return end
+
+    while (mark := page.find("<", at)) >= 0:
+        pieces.append(page[at:mark])
+        end = -1
+        if page.startswith("<!--", mark) and "comment" not in endless:
+            end = after("comment", page.find("-->", mark + 4))
+            end = end + 3 if end >= 0 else end
+        elif (raw := _RAW.match(page, mark)) and (name := raw[1].lower()) not in endless:
+            found = _RAW_END[name].search(page, raw.end())
+            end = after(name, found.end() if found else -1)
+        if end < 0 and "tag" not in endless:
+            end = after("tag", page.find(">", mark + 1))
+            end = end + 1 if end >= 0 else end
+        pieces.append(" " if end >= 0 else "<")
+        at = end if end >= 0 else mark + 1
+    pieces.append(page[at:])
+    text = _LONG_NUMBER.sub("\N{REPLACEMENT CHARACTER}", "".join(pieces))
+    return html_entities.unescape(text)
 
 
 _LETTER: dict[str, np.ndarray] = {}
@@ -111,27 +144,31 @@ def fit(texts: list[str], languages: list[str]) -> TextModel:
 
 
 def fitted(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> TextModel:
-    """Fit on at most ``TRAINING_TEXTS`` labelled texts of each language."""
-    known = df.filter(F.col(label).isNotNull()).select(
-        F.col(key).alias("id"), F.lower(label).alias("language")
+    """Fit on at most ``TRAINING_TEXTS`` labelled texts of each language.
+
+    They have up to ``TRAINING_CHARS`` characters, and of several of one id the smallest
+    is taken, so what reaches the driver is bounded. Null ids are no examples.
+    """
+    known = df.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(
+        F.col(key).alias("id")
     )
-    names = [r[0] for r in known.select("language").distinct().limit(LANGUAGES + 1).collect()]
+    # an id with several languages has the smallest; the first of each language by hash
+    # are found in tasks before the shuffle, in one pass for all languages
+    known = known.agg(F.min(F.lower(label)).alias("language"))
+    first = Window.partitionBy("language").orderBy(F.xxhash64("id"), "id")
+    drawn = known.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= TRAINING_TEXTS)
+    drawn = stored(drawn.select("id", "language"), "language-sample")
+    names = [r[0] for r in drawn.select("language").distinct().limit(LANGUAGES + 1).collect()]
     if len(names) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages in column {label!r}")
+    texts = df.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = texts.filter(F.length("text") <= TRAINING_CHARS)
     fits = [fit([], [])]
     for first in range(0, len(names), AT_ONCE):
-        drawn = None
-        for name in sorted(names)[first : first + AT_ONCE]:
-            part = known.filter(F.col("language") == name)
-            part = part.orderBy(F.xxhash64("id"), "id").limit(TRAINING_TEXTS)
-            drawn = part if drawn is None else drawn.union(part)
-        rows = (
-            df.select(F.col(key).alias("id"), F.col(text).alias("text"))
-            .join(F.broadcast(drawn.dropDuplicates(["id"])), "id")
-            .toPandas()
-            .sort_values(["id", "text"])
-        )
-        fits.append(fit(rows["text"].fillna("").tolist(), rows["language"].tolist()))
+        some = drawn.filter(F.col("language").isin(sorted(names)[first : first + AT_ONCE]))
+        chosen = texts.join(F.broadcast(some), "id").groupBy("id", "language")
+        rows = chosen.agg(F.min("text").alias("text")).toPandas().sort_values("id")
+        fits.append(fit(rows["text"].tolist(), rows["language"].tolist()))
     tables = [m.table[:-1] for m in fits[1:]] + [fits[0].table]
     return TextModel([n for m in fits[1:] for n in m.languages[:-1]] + [UNKNOWN], np.concatenate(tables))
 

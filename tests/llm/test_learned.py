@@ -1,6 +1,9 @@
 """Toxicity, language and embeddings: held-out accuracy and brute force."""
 
+import html
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -57,7 +60,9 @@ def test_split_insults_are_seen_whole(machine):
     whole = [t.replace(" ", "").replace("\n", "") for t in ("mo ron", "st upid", "worth less")]
     found = score_of(machine, *split, *whole, "the thin end of the nation there")
     assert all(s >= 0.5 for s in found[:-1]) and found[-1] < 0.5
-    assert toxicity.joins_of(["mo", "", "ron", None, "a", "bc"]) == [(0, 2, "moron"), (4, 5, "abc")]
+    joins = toxicity.joins_of([["mo", "", "ron", None, "a", "bc"], ["d"], ["ef", "g"]])
+    assert sorted(zip(joins.row, joins.first, joins.last)) == [(0, 0, 2), (0, 4, 5), (2, 0, 1)]
+    assert joins.units().tolist() == [b"abc", b"efg", b"moron"]
 
 
 def score_of(machine, *texts):
@@ -237,3 +242,34 @@ def test_embeddings_are_those_of_brute_force(spark, monkeypatch, part):
     found = [tuple(r) for r in embedding_join.near_duplicates(df).collect()]
     assert sorted(map(str, found)) == sorted(map(str, brute_links(rows)))
     assert embedding_join.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["_" * 100_000 + "name", ". " * 100_000, "_a" * 50_000, "a" + "!" * 100_000 + "b", "a " * 100_000 + "bc"]
+    + ["a_" * 50_000 + " x", "a.b" * 50_000, "a..." * 30_000 + "b!", "<script " * 30_000, "<!-- " * 30_000]
+    + ["<" * 100_000, "<a " * 50_000, "<style>" * 30_000 + "</style", "&#" + "9" * 100_000 + ";"],
+    ids=lambda text: text[:8],
+)
+def test_any_text_takes_linear_time(text):
+    began = time.process_time()
+    for token in toxicity.tokens_of(text):
+        toxicity.units_of(token)
+    language.visible_text(text)
+    assert time.process_time() - began < 3
+
+
+def test_visible_text_is_that_of_the_plain_pattern():
+    """The pattern says what is meant; it takes quadratic time on some pages."""
+    pattern = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+    rng = random.Random(4)
+    parts = ["<script>", "</script >", "<STYLE a>", "</style>", "<!--", "-->", "<", ">", "<p>", "</p", "x", "&lt;", "/"]
+    for _ in range(3000):
+        page = "".join(rng.choices(parts, k=rng.randint(0, 14)))
+        assert language.visible_text(page) == html.unescape(pattern.sub(" ", page)), page
+
+
+def test_languages_are_drawn_from_ids_once(spark):
+    rows = [(1, "aaa bbb", "xx"), (1, "zzz", "aa"), (1, None, "xx"), (None, "q", "yy")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert language.fitted(df).languages == ["aa", "und"]
