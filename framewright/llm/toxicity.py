@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm.batches import map_pieces, texts_of
 from framewright.llm.ngram_join import WORDS, shingle_runs
-from framewright.llm.spans import mixed, span_hashes
+from framewright.llm.spans import mixed, ragged, span_hashes
 
 # What training sees at most, so that it fits in a driver whatever the size of the table:
 TRAINING_TEXTS = 2000  # of each label: those with the smallest hash of the id
@@ -56,7 +56,7 @@ OTHERS = 17  # codes for letters beside a to z
 LETTERS = 26 + OTHERS
 IDEOGRAPHS = 0x2E80  # letters from here on stand for more than a sound
 PENALTY = 10.0
-CACHED_TOKENS = 250_000
+CACHED_TOKENS = 700_000
 CHUNK = 8192  # units of one length that are weighed together
 FOLDS = 5  # ids whose crc32 leaves 0 are held out
 _DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
@@ -138,30 +138,38 @@ def joins_of(rows: list[list[str | None]]) -> Joins:
 
     No join goes across a null or from one text to the next.
     """
-    lengths = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
     words = [word for row in rows for word in row]
-    barred = np.fromiter((word is None for word in words), dtype=bool, count=len(words))
-    words = [word or "" for word in words]
-    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    row = np.repeat(np.arange(len(rows)), lengths)
-    stretch = row + np.cumsum(barred)  # grows at each text and each null
-    place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    some = np.flatnonzero(sizes > 0)
+    return joins_between(
+        np.array([len(row) for row in rows], dtype=np.int64),
+        np.array([len(word or "") for word in words], dtype=np.int64),
+        np.array([word is None for word in words], dtype=bool),
+        codes_of(["".join(word or "" for word in words)])[0],
+    )
+
+
+def joins_between(
+    lengths: np.ndarray, sizes: np.ndarray, barred: np.ndarray, letters: np.ndarray
+) -> Joins:
+    """``joins_of`` from words of each text, letters of each word, and all letters in a row.
+
+    The letters of barred words are not in the row.
+    """
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    stretch = row + np.cumsum(barred)  # grows at each text and each barred word
+    place = np.arange(len(sizes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    some = np.flatnonzero((sizes > 0) & ~barred)
     row, stretch, place = row[some], stretch[some], place[some]
     ends = np.cumsum(sizes[some])
     starts = ends - sizes[some]
     found = []
     for away in range(1, WINDOW):
-        first = np.arange(max(0, len(some) - away))
-        last = first + away
-        size = ends[last] - starts[first]
-        fits = np.flatnonzero((stretch[first] == stretch[last]) & (size <= WINDOW))
+        size = ends[away:] - starts[: len(starts) - away if away < len(starts) else 0]
+        fits = np.flatnonzero((stretch[away:] == stretch[: len(size)]) & (size <= WINDOW))
         if not len(fits):
             break
-        found.append(fits[size[fits] >= 3])
-        found[-1] = np.stack([found[-1], found[-1] + away])
+        fits = fits[size[fits] >= 3]
+        found.append(np.stack([fits, fits + away]))
     first, last = np.concatenate([*found, np.empty((2, 0), dtype=np.int64)], axis=1)
-    letters = np.frombuffer("".join(words).encode("latin-1"), dtype=np.uint8).astype(np.int32) - 97
     return Joins(letters, row[first], place[first], place[last], starts[first], ends[last])
 
 
@@ -194,12 +202,17 @@ def codes_of(units: list[str]) -> np.ndarray:
 
 
 def squared_norms(codes: np.ndarray, decay: float = DECAY) -> np.ndarray:
-    """The kernel of each row with itself; one value for all rows of different letters."""
+    """The kernel of each row with itself, worked out once for all rows alike."""
+    # it depends only on which letters are equal: on each letter's first place in the row
     size = codes.shape[1]
-    repeated = (np.diff(np.sort(codes, axis=1), axis=1) == 0).any(axis=1)
-    found = np.full(len(codes), _own_kernel(np.arange(size)[None, :], decay)[0])
-    found[repeated] = _own_kernel(codes[repeated], decay)
-    return found
+    places = np.zeros(codes.shape, dtype=np.int64)
+    for j in range(size - 1, -1, -1):
+        np.copyto(places, j, where=codes == codes[:, j : j + 1])
+    names = places @ (np.int64(WINDOW + 1) ** np.arange(size)) if size <= 16 else None
+    if names is None:
+        return _own_kernel(codes, decay)
+    _, example, which = np.unique(names, return_index=True, return_inverse=True)
+    return _own_kernel(places[example], decay)[which]
 
 
 def _own_kernel(codes: np.ndarray, decay: float) -> np.ndarray:
@@ -316,16 +329,21 @@ class Machine:
         Of joins that share a word, only the worst counts.
         """
         known = {word: None if margin[word] > 0 else plain[word] for word in set().union(*rows)}
-        joins = joins_of([list(map(known.__getitem__, row)) for row in rows])
+        found = self.worst(joins_of([list(map(known.__getitem__, row)) for row in rows]))
+        return [found.get(row, []) for row in range(len(rows))]
+
+    def worst(self, joins: Joins) -> dict[int, list[float]]:
+        """The margins of toxic joins that share no word with a worse one, by text."""
         margins = self.toxic(joins)
-        found: list[list[float]] = [[] for _ in rows]
-        taken: list[set[int]] = [set() for _ in rows]
+        found: dict[int, list[float]] = {}
+        taken: dict[int, set[int]] = {}
         at = np.flatnonzero(margins > 0)
         for n in at[np.lexsort((joins.last[at], joins.first[at], -margins[at]))].tolist():
-            row, words = joins.row[n], range(joins.first[n], joins.last[n] + 1)
-            if taken[row].isdisjoint(words):
-                taken[row].update(words)
-                found[row].append(float(margins[n]))
+            row, words = int(joins.row[n]), range(joins.first[n], joins.last[n] + 1)
+            own = taken.setdefault(row, set())
+            if own.isdisjoint(words):
+                own.update(words)
+                found.setdefault(row, []).append(float(margins[n]))
         return found
 
 
@@ -622,7 +640,72 @@ def fitted(
     return train(rows["text"].tolist(), rows["toxic"].tolist(), share)
 
 
-_SCORES: dict[str, tuple[bytes, dict[str, float], dict[str, str]]] = {}
+class KnownTokens:
+    """Tokens met so far by number, with their margins and letters, in arrays."""
+
+    def __init__(self, machine: Machine):
+        self.machine = machine
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.margin = np.empty(0)
+        self.size = self.start = np.empty(0, dtype=np.int64)
+        self.letters = np.empty(0, dtype=np.int32)
+
+    def numbers(self, tokens: list[str]) -> np.ndarray:
+        """The numbers of tokens; new ones are judged first."""
+        new = set(tokens).difference(self.number)
+        if len(self.number) + len(new) > CACHED_TOKENS:
+            self.clear()
+            new = set(tokens)
+        if new:
+            self._add(list(new))
+        return np.fromiter(map(self.number.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+
+    def _add(self, new: list[str]) -> None:
+        letters = [plain_of(t) for t in new]
+        pairs = [(u, n) for n, own in enumerate(letters) for u in stretches(own)]
+        best = np.full(len(new), -2.0)
+        if pairs:
+            values = self.machine.margins([u for u, _ in pairs])
+            np.maximum.at(best, np.fromiter((n for _, n in pairs), np.int64, len(pairs)), values)
+        sizes = np.fromiter(map(len, letters), dtype=np.int64, count=len(new))
+        starts = len(self.letters) + np.cumsum(sizes) - sizes
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        self.margin = np.concatenate([self.margin, best])
+        self.size = np.concatenate([self.size, sizes])
+        self.start = np.concatenate([self.start, starts])
+        self.letters = np.concatenate([self.letters, codes_of(["".join(letters)])[0]])
+
+    def features(self, texts: list[str]) -> np.ndarray:
+        """``text_features`` of all texts."""
+        words = [t.split() for t in texts]
+        runs = [("".join(run.split()), n) for n, t in enumerate(texts) for run in _SPACED.findall(t)]
+        lengths = np.array([len(row) for row in words], dtype=np.int64)
+        flat = [w for row in words for w in row]
+        all_numbers = self.numbers(flat + [run for run, _ in runs])
+        numbers = all_numbers[: len(flat)]
+        rows = np.repeat(np.arange(len(texts)), lengths)
+        margins, sizes = self.margin[numbers], self.size[numbers]
+        barred = margins > 0
+        free = numbers[~barred]
+        letters = self.letters[ragged(self.start[free], self.size[free])]
+        joined = self.machine.worst(joins_between(lengths, sizes, barred, letters))
+
+        margins = np.concatenate([self.margin[all_numbers], *joined.values()])
+        rows = np.concatenate(
+            [rows, [n for _, n in runs], *([row] * len(own) for row, own in joined.items())]
+        ).astype(np.int64)
+        tokens = np.bincount(rows[: len(all_numbers)], minlength=len(texts))
+        worst = np.full(len(texts), -1.0)
+        np.maximum.at(worst, rows, np.clip(margins, -1, 1))
+        toxic = np.bincount(rows, weights=np.clip(margins, 0, 1), minlength=len(texts))
+        share = np.log1p(1000 * toxic / np.maximum(tokens, 1))
+        return np.stack([worst, np.log1p(toxic), share, np.ones(len(texts))], axis=1)
+
+
+_KNOWN: dict[str, tuple[bytes, KnownTokens]] = {}
 
 
 def score_pieces(machine: Machine | None, text: str, output: str = "score"):
@@ -630,29 +713,12 @@ def score_pieces(machine: Machine | None, text: str, output: str = "score"):
     if machine is None:
         return lambda piece: {output: pa.array(np.zeros(piece.num_rows))}
     name = machine.table.tobytes() + np.float64(machine.offset).tobytes()
-    if _SCORES.get("now", (b"",))[0] != name:
-        _SCORES["now"] = name, {}, {}
-    _, margins, plain = _SCORES["now"]
+    if _KNOWN.get("now", (b"",))[0] != name:
+        _KNOWN["now"] = name, KnownTokens(machine)
+    known = _KNOWN["now"][1]
 
     def work(piece: pa.RecordBatch) -> dict[str, pa.Array]:
-        texts = texts_of(piece, text)
-        rows = [tokens_of(t) for t in texts]
-        new = set().union(*rows)
-        if len(margins) + len(new) > CACHED_TOKENS:
-            margins.clear()
-            plain.clear()
-        new = [t for t in new if t not in margins]
-        letters = {t: plain_of(t) for t in new}
-        pairs = [(u, n) for n, t in enumerate(new) for u in stretches(letters[t])]
-        best = np.full(len(new), -2.0)
-        if pairs:
-            values = machine.margins([u for u, _ in pairs])
-            np.maximum.at(best, np.fromiter((n for _, n in pairs), np.int64), values)
-        margins.update(zip(new, best.tolist()))
-        plain.update(letters)
-        joined = machine.joined([t.split() for t in texts], margins, plain)
-        found = [text_features(list(map(margins.__getitem__, row)), own) for row, own in zip(rows, joined)]
-        return {output: pa.array(machine.scores(np.array(found)))}
+        return {output: pa.array(machine.scores(known.features(texts_of(piece, text))))}
 
     return work
 
