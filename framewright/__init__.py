@@ -11,7 +11,7 @@ from framewright.functions.python_functions import arrow_bands, null_safe_udf
 from framewright.operators.averages import stable_average
 from framewright.operators.derive import filter_derive
 from framewright.operators.enrich import attach_lookup, join_on_key
-from framewright.operators.ordering import ordered
+from framewright.operators.ordering import ordered, ordered_once
 from framewright.operators.output import counted_preview, preview
 from framewright.operators.pivoting import REFUSE, pivot_measures, pivot_values
 from framewright.operators.profile import profile
@@ -42,6 +42,7 @@ __all__ = [
     "null_safe_udf",
     "obtain_session",
     "ordered",
+    "ordered_once",
     "pivot_measures",
     "pivot_values",
     "preview",

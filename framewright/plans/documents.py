@@ -9,7 +9,7 @@ from framewright.functions.bands import BandRule
 from framewright.functions.python_functions import arrow_bands, null_safe_udf
 from framewright.operators.derive import filter_derive
 from framewright.operators.enrich import attach_lookup, join_on_key
-from framewright.operators.ordering import ordered
+from framewright.operators.ordering import ordered, ordered_once
 from framewright.operators.pivoting import REFUSE, pivot_measures
 from framewright.operators.profile import profile
 from framewright.operators.ranking import RankNames, rank_values_balanced, rank_within_balanced
@@ -220,6 +220,14 @@ def category_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(CATEGORY_SQL + " ORDER BY n_chars DESC, doc_id")
+def category_by_value_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python function's results in order, without calling it again for the bounds."""
+    return ordered_once(
+        category_by_value(spark, sf_dir), "n_chars", ascending=False, tie_breaker="doc_id"
+    )
+
+
 @query("""
     WITH banded AS (
         SELECT source, n_chars,
