@@ -63,3 +63,24 @@ def test_pipeline_stages_take_effect(spark):
     before, kept = seen["bpe"]
     assert len(kept) == before.count() and all(r["n_tokens"] == len(r["ids"]) for r in kept)
     assert corpus_pipeline.run(spark, SMALL).count() == len(kept)
+
+
+def test_stages_take_edge_rows_and_empty_tables(spark, edge, nothing):
+    """Each stage defines its result on nulls, blanks, repeats, long texts and clashing names."""
+    from pyspark.sql import functions as F
+
+    for docs in (edge, nothing):
+        docs = docs.withColumn("n_chars", F.length("text").cast("bigint"))
+        total = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            result = stage(spark, docs, SMALL)
+            kept = result.collect()
+            assert len(kept) <= 3 * total
+            if name == "bpe":
+                assert len(kept) == total and all(r["n_tokens"] == len(r["ids"]) for r in kept)
+            else:
+                assert result.columns == docs.columns
+                texts = {r["text"] for r in docs.collect()}
+                assert {r["text"] for r in kept} <= texts
+            if name == "toxicity":
+                assert len(kept) == total
