@@ -106,7 +106,7 @@ def order_row_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select(*orders.columns, "row_number")
 
 
-LINE_RANKS_SQL = """
+@query("""
     WITH ranked AS (
         SELECT l_suppkey,
                rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC) AS r,
@@ -114,22 +114,29 @@ LINE_RANKS_SQL = """
         FROM lineitem)
     SELECT l_suppkey, max(r) AS max_rank, max(d) AS max_dense_rank
     FROM ranked GROUP BY l_suppkey
-"""
-
-
-@query(LINE_RANKS_SQL)
+""")
 def line_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = load_table(spark, sf_dir, "lineitem")
     ranked = rank_values(lines, ["l_suppkey"], "l_quantity")
     return profile(ranked, ["l_suppkey"], {"rank": "max", "dense_rank": "max"}, rows=None)
 
 
-@query(LINE_RANKS_SQL)
-def line_ranks_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same ranks with the counts of values cut into slices of 30."""
+@query("""
+    WITH ranked AS (
+        SELECT l_returnflag,
+               rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC) AS r,
+               dense_rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC) AS d
+        FROM lineitem)
+    SELECT l_returnflag, max(r) AS max_rank, max(d) AS max_dense_rank,
+           sum(r)::BIGINT AS sum_rank, sum(d)::BIGINT AS sum_dense_rank
+    FROM (SELECT DISTINCT l_returnflag, r, d FROM ranked) GROUP BY l_returnflag
+""")
+def price_ranks_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of prices, nearly all different, with each group cut into slices."""
     lines = load_table(spark, sf_dir, "lineitem")
-    ranked = rank_values_balanced(lines, ["l_suppkey"], "l_quantity", slice_values=30)
-    return profile(ranked, ["l_suppkey"], {"rank": "max", "dense_rank": "max"}, rows=None)
+    ranked = rank_values_balanced(lines, ["l_returnflag"], "l_extendedprice", slice_values=8000)
+    measures = {"rank": ["max", "sum"], "dense_rank": ["max", "sum"]}
+    return profile(ranked, ["l_returnflag"], measures, rows=None)
 
 
 @query("""

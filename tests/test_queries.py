@@ -90,7 +90,7 @@ def test_flagship_joins_and_aggregates_once(spark):
 
 
 def test_value_ranks_of_large_groups_have_no_window_over_a_whole_group(spark):
-    plan = plan_of(QUERIES["line_ranks_sliced"](spark, SF_DIR), "simple")
+    plan = plan_of(QUERIES["price_ranks_sliced"](spark, SF_DIR), "simple")
     windows = [line for line in plan.splitlines() if " Window [" in line or "Window [" in line]
     assert windows and all("_slice" in line for line in windows)
     assert "_slice" not in plan_of(QUERIES["line_ranks"](spark, SF_DIR), "simple")
