@@ -2,8 +2,9 @@
 
 A text is cut into paragraphs at line ends and into sections at blank lines and
 after paragraphs whose hash says so, so that an edit moves no boundary elsewhere.
-Within a paragraph the leaves are pieces of sentences. Each node's hash covers its
-children; equal roots mean equal texts, and comparing children leads to the edit.
+Within a paragraph the leaves are pieces of sentences. Each node's hash is made from its
+children's, in 16 bytes; equal roots mean equal texts, and comparing children leads to
+the edit.
 
 The fingerprint is text: ``root/section=paragraph:leaf.leaf,paragraph:leaf;...``,
 a leaf being 8 hex digits of hash and its length in hex.
@@ -35,33 +36,46 @@ _PIECES = re.compile(
 )
 
 
-def _digest(data: bytes, size: int) -> str:
-    return hashlib.blake2b(data, digest_size=size).hexdigest()
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def leaf_digest(piece: str) -> bytes:
+    return _digest(piece.encode("utf-8", "surrogatepass"))
+
+
+def node_digest(children: Iterable[bytes]) -> bytes:
+    """The hash of a node; all children's have one length, so their order is told, too."""
+    return _digest(b"".join(children))
 
 
 def fingerprint(text: str) -> str:
-    """The whole tree of a text, as text."""
-    sections: list[str] = []
-    paragraphs: list[str] = []
+    """The whole tree of a text, as text.
+
+    Hashes go up whole, from leaves to paragraphs, sections and the root; all but the
+    root's are shown cut.
+    """
+    sections: list[tuple[bytes, str]] = []
+    paragraphs: list[tuple[bytes, str]] = []
 
     def close() -> None:
         if paragraphs:
-            body = ",".join(paragraphs)
-            sections.append(f"{_digest(body.encode(), 6)}={body}")
+            own = node_digest(digest for digest, _ in paragraphs)
+            body = ",".join(shown for _, shown in paragraphs)
+            sections.append((own, f"{own[:6].hex()}={body}"))
             paragraphs.clear()
 
     for paragraph in _PARAGRAPHS.findall(text):
-        leaves = []
-        for piece in _PIECES.findall(paragraph):
-            data = piece.encode("utf-8", "surrogatepass")
-            leaves.append(f"{_digest(data, 4)}{len(piece):x}")
-        own = _digest(paragraph.encode("utf-8", "surrogatepass"), 5)
-        paragraphs.append(f"{own}:{'.'.join(leaves)}")
-        if not paragraph.strip() or int(own, 16) % SECTION_ONE_IN == 0:
+        pieces = _PIECES.findall(paragraph)
+        digests = [leaf_digest(piece) for piece in pieces]
+        own = node_digest(digests)
+        leaves = ".".join(f"{d[:4].hex()}{len(p):x}" for d, p in zip(digests, pieces))
+        paragraphs.append((own, f"{own[:5].hex()}:{leaves}"))
+        if not paragraph.strip() or int.from_bytes(own[:5], "big") % SECTION_ONE_IN == 0:
             close()
     close()
-    root = _digest(text.encode("utf-8", "surrogatepass"), 16)
-    return f"{root}/{';'.join(sections)}"
+    root = node_digest(digest for digest, _ in sections)
+    return f"{root.hex()}/{';'.join(shown for _, shown in sections)}"
 
 
 def _leaves(print_: str) -> Counter:

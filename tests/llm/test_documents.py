@@ -241,3 +241,63 @@ def test_targets_fill_up_in_order(spark):
     assert got["a"] == 60 and got[None] == 90
     assert sum(got.values()) == pytest.approx(500)
     assert got["c"] == pytest.approx(350 / 3) and got["b"] == pytest.approx(700 / 3)
+
+
+def plain_pieces(paragraph):
+    """Runs of up to LEAF_CHARACTERS without end marks, with the end marks and blanks after them."""
+    found, at = [], 0
+    while at < len(paragraph):
+        end = at
+        while end < len(paragraph) and paragraph[end] not in ".!?" and end - at < merkle.LEAF_CHARACTERS:
+            end += 1
+        if end < len(paragraph) and paragraph[end] in ".!?":
+            while end < len(paragraph) and paragraph[end] in ".!?":
+                end += 1
+            while end < len(paragraph) and paragraph[end].isspace():
+                end += 1
+        found.append(paragraph[at:end])
+        at = end
+    return found
+
+
+def plain_tree(text):
+    """(digest, children) of the root, hashed up from the leaves without the operator."""
+
+    def node(children):
+        data = b"".join(child[0] for child in children)
+        return hashlib.blake2b(data, digest_size=16).digest(), children
+
+    *ended, last = text.split("\n")
+    lines = [line + "\n" for line in ended] + ([last] if last else [])
+    sections, own = [], []
+    for line in lines:
+        leaves = [(hashlib.blake2b(p.encode(), digest_size=16).digest(), p) for p in plain_pieces(line)]
+        own.append(node(leaves))
+        if not line.strip() or int(own[-1][0][:5].hex(), 16) % merkle.SECTION_ONE_IN == 0:
+            sections.append(node(own))
+            own = []
+    if own:
+        sections.append(node(own))
+    return node(sections)
+
+
+def test_hashes_go_up_from_the_leaves():
+    rng = random.Random(21)
+    texts = ["", "\n", "One. Two!", "a\n\nb"]
+    for _ in range(60):
+        texts.append("".join(rng.choices(["word ", "é", "x" * 40, ". ", "?! ", "\n", "\n\n"], k=rng.randint(1, 200))))
+    for text in texts:
+        root, sections = plain_tree(text)
+        shown, _, rest = merkle.fingerprint(text).partition("/")
+        assert shown == root.hex()
+        parts = rest.split(";") if rest else []
+        assert [p.partition("=")[0] for p in parts] == [d[:6].hex() for d, _ in sections]
+        for part, (_, paragraphs) in zip(parts, sections):
+            marks = [p.partition(":")[0] for p in part.partition("=")[2].split(",")]
+            assert marks == [d[:5].hex() for d, _ in paragraphs]
+        # a branch: leaves of one paragraph and its siblings' hashes give the root
+        for i, (_, paragraphs) in enumerate(sections):
+            for j, (_, leaves) in enumerate(paragraphs):
+                node = merkle.node_digest(merkle.leaf_digest(p) for _, p in leaves)
+                node = merkle.node_digest(node if k == j else d for k, (d, _) in enumerate(paragraphs))
+                assert merkle.node_digest(node if k == i else d for k, (d, _) in enumerate(sections)) == root
