@@ -25,7 +25,7 @@ from framewright.llm.batches import lists, map_pieces, texts_of
 from framewright.llm.bpe_core import MergeList, merge_list
 
 BLOCK_CHARACTERS = 1 << 16
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 CACHED_LENGTH = 48
 _RUNS = [regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+", r"\s+")]
 
@@ -62,23 +62,34 @@ class RunTransducer:
 
 
 class WordIds(dict):
-    """Ids of short pre-tokens as packed integers, emptied when it is full."""
+    """Ids of short pre-tokens as packed integers.
+
+    When it is full, its words become the older ones and replace those; an older word
+    that occurs again comes back, so frequent words stay.
+    """
 
     def __init__(self, merges: MergeList):
         super().__init__()
         self.merges = merges
+        self.older: dict[str, bytes] = {}
+
+    def _keep(self, word: str, packed: bytes) -> bytes:
+        if len(self) >= CACHED_WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[word] = packed
+        return packed
 
     def __missing__(self, word: str) -> bytes:
+        known = self.older.get(word)
+        if known is not None:
+            return self._keep(word, known)
         data = word.encode("utf-8", "surrogatepass")
         if len(data) > 4 * self.merges.lookahead:
             run = RunTransducer(self.merges)
             return array("I", run.feed(data) + run.finish()).tobytes()
         packed = array("I", self.merges.merge(data)).tobytes()
-        if len(word) <= CACHED_LENGTH:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = packed
-        return packed
+        return self._keep(word, packed) if len(word) <= CACHED_LENGTH else packed
 
 
 class StreamEncoder:

@@ -60,6 +60,8 @@ class MergeList:
             known.add(left + right)
             key = self.id_of[left], self.id_of[right]
             self.merge_of[key] = rank, self.id_of[left + right]
+        self.rank_of = {pair: rank for pair, (rank, _) in self.merge_of.items()}
+        self.products = [product for _, product in self.merge_of.values()]
         self.byte_ids = [self.id_of[bytes([b])] for b in range(256)]
 
     @cached_property
@@ -86,16 +88,20 @@ class MergeList:
         symbols = [self.byte_ids[b] for b in data]
         if len(symbols) > 40:
             return self._merge_long(symbols)
-        found = self.merge_of.get
-        while len(symbols) > 1:
-            best, at = None, -1
-            for i, pair in enumerate(zip(symbols, symbols[1:])):
-                hit = found(pair)
-                if hit is not None and (best is None or hit < best):
-                    best, at = hit, i
-            if best is None:
+        rank_of, none = self.rank_of.get, len(self.products)
+        ranks = [rank_of(pair, none) for pair in zip(symbols, symbols[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            symbols[at : at + 2] = [best[1]]
+            at = ranks.index(best)
+            symbols[at : at + 2] = [self.products[best]]
+            del ranks[at]
+            # a merge changes the pairs on its two sides only
+            if at < len(ranks):
+                ranks[at] = rank_of((symbols[at], symbols[at + 1]), none)
+            if at:
+                ranks[at - 1] = rank_of((symbols[at - 1], symbols[at]), none)
         return symbols
 
     def _merge_long(self, symbols: list[int]) -> list[int]:
