@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.names import column, repeated_names, shared_names
-from framewright.operators.skew import hot_groups
+from framewright.operators.skew import bucket_of, full_buckets
 from framewright.sources.staging import staging_folder, stored, stored_and_counted
 
 HOT_ROWS = 20_000_000
@@ -210,37 +210,35 @@ def rank_within_balanced(
 ) -> DataFrame:
     """``rank_within`` for groups of any size, for instance a third of all rows.
 
-    Not lazy: the keys are first counted, to find exactly the groups of
-    ``hot_rows`` rows or more. Without one, this is ``rank_within``. The rows of
-    hot groups are written once below ``folder`` (the session's checkpoint
-    directory if ``None``), cut by range into slices of about ``slice_rows``
-    rows, so that each task sorts one slice. Every row of every group is ranked
-    either way, and exactly. The written rows are needed until the result has
-    been computed; whoever names the folder may then remove it.
-
-    ``df`` is read several times when groups are hot, and all its columns are
-    written: select the needed ones before, and store an expensive result.
+    Not lazy: rows are first counted by hash bucket of their keys. A bucket shows at
+    least the rows of each of its groups, so without one of ``hot_rows`` rows no group
+    has as many, and this is ``rank_within``. The rows of such buckets, hot groups and
+    the few others that share a bucket with one, are written once below ``folder``
+    (the session's checkpoint directory if ``None``), cut by range into slices of
+    about ``slice_rows`` rows, so that each task sorts one slice. Every row of every
+    group is ranked either way, and exactly. The written rows are needed until the
+    result has been computed; whoever names the folder may then remove it.
+
+    ``df`` is read for the buckets, for the bounds of slices, for the slices and for
+    the other rows, and all its columns are written: select the needed ones before,
+    and store an expensive result.
     """
     _refuse_clashes(df, df.columns, [names.rank, names.dense_rank, names.row_number])
     reserved = [column for column in df.columns if column.startswith("_")]
     if reserved:
         raise ValueError(f"rename columns with a leading underscore: {reserved}")
     place = staging_folder(df.sparkSession, "rank-slices", folder)
-    found = hot_groups(df, keys, hot_rows, rows="_rows")
-    found = found.select(*(column(k).alias(f"_hot_{k}") for k in keys), "_rows")
     # few rows of known size, so Spark can choose to broadcast them
-    hot = stored(found, f"{place}/groups")
-    total = hot.agg(F.sum("_rows")).first()[0]
+    full = stored(full_buckets(df, keys, hot_rows, "_full", "_rows"), f"{place}/buckets")
+    total = full.agg(F.sum("_rows")).first()[0]
     if not total:
         return rank_within(df, keys, by, tie_breaker, descending, names)
-    same = F.lit(True)
-    for key in keys:
-        same &= column(key).eqNullSafe(column(f"_hot_{key}"))
+    within = bucket_of(df, keys) == F.col("_full")
     ordinary = rank_within(
-        df.join(hot, same, "left_anti"), keys, by, tie_breaker, descending, names
+        df.join(full, within, "left_anti"), keys, by, tie_breaker, descending, names
     )
     sliced = _rank_in_slices(
-        df.join(hot, same, "left_semi"),
+        df.join(full, within, "left_semi"),
         keys,
         by,
         tie_breaker,
@@ -272,8 +270,8 @@ def _rank_in_slices(
         slices, *_refs(keys), _directed(by, descending), *_refs(_columns(tie_breaker))
     )
     staged = stored(ranged.withColumn("_slice", F.spark_partition_id()), f"{folder}/rows")
-    # at most one row per slice and one more per group; with its size known from
-    # the files, Spark decides whether to broadcast it
+    # one row for each slice of each group; with its size known from the files, Spark
+    # decides whether to broadcast it
     offsets = stored(_slice_offsets(staged, keys, by, descending), f"{folder}/offsets")
     offsets = offsets.select(
         F.col("_slice").alias("_offset_slice"),

@@ -211,6 +211,40 @@ def test_groups_sharing_a_bucket(spark, monkeypatch):
     assert ranked(df, hot_rows=1, slice_rows=30) == brute_force(table)
 
 
+def test_small_groups_in_the_bucket_of_a_hot_one(spark, monkeypatch):
+    """They are sliced with it, and ranked alike."""
+    monkeypatch.setattr(skew, "BUCKETS", 3)
+    table = [(None if i % 3 == 0 else f"k{i % 40}", i % 7, i) for i in range(600)]
+    df = lookup_table(spark, table, "k string, v bigint, id bigint")
+    full = skew.full_buckets(df, ["k"], 200)
+    assert 1 <= full.count() < 3
+    assert ranked(df, hot_rows=200, slice_rows=25) == brute_force(table)
+
+
+def test_keys_that_are_equal_in_another_case(spark):
+    """A collation makes `A` and `a` one group, so they must share a bucket."""
+    table = [("a" if i % 2 else "A", i % 5, i) for i in range(200)]
+    df = lookup_table(spark, table, "k string, v bigint, id bigint")
+    df = df.withColumn("k", F.col("k").cast("string collate UTF8_LCASE"))
+    assert rows(hot_groups(df, ["k"], 200).select("rows")) == [(200,)]
+    ranks = rank_within_balanced(df, ["k"], "v", "id", hot_rows=150, slice_rows=30)
+    expected = brute_force([("a", v, i) for _, v, i in table])
+    assert row_set(ranks.select("id", *RANKS)) == sorted([r[2:] for r in expected], key=repr)
+
+
+def test_sliced_ranks_read_their_input_four_times(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(n):
+        seen.add(1)
+        return n
+
+    key = F.udf(noted, "bigint")(F.col("id") % 2)
+    df = spark.range(0, 400, 1, 4).select(key.alias("k"), F.col("id").alias("v"), "id")
+    assert rank_within_balanced(df, ["k"], "v", "id", hot_rows=100, slice_rows=50).count() == 400
+    assert 0 < seen.value <= 4 * 400
+
+
 def test_hot_groups_of_null_keys(spark):
     df = lookup_table(spark, [(None, i) for i in range(50)] + [("a", 0)], "k string, v int")
     assert rows(hot_groups(df, ["k"], 20)) == [(None, 50)]
