@@ -201,7 +201,7 @@ def prefixes(df: DataFrame, frequent: np.ndarray, text: str = "text") -> DataFra
 
 
 def full_sets(df: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """``class`` and ``set`` (sorted, packed) of the documents whose ids are wanted."""
+    """``class`` and ``set`` (sorted, packed) of the rows whose ids are wanted, each."""
     chosen = df.select(key, text).join(
         looked_up(wanted.withColumnRenamed("id", key)), key, "left_semi"
     )
@@ -214,7 +214,7 @@ def full_sets(df: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFram
         }
 
     made = map_pieces(chosen, text, work, [], "class bigint, set binary")
-    return made.filter("class is not null").dropDuplicates(["class"])
+    return made.filter("class is not null")
 
 
 def _by_signature(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -436,7 +436,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         pairs = stored(pairs, "shingle-pairs")
         members = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
         wanted = stored(ids.join(members, "class", "left_semi").select("id"), "shingle-ids")
-        sets = stored(full_sets(df, wanted, key, text), "shingle-sets")
+        sets = full_sets(df, wanted, key, text)
+        # each class has one wanted id, so only rows that repeat an id give a set again
+        rows = documents.join(looked_up(wanted), "id", "left_semi").count()
+        if rows > wanted.count():
+            sets = sets.dropDuplicates(["class"])
+        sets = stored(sets, "shingle-sets")
         return stored(_exactly(pairs, sets), "shingle-links")
 
     first = linked(_by_signature(_stars(tiles, known), known))
