@@ -102,6 +102,15 @@ def prefix_length(size: int, percent: int = PERCENT) -> int:
     return size - (percent * size + 99) // 100 + 1
 
 
+def lead_length(size: int, percent: int = PERCENT) -> int:
+    """The prefix of a pair's smaller set that holds the first shingle both have.
+
+    Of sizes a <= b the overlap is at least percent * (a + b) / (100 + percent), so at
+    least 2 * percent * a / (100 + percent); what comes before it can't be longer.
+    """
+    return size + 2 * percent * size // -(100 + percent) + 1
+
+
 def signature(shingles: np.ndarray) -> bytes:
     """Parities of the shingles by their low bits, two bits or more for each."""
     bits = min(1 << 17, max(64, 2 << int(len(shingles) - 1).bit_length()))
@@ -178,7 +187,10 @@ def frequent_shingles(profiled: DataFrame) -> np.ndarray:
 
 
 def prefixes(df: DataFrame, frequent: np.ndarray, text: str = "text") -> DataFrame:
-    """``class`` and ``prefix``; copies within a piece appear once."""
+    """``class``, its size ``n``, how much of the prefix is its ``lead``, and ``prefix``.
+
+    Copies within a piece appear once.
+    """
 
     def work(piece: pa.RecordBatch) -> dict[str, pa.Array]:
         sets = shingle_sets([t.encode("utf-8", "surrogatepass") for t in texts_of(piece, text)])
@@ -194,10 +206,13 @@ def prefixes(df: DataFrame, frequent: np.ndarray, text: str = "text") -> DataFra
             heads.append(ordered[: prefix_length(len(s))].view(np.int64))
         return {
             "class": pa.array(list(distinct), pa.int64()),
+            "n": pa.array([len(s) for s in distinct.values()], pa.int64()),
+            "lead": pa.array([lead_length(len(s)) for s in distinct.values()], pa.int64()),
             "prefix": pa.array(heads, pa.list_(pa.int64())),
         }
 
-    return map_pieces(df, text, work, [], "class bigint, prefix array<bigint>")
+    outputs = "class bigint, n bigint, lead bigint, prefix array<bigint>"
+    return map_pieces(df, text, work, [], outputs)
 
 
 def full_sets(df: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
@@ -263,15 +278,29 @@ def _exactly(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _shared_tiles(heads: DataFrame) -> DataFrame:
-    """``h`` and ``class`` of the prefix shingles that several classes have.
+    """``h`` and ``class`` of the prefix shingles that can be the first of a pair.
+
+    The first shingle that a linked pair shares is in the lead of its smaller set, or
+    of both if they are equally large. So a tile is of use only if a leading class
+    meets a larger one, or another leading one.
 
     One shuffle serves the count and the join. Nothing refers to it once this has
     returned, so Spark may drop its files before the larger joins that follow.
     """
-    rows = heads.select(F.explode("prefix").alias("h"), "class").repartition("h")
-    shared = rows.groupBy("h").agg(F.min("class").alias("least"), F.max("class").alias("most"))
-    shared = shared.filter("least <> most").select("h")
-    return stored(rows.join(shared, "h").distinct(), "shingle-tiles")
+    each = heads.select(F.posexplode("prefix").alias("at", "h"), "class", "n", "lead")
+    # size and lead in one number, to keep the shuffle small
+    mark = F.col("n") * 2 + (F.col("at") < F.col("lead")).cast("bigint")
+    rows = each.select("h", "class", mark.alias("mark")).repartition("h")
+    leads = F.col("mark") % 2 == 1
+    size = F.floor(F.col("mark") / 2)
+    of_use = rows.groupBy("h").agg(
+        F.min(F.when(leads, size)).alias("least_lead"),
+        F.max(size).alias("most"),
+        F.min(F.when(leads, F.col("class"))).alias("one"),
+        F.max(F.when(leads, F.col("class"))).alias("other"),
+    )
+    of_use = of_use.filter("least_lead < most or one <> other").select("h")
+    return stored(rows.select("h", "class").join(of_use, "h").distinct(), "shingle-tiles")
 
 
 def _stars(tiles: DataFrame, known: DataFrame) -> DataFrame:

@@ -104,6 +104,18 @@ def test_signatures_never_rule_out_a_link():
             assert ngram_join.may_link(np.array([apart]), np.array([len(a) + len(b)]))[0]
 
 
+def test_first_shared_shingle_lies_in_lead_and_prefix():
+    """For the smallest overlap that links two sizes, and so for any larger one."""
+    for a in range(1, 120):
+        for b in range(a, 160):
+            for shared in range(1, a + 1):
+                if 100 * shared >= 75 * (a + b - shared):
+                    assert a - shared < ngram_join.lead_length(a) <= ngram_join.prefix_length(a)
+                    assert b - shared < ngram_join.prefix_length(b)
+                    assert a != b or b - shared < ngram_join.lead_length(b)
+                    break
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(200, 201)]
     found = components(spark.createDataFrame(edges + [(5, 5)], "a bigint, b bigint"))
