@@ -300,7 +300,8 @@ def _shared_tiles(heads: DataFrame) -> DataFrame:
         F.max(F.when(leads, F.col("class"))).alias("other"),
     )
     of_use = of_use.filter("least_lead < most or one <> other").select("h")
-    return stored(rows.select("h", "class").join(of_use, "h").distinct(), "shingle-tiles")
+    # all columns on both sides, or the two would be shuffled one by one
+    return stored(rows.join(of_use, "h").distinct(), "shingle-tiles")
 
 
 def _stars(tiles: DataFrame, known: DataFrame) -> DataFrame:
