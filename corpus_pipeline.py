@@ -44,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the hash of the text that they decode to."""
     path = public_tokenizers.path(TOKENIZER)
-    decoded = bpe_codec.decode(bpe_codec.encode(docs, path), path)
+    decoded = bpe_codec.encode_decoded(docs, path)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),

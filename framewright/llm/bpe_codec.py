@@ -224,6 +224,52 @@ def encode(
     return map_pieces(df, text, None, [key], f"`{ids}` array<int>", prepare)
 
 
+def encode_decoded(
+    df: DataFrame,
+    tokenizer_path: str,
+    key: str = "doc_id",
+    text: str = "text",
+    ids: str = "ids",
+    decoded: str = "decoded",
+) -> DataFrame:
+    """``key``, the token ids of ``text`` and the text that they decode to.
+
+    The rows of ``decode(encode(...))`` in one Python pass, so that a task holds one
+    merge list and one worker instead of two.
+    """
+    spec = Path(tokenizer_path).read_text(encoding="utf-8")
+    merge_list(spec)
+
+    def prepare():
+        merges = merge_list(spec)
+        encoder, decoder = StreamEncoder(merges, _words(merges)), StreamDecoder(merges)
+
+        def work(piece: pa.RecordBatch) -> dict[str, pa.Array]:
+            packed, counts, made = [], [], []
+            for value in texts_of(piece, text):
+                parts = [
+                    encoder.feed(value[at : at + BLOCK_CHARACTERS])
+                    for at in range(0, len(value), BLOCK_CHARACTERS)
+                ]
+                parts.append(encoder.finish())
+                row = np.frombuffer(b"".join(parts), dtype=np.uint32).astype(np.int32)
+                packed.append(row)
+                counts.append(len(row))
+                pieces = [
+                    decoder.feed(row[i : i + BLOCK_CHARACTERS].tolist())
+                    for i in range(0, len(row), BLOCK_CHARACTERS)
+                ]
+                made.append("".join(pieces) + decoder.finish())
+            flat = np.concatenate(packed) if packed else np.zeros(0, np.int32)
+            return {ids: lists(flat, counts, pa.int32()), decoded: pa.array(made, pa.string())}
+
+        return work
+
+    return map_pieces(
+        df, text, None, [key], f"`{ids}` array<int>, `{decoded}` string", prepare
+    )
+
+
 def decode(
     df: DataFrame, tokenizer_path: str, ids: str = "ids", text: str = "decoded"
 ) -> DataFrame:
