@@ -235,14 +235,15 @@ def encode_decoded(
     """``key``, the token ids of ``text`` and the text that they decode to.
 
     The rows of ``decode(encode(...))`` in one Python pass, so that a task holds one
-    merge list and one worker instead of two.
+    merge list and one worker instead of two. Merge list and words belong to the task and
+    are freed with it, so that a pooled worker doesn't carry them into later stages.
     """
     spec = Path(tokenizer_path).read_text(encoding="utf-8")
     merge_list(spec)
 
     def prepare():
-        merges = merge_list(spec)
-        encoder, decoder = StreamEncoder(merges, _words(merges)), StreamDecoder(merges)
+        merges = MergeList(spec)
+        encoder, decoder = StreamEncoder(merges), StreamDecoder(merges)
 
         def work(piece: pa.RecordBatch) -> dict[str, pa.Array]:
             packed, counts, made = [], [], []
