@@ -59,11 +59,7 @@ def pack(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
             fits[: total - count + 1] &= wide[count:] == wide[: total - count + 1]
         fits[total - count + 1 :] = False
         choice[fits] = selector
-    steps, at, firsts = _HELD[choice].tolist(), 0, []
-    while at < total:
-        firsts.append(at)
-        at += steps[at]
-    first = np.array(firsts, dtype=np.int64)
+    first = _chain(np.arange(total, dtype=np.int64) + _HELD[choice])
     chosen = choice[first]
     words = chosen.astype(np.uint64) << np.uint64(60)
     for selector in range(1, len(COUNTS) + 1):
@@ -81,6 +77,20 @@ def pack(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return words, np.bincount(row, minlength=len(sizes)), held
 
 
+def _chain(after: np.ndarray) -> np.ndarray:
+    """The places met from 0 on by going to ``after`` of each, up to its length.
+
+    The path doubles in each round, and so does the jump of each place.
+    """
+    total = len(after)
+    jump = np.append(after, total)
+    path = np.zeros(1, dtype=np.int64)
+    while path[-1] < total:
+        path = np.concatenate([path, jump[path]])
+        jump = jump[jump]
+    return path[path < total]
+
+
 def unpack(words: np.ndarray) -> np.ndarray:
     """The ids of coded words, all words at once."""
     selectors = (words >> np.uint64(60)).astype(np.int64)
@@ -144,6 +154,7 @@ class WordEncoder:
         self.library.no_padding()
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.ids_of: dict[int, bytes] = {}
+        self.odd = np.array([bool(self.NOT_PLAIN.match(chr(c))) for c in range(0x300)])
         kinds = [regex.compile(p) for p in (r"\s", r"\p{L}", r"\p{N}")]
         self.kind = np.array(
             [next((k for k, p in enumerate(kinds) if p.match(chr(c))), 3) for c in range(0x300)],
@@ -156,10 +167,16 @@ class WordEncoder:
 
     def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of each text's ids."""
+        codes = np.frombuffer("\n".join(texts).encode("utf-32-le"), dtype=np.uint32)
+        unusual = np.flatnonzero((codes >= 0x300) | self.odd[np.minimum(codes, 0x2FF)])
+        lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
+        flagged = np.bincount(
+            np.searchsorted(np.cumsum(lengths), unusual, side="right"), minlength=len(texts)
+        )
         odd = [
             i
             for i, t in enumerate(texts)
-            if self.NOT_PLAIN.search(t) or any(s in t for s in self.specials)
+            if flagged[i] or any(s in t for s in self.specials)
         ]
         plain = list(texts)
         for i in odd:

@@ -149,6 +149,26 @@ def test_simple8b_packs_and_unpacks_any_ids():
             assert (simple8b.unpack(words[end - n : end]) == ids[first : first + size]).all()
 
 
+def test_word_starts_are_the_greedy_walk_without_a_loop_per_word():
+    rng = np.random.default_rng(8)
+    for total in (0, 1, 2, 7, 1000, 40_000):
+        after = np.arange(total) + rng.integers(1, 61, total)
+        after = np.minimum(after, total)
+        walk, at = [], 0
+        while at < total:
+            walk.append(at)
+            at = int(after[at])
+        assert simple8b._chain(after).tolist() == walk
+
+
+def test_texts_with_unusual_characters_anywhere_go_to_the_library_whole():
+    encoder, library = simple8b.WordEncoder(open(WORD).read()), Tokenizer.from_file(WORD)
+    texts = ["plain words", "", "x \u0130stanbul", "\u65e5\u672c", "end \u00df", "a" * 50 + "\u0301"]
+    flat, counts = encoder.many(texts * 3)
+    for text, row in zip(texts * 3, np.split(flat, np.cumsum(counts)[:-1])):
+        assert row.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_blocks_decode_on_their_own():
     ids = np.arange(40_000, dtype=np.uint64) % 3001
     words, _, held = simple8b.pack(ids, np.array([len(ids)]))
